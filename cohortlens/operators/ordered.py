@@ -94,6 +94,24 @@ def _frequent_keys(df: DataFrame, keys: list[str], group_rows: int) -> tuple[int
     return row["n"], [t["item"] for t in row["top"] or [] if t["count"] > group_rows]
 
 
+def nested_cuts(cuts: DataFrame, column: str) -> DataFrame:
+    """Turn a sorted array of cut points into ``w``, ``nest`` and ``heads``, so that a lookup
+    compares about twice the square root of their number."""
+    return (
+        cuts.withColumn("w", F.ceil(F.sqrt(F.size(column))).cast("int"))
+        .withColumn("nest", F.expr(f"transform(sequence(0, (size({column}) - 1) div w), i -> slice({column}, i * w + 1, w))"))
+        .withColumn("heads", F.expr("transform(nest, g -> g[0])"))
+    )
+
+
+def cuts_up_to(value: str) -> Column:
+    """How many cut points are at or below ``value``; 0 without cuts or value."""
+    group = f"size(filter(heads, x -> x <= {value}))"
+    return F.expr(
+        f"CASE WHEN {value} IS NULL OR heads IS NULL OR {group} = 0 THEN 0 "
+        f"ELSE ({group} - 1) * w + size(filter(nest[{group} - 1], x -> x <= {value})) END")
+
+
 def _split(
     df: DataFrame, keys: list[str], order: list[str], wanted: dict,
     n_rows: int, hot: list[int], group_rows: int,
@@ -107,25 +125,14 @@ def _split(
         df.where(is_hot & (F.pmod(F.xxhash64(*order), F.lit(stride)) == 0))
         .groupBy(_key_hash(keys).alias("_h"))
         .agg(F.array_sort(F.collect_set(at)).alias("c"))
-        .withColumn("w", F.ceil(F.sqrt(F.size("c"))).cast("int"))
-        .select(
-            "_h", "w",
-            F.expr("transform(sequence(0, (size(c) - 1) div w), i -> slice(c, i * w + 1, w))").alias("nest"),
-        )
-        .withColumn("heads", F.expr("transform(nest, g -> g[0])"))
     )
+    cuts = nested_cuts(cuts, "c").drop("c")
     src = (
         df.withColumn("_h", _key_hash(keys))
         .join(F.broadcast(cuts), "_h", "left")
         .withColumn("_at", F.when(is_hot, at))
-        # cuts at or below the row: whole nests first, then within the last one
-        .withColumn("_g", F.expr("size(filter(heads, x -> x <= _at))"))
-        .withColumn(
-            "_b",
-            F.expr("CASE WHEN _at IS NULL OR heads IS NULL OR _g = 0 THEN 0 "
-                   "ELSE (_g - 1) * w + size(filter(nest[_g - 1], x -> x <= _at)) END"),
-        )
-        .drop("w", "nest", "heads", "_g", "_at")
+        .withColumn("_b", cuts_up_to("_at"))
+        .drop("w", "nest", "heads", "_at")
     )
 
     sums = {**wanted["running"], **wanted["totals"]}
