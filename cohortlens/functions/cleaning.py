@@ -47,19 +47,15 @@ CODE_RANGES = [
 ]
 
 
-def code_group(code: Column, number: Column) -> Column:
-    """Group of a diagnosis code; ``number`` is its null-on-failure numeric value.
+def code_group(code: str, number: str) -> Column:
+    """Group of a diagnosis code; ``number`` names its null-on-failure numeric value.
 
     The bounds apply to the unfloored number, so 459.8 falls between two ranges.
     """
-    ladder = (
-        F.when(code.isNull(), "unknown")
-        .when(code.startswith("V") | code.startswith("E"), "supplementary")
-        .when(F.floor(number) == 250, "diabetes")
-    )
-    for low, high, group in CODE_RANGES:
-        ladder = ladder.when(number.between(low, high), group)
-    return ladder.otherwise("other")
+    ranges = " ".join(f"WHEN {number} BETWEEN {low} AND {high} THEN '{group}'" for low, high, group in CODE_RANGES)
+    return F.expr(
+        f"CASE WHEN {code} IS NULL THEN 'unknown' WHEN {code} LIKE 'V%' OR {code} LIKE 'E%' THEN 'supplementary' "
+        f"WHEN floor({number}) = 250 THEN 'diabetes' {ranges} ELSE 'other' END")
 
 
 def band_midpoint(col: str) -> Column:
@@ -67,14 +63,14 @@ def band_midpoint(col: str) -> Column:
     return F.regexp_extract(col, r"\[(\d+)-", 1).try_cast("int") + F.lit(5)
 
 
-def count_where(columns: list[str], test) -> Column:
-    """How many of ``columns`` satisfy ``test``; null results count as 0."""
-    return reduce(lambda a, b: a + b, [flag(test(F.col(f"`{c}`"))) for c in columns], F.lit(0))
+def count_where(columns: list[str], test: str) -> Column:
+    """How many of ``columns`` satisfy a SQL test on ``{c}``; unknown results count as 0."""
+    return F.expr(" + ".join(f"int(coalesce({test.format(c=f'`{c}`')}, false))" for c in columns) or "0")
 
 
-def any_where(columns: list[str], test) -> Column:
-    return flag(reduce(lambda a, b: a | b,
-                       [F.coalesce(test(F.col(f"`{c}`")), F.lit(False)) for c in columns], F.lit(False)))
+def any_where(columns: list[str], test: str) -> Column:
+    """1 when any of ``columns`` satisfies a SQL test on ``{c}``, else 0."""
+    return F.expr("int(" + (" OR ".join(f"coalesce({test.format(c=f'`{c}`')}, false)" for c in columns) or "false") + ")")
 
 
 def map_code(code: Column, table: dict, default: str) -> Column:

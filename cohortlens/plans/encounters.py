@@ -61,21 +61,19 @@ NEVER_FEATURES = {
 
 def silver(raw: DataFrame) -> DataFrame:
     """Typed, cleaned and filtered encounters from the all-text raw table."""
-    keep = lambda c: F.col(f"`{c}`")
-    typed = raw.select(
-        F.col("encounter_id").cast("bigint").alias("encounter_id"),
-        F.col("patient_nbr").cast("bigint").alias("patient_nbr"),
-        C.sentinel_to_null("race", "?").alias("race"),
-        C.allow_list("gender", ["Male", "Female"]).alias("gender"),
-        F.col("age").alias("age_band"),
-        *[F.col(c).cast("int").alias(c) for c in INT_COLUMNS],
-        *[C.sentinel_to_null(c, "?").alias(c) for c in
-          ("medical_specialty", "payer_code", "diag_1", "diag_2", "diag_3")],
-        C.sentinel_to_null("max_glu_serum", "None").alias("max_glu_serum"),
-        C.sentinel_to_null("A1Cresult", "None").alias("a1c_result"),
-        *[keep(c) for c in DRUGS],
-        F.col("change").alias("med_change"),
-        F.col("diabetesMed").alias("on_diabetes_med"),
+    typed = raw.selectExpr(
+        "CAST(encounter_id AS BIGINT) AS encounter_id",
+        "CAST(patient_nbr AS BIGINT) AS patient_nbr",
+        "nullif(race, '?') AS race",
+        "CASE WHEN gender IN ('Male', 'Female') THEN gender END AS gender",
+        "age AS age_band",
+        *[f"CAST({c} AS INT) AS {c}" for c in INT_COLUMNS],
+        *[f"nullif({c}, '?') AS {c}" for c in ("medical_specialty", "payer_code", "diag_1", "diag_2", "diag_3")],
+        "nullif(max_glu_serum, 'None') AS max_glu_serum",
+        "nullif(A1Cresult, 'None') AS a1c_result",
+        *[f"`{c}`" for c in DRUGS],
+        "change AS med_change",
+        "diabetesMed AS on_diabetes_med",
         "readmitted",
     )
     code = F.col("discharge_disposition_id")
@@ -106,7 +104,7 @@ def _fact_columns(clean: DataFrame) -> DataFrame:
     return (
         clean.withColumn("_number", C.number_or_null("diag_1"))
         .withColumns({
-            "diag_1_group": C.code_group(F.col("diag_1"), F.col("_number")),
+            "diag_1_group": C.code_group("diag_1", "_number"),
             "age_midpoint": C.band_midpoint("age_band"),
             "prior_visits_total": F.col("number_outpatient") + F.col("number_emergency") + F.col("number_inpatient"),
         })
@@ -131,8 +129,8 @@ def add_features(df: DataFrame) -> DataFrame:
     days = F.greatest(F.col("time_in_hospital"), F.lit(1))
     out = df.withColumns({
         # a missing drug entry is not 'No', so it counts as active
-        "n_active_diabetes_meds": C.count_where(drugs, lambda c: F.coalesce(c != "No", F.lit(True))),
-        "any_med_adjusted": C.any_where(drugs, lambda c: c.isin("Up", "Down")),
+        "n_active_diabetes_meds": C.count_where(drugs, "{c} IS NULL OR {c} <> 'No'"),
+        "any_med_adjusted": C.any_where(drugs, "{c} IN ('Up', 'Down')"),
         "procedures_per_day": ratio(F.col("num_procedures"), days),
         "meds_per_day": ratio(F.col("num_medications"), days),
         "labs_per_day": ratio(F.col("num_lab_procedures"), days),

@@ -29,7 +29,7 @@ def get_spark(app: str = "cohortlens", **conf: str) -> SparkSession:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the output size, the one it uses to pick joins."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM plan at hand, e.g. a remote client
         return None
 
