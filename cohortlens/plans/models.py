@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators import anomaly, encode, evaluation, folds, importance, oof, phenotypes, profile, quality, regression, resample
+from cohortlens.operators.association import adjust_fdr
 from cohortlens.plans import encounters as E, fixtures as X, survey as S
 from cohortlens.plans.queries import OUTCOME, query, rounded
 from cohortlens.session import materialize
@@ -25,29 +27,21 @@ def model_rows(spark, sf) -> DataFrame:
     return materialize(folds.group_folds(df, KEY, [OUTCOME]))
 
 
-def encounter_stages(estimator, numeric: list[str] | None = None) -> list:
-    return [*oof.prepared(numeric or E.NUMERIC, E.BINARY, E.CATEGORICAL, E.UTILIZATION, KEY), *estimator]
+def encounter_prep(numeric: list[str] | None = None):
+    return lambda: oof.prepared(numeric or E.NUMERIC, E.BINARY, E.CATEGORICAL, E.UTILIZATION, KEY)
 
 
-def logistic_stages(n: int, pos: int) -> list:
-    return encounter_stages([oof.logistic(OUTCOME, n)])
+ESTIMATORS = {
+    "logistic": lambda n, pos: [oof.logistic(OUTCOME, n)],
+    "linear_svm": lambda n, pos: [oof.ClassWeight(OUTCOME, pos, n), oof.linear_svm(OUTCOME, n, weight="_weight")],
+    "gradient_boosting": lambda n, pos: [oof.boosted_trees(OUTCOME, ROUNDS)],
+    "perceptron": lambda n, pos: [oof.perceptron(OUTCOME)],
+}
 
 
-def svm_stages(n: int, pos: int) -> list:
-    return encounter_stages([oof.ClassWeight(OUTCOME, pos, n), oof.linear_svm(OUTCOME, n, weight="_weight")])
-
-
-def boosting_stages(rounds: int = ROUNDS, numeric: list[str] | None = None):
-    return lambda n, pos: encounter_stages([oof.boosted_trees(OUTCOME, rounds)], numeric)
-
-
-def out_of_fold_scores(df: DataFrame, models: dict) -> DataFrame:
-    """(key, label, fold, one score column per model), joined by key."""
-    out = None
-    for name, stages in models.items():
-        part = oof.out_of_fold(df, "fold", OUTCOME, KEY, stages, name)
-        out = part if out is None else out.join(part.drop(OUTCOME, "fold"), KEY)
-    return out
+def encounter_scores(df: DataFrame, names: list[str], numeric: list[str] | None = None) -> DataFrame:
+    """(key, label, fold, scores) of the named models, written once."""
+    return materialize(oof.out_of_fold(df, "fold", OUTCOME, KEY, encounter_prep(numeric), {n: ESTIMATORS[n] for n in names}))
 
 
 @query("group_folds")
@@ -96,7 +90,6 @@ def nested_lrt(spark, sf):
     for y in S.OUTCOMES:
         t = regression.nested_table(df, y, blocks, S.CATEGORICAL)
         out = t if out is None else out.unionByName(t)
-    from cohortlens.operators.association import adjust_fdr
     return rounded(adjust_fdr(out).drop("significant_fdr_05").withColumnRenamed("p_adj", "p_adj_bh"))
 
 
@@ -127,44 +120,40 @@ def bootstrap_intervals(spark, sf):
 
 @query("oof_logistic")
 def oof_logistic(spark, sf):
-    return out_of_fold_scores(model_rows(spark, sf), {"logistic": logistic_stages})
+    return encounter_scores(model_rows(spark, sf), ["logistic"])
 
 
 @query("oof_models")
 def oof_models(spark, sf):
     """Discrimination of the rule and three fitted models on the same folds."""
     df = model_rows(spark, sf)
-    scored = out_of_fold_scores(df, {
-        "logistic": logistic_stages, "linear_svm": svm_stages, "gradient_boosting": boosting_stages()})
+    fitted = ["logistic", "linear_svm", "gradient_boosting"]
     rule = df.select(KEY, F.col("number_inpatient").cast("double").alias("rule_baseline"))
-    table = materialize(scored.join(rule, KEY))
-    models = ["rule_baseline", "logistic", "linear_svm", "gradient_boosting"]
-    return rounded(evaluation.discrimination(table, OUTCOME, models))
+    table = encounter_scores(df, fitted).join(rule, KEY)
+    return rounded(evaluation.discrimination(table, OUTCOME, ["rule_baseline", *fitted]))
 
 
 @query("leakage_sensitivity")
 def leakage_sensitivity(spark, sf):
     """The same model with and without the future event count, on identical folds."""
     df = quality.require_domain(model_rows(spark, sf), {LEAKY: quality.positive_count(LEAKY)})
-    both = materialize(out_of_fold_scores(df, {
-        "safe_model": boosting_stages(), "with_future_count": boosting_stages(numeric=[*E.NUMERIC, LEAKY])}))
+    safe = encounter_scores(df, ["gradient_boosting"]).withColumnRenamed("gradient_boosting", "safe_model")
+    leaky = encounter_scores(df, ["gradient_boosting"], [*E.NUMERIC, LEAKY]).select(
+        KEY, F.col("gradient_boosting").alias("with_future_count"))
+    both = materialize(safe.join(leaky, KEY))
     return rounded(resample.leakage_comparison(both, KEY, OUTCOME, "safe_model", "with_future_count"))
 
 
 @query("neural_benchmark")
 def neural_benchmark(spark, sf):
     df = model_rows(spark, sf)
-    net = oof.out_of_fold(df, "fold", OUTCOME, KEY,
-                          lambda n, pos: encounter_stages([oof.perceptron(OUTCOME)]), "perceptron")
-    base = oof.out_of_fold(df, "fold", OUTCOME, KEY, logistic_stages, "logistic")
-    pair = materialize(quality.one_to_one(materialize(net), materialize(base).drop("fold"), KEY, OUTCOME))
+    net, base = encounter_scores(df, ["perceptron"]), encounter_scores(df, ["logistic"]).drop("fold")
+    pair = materialize(quality.one_to_one(net, base, KEY, OUTCOME))
     return rounded(resample.discrimination_with_intervals(pair, KEY, OUTCOME, ["perceptron", "logistic"]))
 
 
-def survey_stages(label: str):
-    def stages(n: int, pos: int) -> list:
-        return [encode.FeatureEncoder(S.NUMERIC, S.BINARY, S.CATEGORICAL, drop_first=True), oof.logistic(label, n)]
-    return stages
+def survey_prep() -> list:
+    return [encode.FeatureEncoder(S.NUMERIC, S.BINARY, S.CATEGORICAL, drop_first=True)]
 
 
 def survey_rows(spark, sf) -> DataFrame:
@@ -178,7 +167,8 @@ def survey_models(spark, sf):
     df = survey_rows(spark, sf)
     out = None
     for y in S.OUTCOMES:
-        scored = materialize(oof.out_of_fold(df, "fold", y, "row_id", survey_stages(y), "p"))
+        scored = materialize(oof.out_of_fold(
+            df, "fold", y, "row_id", survey_prep, {"p": lambda n, pos: [oof.logistic(y, n)]}))
         row = resample.discrimination_with_intervals(scored, "row_id", y, ["p"], draws=300)
         row = row.join(evaluation.brier(scored, y, ["p"]).select("model", "brier_score"), "model").select(
             F.lit(y).alias("outcome"), *[c for c in row.columns if c != "model"], "brier_score")
@@ -190,16 +180,15 @@ def survey_models(spark, sf):
 def permutation_importance(spark, sf):
     df = survey_rows(spark, sf)
     y = S.OUTCOMES[0]
-    models = oof.fit_folds(df, "fold", y, survey_stages(y))
+    models = oof.fit_folds(df, "fold", y, lambda n, pos: [*survey_prep(), oof.logistic(y, n)])
     drops = importance.permutation_importance(df, "fold", y, "row_id", S.FEATURES, models)
     return rounded(importance.importance_summary(drops))
 
 
 @query("shapley_importance")
 def shapley_importance(spark, sf):
-    from pyspark.ml import Pipeline
     df = model_rows(spark, sf)
-    model = Pipeline(stages=boosting_stages()(0, 0)).fit(df)
+    model = Pipeline(stages=[*encounter_prep()(), oof.boosted_trees(OUTCOME, ROUNDS)]).fit(df)
     names = list(model.stages[1].columns())
     phi = importance.shapley_contributions(df, KEY, model, names, EXPLAIN, BACKGROUND)
     rows = importance.contribution_rows(phi, KEY, names)
