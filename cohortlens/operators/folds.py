@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.cleaning import joint_label
-from cohortlens.session import fits_one_task
+from cohortlens.operators.ordered import ordered_scan
 
 SEED = 42
 N_FOLDS = 5
-#: Slices a stratum is cut into when the entity table is large.
-SLICES = 4_096
 
 
 def key_hash(key: str, seed: int) -> Column:
@@ -18,23 +16,20 @@ def key_hash(key: str, seed: int) -> Column:
 
 
 def group_folds(
-    df: DataFrame, entity: str, labels: list[str], k: int = N_FOLDS, seed: int = SEED, slices: int | None = None,
+    df: DataFrame, entity: str, labels: list[str], k: int = N_FOLDS, seed: int = SEED, **scan: object,
 ) -> DataFrame:
     """Add ``fold`` so that an entity has one fold and every label pattern is spread evenly.
 
     Entities are reduced to a profile (rows and positives per label), then dealt round-robin in
-    hash order within (profile, slice). Slices keep a dominant profile out of a single task; each
-    one may shift a profile's balance by at most one entity per fold.
+    hash order within their profile; a profile that holds most entities is ranked in parallel. The
+    first fold of the deal depends on the profile, so rare profiles do not pile up in one fold.
     """
     profile = [F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(c).cast("int")).alias(f"_p{i}") for i, c in enumerate(labels)]]
-    entities = df.groupBy(entity).agg(*profile)
-    if slices is None:
-        slices = 1 if fits_one_task(df) else SLICES
-    h = key_hash(entity, seed)
-    cut = F.pmod(F.shiftrightunsigned(h, 32), F.lit(slices))
-    w = Window.partitionBy("_rows", *[f"_p{i}" for i in range(len(labels))], cut).orderBy(h, entity)
-    dealt = entities.select(entity, F.pmod(F.row_number().over(w) - 1 + cut, F.lit(k)).cast("int").alias("fold"))
-    return df.join(dealt, entity)
+    keys = ["_rows", *[f"_p{i}" for i in range(len(labels))]]
+    entities = df.groupBy(entity).agg(*profile).withColumn("_u", key_hash(entity, seed))
+    ranked = ordered_scan(entities, keys, ["_u", entity], position="_i", **scan)
+    fold = F.pmod(F.col("_i") - 1 + F.pmod(F.xxhash64(*keys), F.lit(k)), F.lit(k)).cast("int")
+    return df.join(ranked.select(entity, fold.alias("fold")), entity)
 
 
 def joint_folds(df: DataFrame, entity: str, labels: list[str], k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
