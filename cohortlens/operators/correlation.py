@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.cleaning import interval_label
 from cohortlens.operators.ordered import mid_ranks
-from cohortlens.session import BROADCAST_BYTES, fits_one_task, materialize
+from cohortlens.session import materialize
 
 #: Distinct values per table up to which the rank table is broadcast (about 16 bytes each).
 RANK_ROWS = 1_000_000
@@ -31,13 +31,11 @@ def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str], broadcast_rows: int = RANK_ROWS, **scan: object) -> DataFrame:
     """Rank correlation of every column pair (rows with a null in any of them left out).
 
-    Ranks are computed on distinct values and attached to the rows: through maps in one broadcast
-    row when the counted number of distinct values is small, by shuffled joins otherwise.
+    Ranks are computed on distinct values and attached to the rows: by broadcast joins when the
+    counted number of distinct values is small, by shuffled joins otherwise.
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = mid_ranks(rows, columns, **scan)
-    if not fits_one_task(df, BROADCAST_BYTES):
-        ranks = materialize(ranks)
+    ranks = materialize(mid_ranks(rows, columns, **scan))  # read once per column
     small = ranks.count() <= broadcast_rows
     for c in columns:
         one = ranks.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("mid_rank").alias(f"_r_{c}"))

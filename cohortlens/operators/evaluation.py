@@ -54,12 +54,9 @@ def rank_metrics(scores: DataFrame, label: str, keys: list[str], **scan: object)
 
 
 def discrimination(df: DataFrame, label: str, models: list[str], **scan: object) -> DataFrame:
-    """Rank metrics per score column plus the no-information ``prevalence`` row."""
-    table = rank_metrics(long_scores(df, label, models), label, ["model"], **scan)
-    base = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("events")).select(
-        F.lit("prevalence").alias("model"), "n", "events", ratio(F.col("events"), F.col("n")).alias("prevalence"),
-        ratio(F.col("events"), F.col("n")).alias("pr_auc"), F.lit(0.5).alias("roc_auc"), F.lit(1.0).alias("lift"))
-    return base.unionByName(table)
+    """Rank metrics per score column and for ``prevalence``, a constant score without information."""
+    scores = long_scores(df.withColumn("prevalence", F.lit(0.0)), label, ["prevalence", *models])
+    return rank_metrics(scores, label, ["model"], **scan)
 
 
 def brier(df: DataFrame, label: str, models: list[str]) -> DataFrame:
@@ -195,18 +192,22 @@ def subgroup_audit(
 def gap_table(audit: DataFrame, min_denominator: int = MIN_DENOMINATOR) -> DataFrame:
     """Largest minus smallest TPR and FPR among groups with enough cases; at least two needed.
     On ties the alphabetically first group is named."""
-    def side(metric: str, denominator: str) -> DataFrame:
-        ok = F.col(denominator) >= min_denominator
-        m, g = F.col(metric), F.col("group")
-        agg = audit.groupBy("attribute", "threshold").agg(
-            F.count_if(ok).alias("eligible_groups"),
-            F.max(F.when(ok, m)).alias("_hi"), F.min(F.when(ok, m)).alias("_lo"))
-        named = audit.where(ok).join(agg, ["attribute", "threshold"]).groupBy("attribute", "threshold").agg(
-            F.min(F.when(m == F.col("_hi"), g)).alias("_high"), F.min(F.when(m == F.col("_lo"), g)).alias("_low"))
-        enough = F.col("eligible_groups") >= 2
-        return agg.join(named, ["attribute", "threshold"], "left").select(
-            "attribute", "threshold", F.lit(metric).alias("metric"), "eligible_groups",
+    sides = {"tpr": "events", "fpr": "non_events"}
+    aggs = []
+    for metric, denominator in sides.items():
+        ok, m = F.col(denominator) >= min_denominator, F.col(metric)
+        aggs += [
+            F.count_if(ok).alias(f"_n_{metric}"),
+            F.min(F.when(ok, F.struct((-m).alias("v"), "group"))).alias(f"_hi_{metric}"),
+            F.min(F.when(ok, F.struct(m.alias("v"), "group"))).alias(f"_lo_{metric}"),
+        ]
+    rows = []
+    for metric in sides:
+        enough = F.col(f"_n_{metric}") >= 2
+        rows.append(F.struct(
+            F.lit(metric).alias("metric"), F.col(f"_n_{metric}").alias("eligible_groups"),
             F.lit(min_denominator).alias("minimum_denominator"),
-            F.when(enough, F.col("_hi") - F.col("_lo")).alias("max_minus_min"),
-            F.when(enough, F.col("_high")).alias("highest_group"), F.when(enough, F.col("_low")).alias("lowest_group"))
-    return side("tpr", "events").unionByName(side("fpr", "non_events"))
+            F.when(enough, -F.col(f"_hi_{metric}.v") - F.col(f"_lo_{metric}.v")).alias("max_minus_min"),
+            F.when(enough, F.col(f"_hi_{metric}.group")).alias("highest_group"),
+            F.when(enough, F.col(f"_lo_{metric}.group")).alias("lowest_group")))
+    return audit.groupBy("attribute", "threshold").agg(*aggs).select("attribute", "threshold", F.inline(F.array(*rows)))

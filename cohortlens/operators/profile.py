@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.cleaning import missing
 from cohortlens.functions.rates import pooled_d, ratio, wald, wilson
-from cohortlens.operators.ordered import exact_quantiles, ordered_scan, value_histogram
+from cohortlens.operators.ordered import linear_quantiles, ordered_scan, value_histogram
 
 
 def tall_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -44,26 +44,32 @@ def missing_percent(df: DataFrame, sentinel: str = "?") -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
     """n, moments, quartiles, zero share and 1.5-IQR outliers per column.
 
-    Skewness and excess kurtosis are the population forms; null for a constant column.
+    All of it comes from the value histogram, so the rows are read once. Skewness and excess
+    kurtosis are the population forms; null for a constant column.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "variable", "value")
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], **scan).select(
-        "variable", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
-    x = F.col("value")
+    hist = value_histogram(df, columns)
+    x, w = F.col("value"), F.col("n").cast("double")
+    cum = ordered_scan(hist.withColumn("_wx", w * x), ["variable"], ["value"], running={"_cum": "n"},
+                       totals={"_n": "n", "_sum": "_wx"}, few_keys=True, **scan)
+    d = x - F.col("_sum") / F.col("_n")
+    stats = cum.groupBy("variable").agg(
+        F.max("_n").alias("n"), (F.max("_sum") / F.max("_n")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
+        *[F.sum(w * F.pow(d, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)],
+        F.coalesce(F.sum(F.when(x == 0, F.col("n"))), F.lit(0)).alias("_zero"),
+        linear_quantiles([0.25, 0.5, 0.75]).alias("_q"))
+    spread = F.col("_m2") / F.col("n")
+    stats = stats.select(
+        "variable", "n", "mean", F.sqrt(ratio(F.col("_m2"), F.col("n") - 1)).alias("sd"), "min", "max",
+        F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"),
+        ratio(F.col("_m3") / F.col("n"), F.pow(spread, F.lit(1.5))).alias("skewness"),
+        (ratio(F.col("_m4") / F.col("n"), spread * spread) - 3).alias("kurtosis"),
+        (100.0 * F.col("_zero") / F.col("n")).alias("pct_zero"))
     iqr = F.col("q75") - F.col("q25")
-    # quartiles: one row per column
-    return (
-        long.where(x.isNotNull()).join(F.broadcast(q), "variable")
-        .groupBy("variable", "q25", "median", "q75")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-            F.min(x).alias("min"), F.max(x).alias("max"),
-            F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
-            (100.0 * F.avg((x == 0).cast("int"))).alias("pct_zero"),
-            F.count_if((x < F.col("q25") - 1.5 * iqr) | (x > F.col("q75") + 1.5 * iqr)).alias("outliers_1_5_iqr"),
-        )
-    )
+    # one row per column
+    far = hist.withColumnRenamed("n", "_c").join(F.broadcast(stats), "variable")
+    return far.groupBy(*stats.columns).agg(
+        F.sum(F.when((x < F.col("q25") - 1.5 * iqr) | (x > F.col("q75") + 1.5 * iqr), F.col("_c")).otherwise(0))
+        .alias("outliers_1_5_iqr"))
 
 
 def dispersion(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,9 +175,10 @@ def quantile_bin_rates(
     distinct values, so the rows are aggregated once and never joined to the edges.
     """
     hist = value_histogram(df, columns, {"_events": F.col(outcome).cast("double")})
+    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, few_keys=True, **scan)
     probs = [i / bins for i in range(bins + 1)]
     # one row per column
-    edges = exact_quantiles(df, columns, probs, **scan).select("variable", F.array_distinct("q").alias("_e"))
+    edges = cum.groupBy("variable").agg(F.array_distinct(linear_quantiles(probs)).alias("_e"))
     labelled = hist.join(F.broadcast(edges), "variable").withColumn(
         "bin", F.expr("greatest(size(filter(_e, e -> e < value)) - 1, 0)"))
     agg = labelled.groupBy("variable", "bin").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.operators.ordered import ordered_scan
 from cohortlens.plans import encounters, survey
+from cohortlens.session import materialize
 from cohortlens.sources.tables import read_parquet
 
 
@@ -156,6 +157,11 @@ def cohort_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encounters.add_features(encounters.first_cohort(silver(spark, sf_dir)))
 
 
+def cohort_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Cohort columns written once, for operators that read their input several times."""
+    return materialize(cohort_features(spark, sf_dir).select(*columns))
+
+
 def survey_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.silver(raw_survey(spark, sf_dir))
 
@@ -173,3 +179,8 @@ def scored_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score_a": logistic(0.08 * c("number_inpatient") + 0.05 * c("time_in_hospital") - 2.5),
         "score_b": logistic(0.01 * c("num_lab_procedures") - 0.1 * c("num_procedures") - 2.2),
     })
+
+
+def scored_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Scored cohort columns written once."""
+    return materialize(scored_cohort(spark, sf_dir).select(*columns))

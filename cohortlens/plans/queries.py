@@ -35,9 +35,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded for comparison; ``other`` gives columns their own number of digits."""
+    return df.select(*[F.round(F.col(f"`{n}`"), other.get(n, digits)).alias(n) if t == "double" else F.col(f"`{n}`")
                        for n, t in df.dtypes])
 
 
@@ -144,7 +144,7 @@ SELECT 'cat__' || feature || '_' || level AS encoded, feature, count(*) AS n FRO
   {O.stacked(_SOURCES, 'features', 'feature', 'level', cast='VARCHAR')}) GROUP BY 1, 2
 UNION ALL SELECT 'num__age_midpoint', 'age_midpoint', count(*) FROM features)""")
 def source_features(spark, sf):
-    df = X.cohort_features(spark, sf)
+    df = X.cohort_table(spark, sf, *_SOURCES)
     levels = encode.level_counts(df, _SOURCES).select(
         F.concat(F.lit("cat__"), "feature", F.lit("_"), "level").alias("encoded"), "n")
     numeric = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("num__age_midpoint").alias("encoded"), "n")
@@ -345,7 +345,7 @@ def _profile_sql(columns: list[str], source: str) -> str:
 v AS ({O.stacked(columns, source)}),
 q AS (SELECT variable, count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
   quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q75 FROM v GROUP BY variable)
-SELECT v.variable, any_value(n) AS n, round(any_value(m), 6) AS mean, round(any_value(sd), 6) AS sd,
+SELECT v.variable, any_value(n) AS n, round(any_value(m), 7) AS mean, round(any_value(sd), 6) AS sd,
   any_value(lo) AS "min", round(any_value(q25), 6) AS q25, round(any_value(median), 6) AS median, round(any_value(q75), 6) AS q75,
   any_value(hi) AS "max",
   round(avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5), 6) AS skewness,
@@ -361,12 +361,12 @@ _PROFILE_ORDER = ["variable", "n", "mean", "sd", "min", "q25", "median", "q75",
 
 @query("numeric_profile", "WITH " + _profile_sql(_LINE_NUMBERS, "lineitem"))
 def numeric_profile(spark, sf):
-    return rounded(profile.numeric_profile(X.table(spark, sf, "lineitem"), _LINE_NUMBERS).select(*_PROFILE_ORDER))
+    return rounded(profile.numeric_profile(X.table(spark, sf, "lineitem"), _LINE_NUMBERS).select(*_PROFILE_ORDER), mean=7)
 
 
 @query("cohort_profile", O.ENCOUNTERS + "," + _profile_sql(COUNTS, "features"))
 def cohort_profile(spark, sf):
-    return rounded(profile.numeric_profile(X.cohort_features(spark, sf), COUNTS).select(*_PROFILE_ORDER))
+    return rounded(profile.numeric_profile(X.cohort_table(spark, sf, *COUNTS), COUNTS).select(*_PROFILE_ORDER), mean=7)
 
 
 @query("exact_quantiles", """
@@ -496,7 +496,7 @@ r AS (SELECT variable, bin, count(*) AS n, avg(y) AS r FROM b GROUP BY 1, 2)
 @query("rate_by_quantile_bin", O.ENCOUNTERS + "," + _bins_sql(COUNTS) + f"""
 SELECT variable, CAST(bin AS INTEGER) AS bin, n, round(r, 6) AS rate, {_WALD.format(p='r', n='n')} FROM r""")
 def rate_by_quantile_bin(spark, sf):
-    return rounded(profile.quantile_bin_rates(X.cohort_features(spark, sf), COUNTS, OUTCOME))
+    return rounded(profile.quantile_bin_rates(X.cohort_table(spark, sf, OUTCOME, *COUNTS), COUNTS, OUTCOME))
 
 
 _BINNED = ["number_diagnoses", "time_in_hospital", "num_medications", "num_lab_procedures", "num_procedures"]
@@ -509,7 +509,7 @@ UNION ALL SELECT variable, 'binary (any vs none)', round(100 * avg(y) FILTER (WH
   round(100 * avg(y) FILTER (WHERE value > 0), 6), round(100 * (avg(y) FILTER (WHERE value > 0) - avg(y) FILTER (WHERE value = 0)), 6)
 FROM ({O.stacked(E.PRIOR_VISITS, 'features', extra='readmitted_30d AS y')}) GROUP BY variable""")
 def encoding_spread(spark, sf):
-    return rounded(profile.encoding_spread(X.cohort_features(spark, sf), _BINNED, E.PRIOR_VISITS, OUTCOME))
+    return rounded(profile.encoding_spread(X.cohort_table(spark, sf, OUTCOME, *COUNTS), _BINNED, E.PRIOR_VISITS, OUTCOME))
 
 
 @query("histogram_density", O.SURVEY + """
@@ -629,7 +629,7 @@ mwu AS (SELECT 'mannwhitneyu: ' || us.variable AS test, u AS statistic, abs(1 -
 @query("chi_square_family", O.ENCOUNTERS + _CHI_SQL + """
 SELECT test, round(statistic, 6) AS statistic, dof, round(effect_size, 6) AS effect_size, n FROM chi""")
 def chi_square_family(spark, sf):
-    t = association.chi_square(X.cohort_features(spark, sf), FACTORS, OUTCOME)
+    t = association.chi_square(X.cohort_table(spark, sf, OUTCOME, *FACTORS), FACTORS, OUTCOME)
     return rounded(t.drop("effect_name"))
 
 
@@ -642,7 +642,7 @@ def mann_whitney_family(spark, sf):
 
 @query("test_family")
 def test_family(spark, sf):
-    return rounded(association.test_family(X.cohort_features(spark, sf), FACTORS, RANKED, OUTCOME))
+    return rounded(association.test_family(X.cohort_table(spark, sf, OUTCOME, *FACTORS, *RANKED), FACTORS, RANKED, OUTCOME))
 
 
 test_family.__test__ = False
@@ -658,7 +658,7 @@ a AS (SELECT x.diag_1_group, x.p_value, least(1.0, min(y.p_value * y.m / y.i)) A
   FROM i x JOIN i y ON y.i >= x.i GROUP BY 1, 2)
 SELECT diag_1_group, round(p_value, 6) AS p_value, round(p_adj, 6) AS p_adj, p_adj < 0.05 AS significant_fdr_05 FROM a""")
 def bh_adjust(spark, sf):
-    df = X.cohort_features(spark, sf)
+    df = X.cohort_table(spark, sf, OUTCOME, "diag_1_group")
     base = df.agg(F.avg(OUTCOME)).scalar()
     z = F.abs(F.col("rate") - F.col("base")) / F.sqrt(F.col("base") * (1 - F.col("base")) / F.col("n"))
     p = profile.group_rates(df, "diag_1_group", OUTCOME).withColumn("base", base).withColumn("z", z).select(
@@ -674,12 +674,12 @@ _CORR = [c for c in E.NUMERIC]
     + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS rho FROM ranks"
                          for i, a in enumerate(_CORR) for b in _CORR[i + 1:]))
 def spearman_matrix(spark, sf):
-    return rounded(correlation.spearman(X.cohort_features(spark, sf), _CORR))
+    return rounded(correlation.spearman(X.cohort_table(spark, sf, *_CORR), _CORR))
 
 
 @query("variance_inflation")
 def variance_inflation(spark, sf):
-    return rounded(correlation.variance_inflation(X.cohort_features(spark, sf), _CORR))
+    return rounded(correlation.variance_inflation(X.cohort_table(spark, sf, *_CORR), _CORR))
 
 
 @query("poisson_negbin", O.ENCOUNTERS + """,
@@ -693,7 +693,7 @@ SELECT n, round(m, 4) AS mean, round(v, 4) AS variance, round(v / m, 4) AS dispe
   round(lp, 3) AS loglik_poisson, round(lb, 3) AS loglik_negbin, round(2 * (lb - lp), 3) AS lr_statistic,
   round(2 - 2 * lp, 3) AS aic_poisson, round(4 - 2 * lb, 3) AS aic_negbin FROM l""")
 def poisson_negbin(spark, sf):
-    t = distributions.poisson_vs_negbin(X.cohort_features(spark, sf), "num_lab_procedures").drop("p_value")
+    t = distributions.poisson_vs_negbin(X.cohort_table(spark, sf, "num_lab_procedures"), "num_lab_procedures").drop("p_value")
     digits = {"mean": 4, "variance": 4, "dispersion_ratio": 4, "nb_dispersion_r": 4}
     return t.select("n", *[F.round(c, digits.get(c, 3)).alias(c) for c in t.columns if c != "n"])
 
@@ -732,7 +732,7 @@ def infrequent_levels(spark, sf):
 @query("standardized_features", O.ENCOUNTERS + "SELECT patient_nbr, " + ", ".join(
     f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS num__{c}" for c in COUNTS) + " FROM features")
 def standardized_features(spark, sf):
-    df = X.cohort_features(spark, sf)
+    df = X.cohort_table(spark, sf, "patient_nbr", *COUNTS)
     model = encode.FeatureEncoder(COUNTS, [], []).fit(df)
     return rounded(df.select("patient_nbr", *[e.alias(n) for n, e in model.columns().items()]))
 
@@ -746,7 +746,7 @@ SELECT feature, n, CASE WHEN n >= 100 THEN level ELSE '{encode.RARE}' END AS enc
   SELECT feature, level, count(*) AS n FROM ({O.stacked(_OH, 'features', 'feature', 'level', cast='VARCHAR')}) GROUP BY 1, 2))
 GROUP BY 1""")
 def one_hot_pooled(spark, sf):
-    df = X.cohort_features(spark, sf)
+    df = X.cohort_table(spark, sf, *_OH)
     cols = encode.FeatureEncoder([], [], _OH, min_count=100).fit(df).columns()
     return df.agg(*[F.sum(e).alias(n) for n, e in cols.items()]).unpivot([], list(cols), "encoded_feature", "total")
 
@@ -881,7 +881,7 @@ rel AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY b) AS bin,
 @query("reliability_bins", O.ENCOUNTERS + _REL_SQL + """
 SELECT model, bin, n_bin, round(mp, 6) AS mean_predicted_probability, round(o, 6) AS observed_event_rate FROM rel""")
 def reliability_bins(spark, sf):
-    return rounded(evaluation.reliability_bins(X.scored_cohort(spark, sf), OUTCOME, ["score_a", "score_b"]))
+    return rounded(evaluation.reliability_bins(X.scored_table(spark, sf, OUTCOME, "score_a", "score_b"), OUTCOME, ["score_a", "score_b"]))
 
 
 @query("calibration_report", O.ENCOUNTERS + _REL_SQL + """,
@@ -889,7 +889,7 @@ sm AS (SELECT model, count(*) AS n, avg(y) AS er, avg((p - y) * (p - y)) AS br F
 SELECT rel.model, bin, n_bin, round(mp, 6) AS mean_predicted_probability, round(o, 6) AS observed_event_rate,
   n, round(er, 6) AS event_rate, round(br, 6) AS brier_score FROM rel LEFT JOIN sm ON rel.model = sm.model""")
 def calibration_report(spark, sf):
-    df = X.scored_cohort(spark, sf)
+    df = X.scored_table(spark, sf, OUTCOME, "score_a", "score_b")
     models = ["score_a", "score_b"]
     return rounded(evaluation.calibration_report(
         evaluation.reliability_bins(df, OUTCOME, models), evaluation.brier(df, OUTCOME, models)))

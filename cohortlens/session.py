@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Catalyst's size estimate below which a whole input may be one task's group.
-ONE_TASK_BYTES = 256 * 1024 * 1024
-#: Catalyst's size estimate below which a side may be broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: Source bytes up to which a whole input may be one task's group, or a side be broadcast.
+ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
 def get_spark(app: str = "cohortlens", **conf: str) -> SparkSession:
@@ -26,33 +25,44 @@ def get_spark(app: str = "cohortlens", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's estimate of the output size, the one it uses to pick joins."""
+def source_bytes(df: DataFrame) -> int | None:
+    """Total size of the sources a DataFrame reads, or None when Spark does not know it.
+
+    Catalyst multiplies the sides of a join, so its estimate of a result says little; the summed
+    sources bound what a plan without cross joins can put into one group well enough.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # no JVM plan at hand, e.g. a remote client
         return None
+    return sum(sizes)
 
 
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     """True when the *whole* input is small, so no group of it can be too large."""
-    size = estimated_bytes(df)
+    size = source_bytes(df)
     return size is not None and size <= limit
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cohortlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once as parquet below the shared folder and read it back.
 
-    Used where a shuffled intermediate feeds several passes. The folder is the cluster's
-    ``spark.checkpoint.dir``; a temporary one is set only for a local master.
+    Used where an intermediate feeds several passes: it cuts the lineage, survives lost executors,
+    and later passes read only their columns and know the size.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
