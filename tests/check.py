@@ -38,7 +38,7 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         out = df[cols].copy()
         for c in cols:
             if out[c].dtype.kind in "iuf" or out[c].dtype == object and out[c].map(lambda v: isinstance(v, (int, float)) or v is None).all():
-                out[c] = pd.to_numeric(out[c]).astype(float).round(7) + 0.0
+                out[c] = pd.to_numeric(out[c]).astype(float).round(9) + 0.0
             else:
                 out[c] = out[c].astype(str).replace({"nan": "None", "<NA>": "None"})
         return out.sort_values(cols, kind="stable").reset_index(drop=True)
