@@ -100,7 +100,7 @@ def post_expired_patients(raw: DataFrame) -> DataFrame:
     return cohort.post_absorbing_entities(ids, "patient_nbr", "encounter_id", F.col("code").isin(EXPIRED))
 
 
-def _fact_columns(clean: DataFrame) -> DataFrame:
+def fact_columns(clean: DataFrame) -> DataFrame:
     return (
         clean.withColumn("_number", C.number_or_null("diag_1"))
         .withColumns({
@@ -114,12 +114,12 @@ def _fact_columns(clean: DataFrame) -> DataFrame:
 
 def fact(clean: DataFrame, **scan: object) -> DataFrame:
     """One row per retained encounter with its place in the patient's history."""
-    return cohort.sequence_events(_fact_columns(clean), "patient_nbr", ["encounter_id"], **scan)
+    return cohort.sequence_events(fact_columns(clean), "patient_nbr", ["encounter_id"], **scan)
 
 
 def first_cohort(clean: DataFrame) -> DataFrame:
     """First retained encounter per patient: the fact rows with ``encounter_seq = 1``."""
-    first = cohort.first_events(_fact_columns(clean), "patient_nbr", ["encounter_id"])
+    first = cohort.first_events(fact_columns(clean), "patient_nbr", ["encounter_id"])
     return first.withColumn("encounter_seq", F.lit(1).cast("bigint"))
 
 

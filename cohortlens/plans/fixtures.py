@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def _drug_slots() -> list[tuple[str, int, str]]:
+def drug_slots() -> list[tuple[str, int, str]]:
     """Each drug column reads the lines of one (line number, return flag) pair: 7 x 3 = 21."""
     pairs = [(n, r) for n in range(1, 8) for r in ("A", "N", "R")]
     return [(drug, n, r) for drug, (n, r) in zip(encounters.DRUGS, pairs)]
@@ -38,7 +38,7 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
         F.count_if(F.col("l_linestatus") == "O").cast("int").alias("n_open"),
         F.max("l_discount").alias("max_discount"),
         *[F.expr(f"max(CASE WHEN l_linenumber = {n} AND l_returnflag = '{r}' THEN l_discount END) AS d_{n}{r}")
-          for _, n, r in _drug_slots()],
+          for _, n, r in drug_slots()],
     )
 
 
@@ -97,7 +97,7 @@ def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "A1Cresult": F.when(F.col("max_discount") >= 0.09, ">8").when(F.col("max_discount") >= 0.07, ">7")
         .when(F.col("max_discount") >= 0.05, "Norm").otherwise("None"),
         **{drug: F.expr(f"CASE WHEN d_{n}{r} >= 0.09 THEN 'Up' WHEN d_{n}{r} <= 0.01 THEN 'Down' "
-                        f"WHEN d_{n}{r} IS NULL THEN 'No' ELSE 'Steady' END") for drug, n, r in _drug_slots()},
+                        f"WHEN d_{n}{r} IS NULL THEN 'No' ELSE 'Steady' END") for drug, n, r in drug_slots()},
         "change": F.when(F.col("n_returned") > 0, "Ch").otherwise("No"),
         "diabetesMed": F.when(lines_n > 0, "Yes").otherwise("No"),
         "readmitted": F.when(F.col("next_date").isNull(), "NO")

@@ -7,15 +7,15 @@ one scan per metric), to compare whole results with.
 from __future__ import annotations
 
 from cohortlens.plans.encounters import CATEGORICAL, DRUGS, UTILIZATION
-from cohortlens.plans.fixtures import _drug_slots
+from cohortlens.plans.fixtures import drug_slots
 
 _Q = [f'"{d}"' for d in DRUGS]
 _MAX = ",\n    ".join(
     f"max(CASE WHEN l_linenumber = {n} AND l_returnflag = '{r}' THEN l_discount END) AS d_{n}{r}"
-    for _, n, r in _drug_slots())
+    for _, n, r in drug_slots())
 _TEXT = ",\n    ".join(
     f"CASE WHEN d_{n}{r} IS NULL THEN 'No' WHEN d_{n}{r} >= 0.09 THEN 'Up' "
-    f"WHEN d_{n}{r} <= 0.01 THEN 'Down' ELSE 'Steady' END AS \"{drug}\"" for drug, n, r in _drug_slots())
+    f"WHEN d_{n}{r} <= 0.01 THEN 'Down' ELSE 'Steady' END AS \"{drug}\"" for drug, n, r in drug_slots())
 _ACTIVE = " + ".join(f"CASE WHEN {q} = 'No' THEN 0 ELSE 1 END" for q in _Q)
 _ADJUSTED = " OR ".join(f"coalesce({q} IN ('Up','Down'), false)" for q in _Q)
 

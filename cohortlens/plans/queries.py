@@ -62,7 +62,7 @@ def survey_clean(spark, sf):
 @query("code_group_ladder", O.ENCOUNTERS + """
 SELECT encounter_id, diag_1, diag_1_group, age_midpoint, prior_visits_total FROM fact""")
 def code_group_ladder(spark, sf):
-    return E._fact_columns(X.silver(spark, sf)).select(
+    return E.fact_columns(X.silver(spark, sf)).select(
         "encounter_id", "diag_1", "diag_1_group", "age_midpoint", "prior_visits_total")
 
 
@@ -543,7 +543,7 @@ SELECT diag_1_group, max(CASE WHEN readmitted = 'NO' THEN rank END) AS "NO", max
   max(CASE WHEN readmitted = '>30' THEN rank END) AS ">30"
 FROM (SELECT *, CAST(rank() OVER (PARTITION BY readmitted ORDER BY n DESC) AS INTEGER) AS rank FROM g) GROUP BY 1""")
 def pivot_rank(spark, sf):
-    counts = E._fact_columns(X.silver(spark, sf)).groupBy("diag_1_group", "readmitted").agg(F.count(F.lit(1)).alias("n"))
+    counts = E.fact_columns(X.silver(spark, sf)).groupBy("diag_1_group", "readmitted").agg(F.count(F.lit(1)).alias("n"))
     ranked = profile.rank_within(counts, "readmitted", "n")
     return profile.pivot_first(ranked, "diag_1_group", "readmitted", ["NO", "<30", ">30"], "rank")
 
@@ -557,7 +557,7 @@ SELECT a.readmitted AS outcome_a, b.readmitted AS outcome_b, round(corr(a.r, b.r
 FROM k a JOIN k b ON a.diag_1_group = b.diag_1_group
 WHERE (a.readmitted, b.readmitted) IN (('NO', '<30'), ('NO', '>30'), ('<30', '>30')) GROUP BY 1, 2""")
 def rank_agreement(spark, sf):
-    counts = E._fact_columns(X.silver(spark, sf)).groupBy("diag_1_group", "readmitted").agg(F.count(F.lit(1)).alias("n"))
+    counts = E.fact_columns(X.silver(spark, sf)).groupBy("diag_1_group", "readmitted").agg(F.count(F.lit(1)).alias("n"))
     return rounded(profile.rank_agreement(counts, "diag_1_group", "readmitted", "n", _LEVELS))
 
 
