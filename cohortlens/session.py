@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +48,29 @@ def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which may not have it installed; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_cohortlens_sent", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("cohortlens", os.path.relpath(path, here)))
+    folder = tempfile.mkdtemp(prefix="cohortlens-")  # the driver serves the file from here
+    path = os.path.join(folder, "cohortlens.zip")
+    with open(path, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(path)
+    context._cohortlens_sent = True
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local master."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local master that has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -60,9 +84,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet below the shared folder and read it back.
 
     Used where an intermediate feeds several passes: it cuts the lineage, survives lost executors,
-    and later passes read only their columns and know the size.
+    and later passes read only their columns and know the size. The copy is deleted when the
+    driver ends; ``discard`` does so earlier.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the copy behind a DataFrame that ``materialize`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("cohortlens-"):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
