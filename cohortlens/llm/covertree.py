@@ -31,6 +31,8 @@ TREE_ROWS = 4_096
 SAMPLE, ANCHORS = 4_096, 16
 #: Node pairs with at most so many vector pairs are compared vector by vector.
 LEAF_PAIRS = 1 << 14
+#: Those with at most so many are gathered and compared together.
+SMALL_PAIRS = 128
 _SLACK = 1e-9
 
 
@@ -102,8 +104,24 @@ class CoverTree:
             self.levels.append({"point": point, "first": first, "last": last, "radius": radius})
         for level, below in zip(self.levels, self.levels[1:]):
             level["child"] = np.searchsorted(below["first"], np.append(level["first"], n))
+        self._sum()
+
+    def _sum(self) -> None:
         self.total = np.concatenate([[0], np.cumsum(self.weights)])
 
+    def pack(self, keys: list[bytes]) -> bytes:
+        """The tree with its vectors' own bytes (in the order they came) in place of unit vectors."""
+        levels = [{k: v.astype(np.float64 if k == "radius" else np.int32) for k, v in level.items()} for level in self.levels]
+        return pickle.dumps((b"".join([keys[i] for i in self.rows]), self.weights, levels))
+
+    @classmethod
+    def unpack(cls, packed: bytes, kind: str, dim: int) -> "CoverTree":
+        tree = cls.__new__(cls)
+        keys, tree.weights, tree.levels = pickle.loads(packed)
+        tree.u = unit(np.frombuffer(keys, kind).reshape(-1, dim))
+        tree._sum()
+        return tree
+
 
 class _Links:
     """What a traversal finds: links per vector (as differences over slices) and joining edges."""
@@ -172,16 +190,31 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarra
         if len(ia):
             pairs(ia + fa, ib + fb)
 
+    def small(fa: np.ndarray, la: np.ndarray, fb: np.ndarray, lb: np.ndarray) -> None:
+        """Many small node pairs at once, vector by vector."""
+        n = (la - fa) * (lb - fb)
+        ends = np.cumsum(n)
+        for s in range(0, len(n), 512):
+            k = slice(s, s + 512)
+            which = np.repeat(np.arange(len(n[k])), n[k])
+            at = np.arange(len(which)) - np.repeat(ends[k] - n[k] - (ends[s] - n[s]), n[k])
+            wide = (lb - fb)[k][which]
+            pairs(fa[k][which] + at // wide, fb[k][which] + at % wide)
+
     depth = max(len(a.levels), len(b.levels))
     at = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
-    frontier = [(0, 0)]
+    frontier = (np.zeros(1, np.int64), np.zeros(1, np.int64))
     for k in range(depth):
         la_, lb_ = at(a, k), at(b, k)
         na_, nb_ = at(a, k + 1), at(b, k + 1)
         end_a, end_b = k + 1 >= len(a.levels), k + 1 >= len(b.levels)
-        opened: list[tuple[int, int]] = []
-        for i, j in frontier:
-            fa, la, fb, lb = (int(x) for x in (la_["first"][i], la_["last"][i], lb_["first"][j], lb_["last"][j]))
+        opened: list[tuple[np.ndarray, np.ndarray]] = []
+        i, j = frontier
+        slices = np.stack([la_["first"][i], la_["last"][i], lb_["first"][j], lb_["last"][j]]).astype(np.int64)
+        size = (slices[1] - slices[0]) * (slices[3] - slices[2])
+        few = (size <= SMALL_PAIRS) & ~(same & (i == j))
+        small(*slices[:, few])
+        for i, j, fa, la, fb, lb in zip(i[~few].tolist(), j[~few].tolist(), *slices[:, ~few].tolist()):
             own = same and i == j
             if (la - fa) * (lb - fb) <= LEAF_PAIRS or k + 1 == depth:
                 block(fa, la, fb, lb)
@@ -215,8 +248,8 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarra
                         for p, q in zip(ca[x[full]].tolist(), cb[y[full]].tolist()):
                             whole(*(int(z) for z in (na_["first"][p], na_["last"][p], nb_["first"][q], nb_["last"][q])))
                         rest = ~one & ~full
-                        opened.extend(zip(ca[x[rest]].tolist(), cb[y[rest]].tolist()))
-        frontier = opened
+                        opened.append((ca[x[rest]], cb[y[rest]]))
+        frontier = tuple(np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*opened)) if opened else (np.zeros(0, np.int64),) * 2
     ea, eb = out.forest()
     links_a, links_b = np.cumsum(out.a)[:-1], np.cumsum(out.b)[:-1]
     if same:
@@ -315,10 +348,12 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         "dim", "cell", (F.col("first") + F.pmod(F.xxhash64("node"), "parts")).alias("sub"), "key", "node", "n")
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row for a sub-cell: its vectors, nodes and weights. Its tree is built where it is compared."""
+        """One row for a sub-cell: its tree and the nodes in the tree's order."""
         pdf = pdf.sort_values("node")
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "sub": [pdf["sub"].iloc[0]],
-                             "packed": [pickle.dumps((b"".join(pdf["key"]), pdf["node"].to_numpy(), pdf["n"].to_numpy()))]})
+        dim, keys = int(pdf["dim"].iloc[0]), pdf["key"].tolist()
+        tree = CoverTree(unit(np.frombuffer(b"".join(keys), kind).reshape(-1, dim)), pdf["n"].to_numpy())
+        return pd.DataFrame({"dim": [dim], "cell": [pdf["cell"].iloc[0]], "sub": [pdf["sub"].iloc[0]],
+                             "packed": [pickle.dumps((tree.pack(keys), pdf["node"].to_numpy()[tree.rows]))]})
 
     trees = materialize(split.groupBy("sub").applyInPandas(plant, "dim bigint, cell bigint, sub bigint, packed binary"))
 
@@ -336,9 +371,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         side = {}
         for s, d, packed in zip(pdf["sub"], pdf["dim"], pdf["packed"]):
             if s not in side:
-                keys, nodes, weights = pickle.loads(packed)
-                tree = CoverTree(unit(np.frombuffer(keys, kind).reshape(-1, d)), weights)
-                side[s] = (tree, nodes[tree.rows])
+                tree, nodes = pickle.loads(packed)
+                side[s] = (CoverTree.unpack(tree, kind, d), nodes)
         (a, na), (b, nb) = side[low], side[high]
         la, lb, ea, eb = dual_traversal(a, b, cosine)
         nodes = na if a is b else np.concatenate([na, nb])
