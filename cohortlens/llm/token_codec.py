@@ -29,7 +29,7 @@ from cohortlens.session import discard, materialize
 
 BLOCK_TOKENS = 1 << 20
 #: Rows and bytes handed to the tokenizer at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -39,7 +39,8 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
+    width = 2 if not len(ranks) or ranks.max() <= 0xFFFF else 4
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) <= codes[:, None]]
     four = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
     control = (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     return control.tobytes(), data.tobytes()
@@ -49,8 +50,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The values back: lengths by a table of all control bytes, then one masked four-byte read each."""
     sizes = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     starts = np.cumsum(sizes, dtype=np.int64) - sizes
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    words = padded[:-3] | padded[1:-2] << 8 | padded[2:-1] << 16 | padded[3:] << 24
+    words = np.ndarray((len(data) + 1,), "<u4", data + b"\0\0\0\0", strides=(1,))
     return words[starts] & _MASKS[sizes - 1]
 
 
@@ -67,25 +67,41 @@ def batches_of(sizes: np.ndarray, limit: int) -> Iterator[slice]:
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids as little-endian unsigned 32-bit bytes, ``h`` a tie-break hash) of every whole text.
+    """(id, ids, h, seen) of every whole text: token ids as little-endian bytes of ``id_kind`` and a tie-break hash.
 
-    A null text is an empty one; ``end_id`` is appended to each document when given.
+    A null text is an empty one; ``end_id`` is appended to each document when given. Every task ends
+    with one row without ids, whose ``seen`` holds its counts of all ids (a long for each).
     """
-    tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+    tail = b"" if end_id is None else np.array([end_id], id_kind(path)).tobytes()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens.of(path)
+        total = np.zeros(len(words.ends), np.int64)
+        kind = None
         for batch in batches:
+            kind = batch.column(0).type
             texts = [t or b"" for t in raw_texts(batch.column(1))]
             for part in batches_of(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
                 flat, lens = words.encode(texts[part])
-                cuts = np.concatenate([[0], np.cumsum(lens)])
-                blobs = [np.concatenate([flat[a:b], tail]).astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start: part.stop], pa.array(blobs, pa.binary())], names=["id", "ids"])
+                total += np.bincount(flat, minlength=len(total))
+                if tail:
+                    total[end_id] += len(lens)
+                raw, width = flat.tobytes(), flat.itemsize
+                cuts = [0, *(np.cumsum(lens) * width).tolist()]
+                blobs = [raw[a:b] + tail for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part.start: part.stop], pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names=["id", "ids", "seen"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["id", "ids", "seen"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, ids binary").withColumn("h", F.xxhash64("ids"))
+    return rows.mapInArrow(run, f"id {id_type}, ids binary, seen binary").withColumn("h", F.xxhash64("ids"))
+
+
+def id_kind(path: str) -> str:
+    """Type of the ids of a vocabulary file: two bytes where they suffice."""
+    return WordTokens.of(path).kind
 
 
 def frequency_ranks(encoded: DataFrame) -> DataFrame:
@@ -94,20 +110,19 @@ def frequency_ranks(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            if len(ids):
-                got = np.bincount(ids, minlength=len(total))
-                got[: len(total)] += total
-                total = got
+            for blob in batch.column(0).to_pylist():
+                got = np.frombuffer(blob, np.int64)
+                total = got + total if len(total) else got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    counts = encoded.select("ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = encoded.where("seen IS NOT NULL").select("seen")
+    counts = seen.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     # one row per vocabulary entry: a vocabulary fits one window whatever the corpus
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1)
 
 
-def write_files(encoded: DataFrame, ranks: DataFrame) -> DataFrame:
+def write_files(encoded: DataFrame, ranks: DataFrame, kind_of_id: str) -> DataFrame:
     """Write the documents' blocks in ascending id order (null first; equal ids: by hash of their ids).
 
     The rank table travels to the tasks as an array bounded by the vocabulary.
@@ -119,6 +134,7 @@ def write_files(encoded: DataFrame, ranks: DataFrame) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(rank_of)
     id_type = encoded.schema["id"].dataType
     id_name = id_type.simpleString()
+    width = np.dtype(kind_of_id).itemsize
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
@@ -127,16 +143,16 @@ def write_files(encoded: DataFrame, ranks: DataFrame) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            control, data = encode_ranks(shared.value[np.frombuffer(b"".join(blobs), "<u4")])
+            control, data = encode_ranks(shared.value[np.frombuffer(b"".join(blobs), kind_of_id)])
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([block]), pa.array([pa.array(ids, kind).to_pylist()], pa.list_(kind)),
-                 pa.array([[len(b) // 4 for b in blobs]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                 pa.array([[len(b) // width for b in blobs]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["part", "block", "docs", "counts", "control", "data"])
 
         for batch in batches:
             kind = batch.column(0).type
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if blobs and held + len(blob) > 4 * BLOCK_TOKENS:
+                if blobs and held + len(blob) > width * BLOCK_TOKENS:
                     yield flush()
                     block, held = block + 1, 0
                     ids.clear(), blobs.clear()
@@ -146,7 +162,7 @@ def write_files(encoded: DataFrame, ranks: DataFrame) -> DataFrame:
         if blobs:
             yield flush()
 
-    in_order = encoded.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "ids")
+    in_order = encoded.where("ids IS NOT NULL").repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "ids")
     return materialize(in_order.mapInArrow(
         pack, f"part bigint, block bigint, docs array<{id_name}>, counts array<bigint>, control binary, data binary"))
 
@@ -199,6 +215,6 @@ def tokenize_to_files(docs: DataFrame, path: str, end_id: int | None, id_col: st
     """
     encoded = materialize(encode_documents(docs, path, end_id, id_col, text_col))
     ranks = materialize(frequency_ranks(encoded))
-    files = write_files(encoded, ranks)
+    files = write_files(encoded, ranks, id_kind(path))
     discard(encoded)  # the files hold it all
     return files, ranks

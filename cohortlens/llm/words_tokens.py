@@ -21,6 +21,7 @@ from cohortlens.llm.common import LOWER
 MEMORY_WORDS = 800_000
 _LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
 _STOPS = (b".", b",", b";", b":")
+_STOP_BYTES = frozenset(b".,;:")
 _WORKER: dict[str, "WordTokens"] = {}
 
 
@@ -36,13 +37,15 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        #: two bytes hold the ids of a vocabulary below 65,536
+        self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
         self.reset()
 
     def reset(self) -> None:
         self.index: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+        self.starts = np.zeros(0, np.int32)
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -58,7 +61,7 @@ class WordTokens:
         todo = []
         for i, w in enumerate(words):
             # a letter before a final comma or stop ends the library's piece there
-            if len(w) > 1 and w[-1:] in _STOPS and w[-2:-1].isalpha():
+            if w[-1] in _STOP_BYTES and w[-2:-1].isalpha():
                 j = self.index.get(w[:-1])
                 p = self.index.get(w[-1:])
                 if j is not None and p is not None and j < known and p < known:
@@ -69,8 +72,8 @@ class WordTokens:
         for i, got in zip(todo, self._pieces([words[i].decode() for i in todo])):
             ids[i] = got
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
+        starts = (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.flat, self.sizes, self.starts = (np.concatenate(x) for x in (
             (self.flat, flat), (self.sizes, sizes), (self.starts, starts)))
 
@@ -111,7 +114,8 @@ class WordTokens:
         got, lens = self._numbers(texts)
         sizes = self.sizes[got]
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[got] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        at = np.repeat(self.starts[got] - (ends - sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
         flat = self.flat[at]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
         self._forget()
@@ -130,7 +134,7 @@ class WordTokens:
         flats, lens = [], []
         for i, t in enumerate(texts):
             if i in whole:
-                ids = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.kind)
             else:
                 ids = self.encode([t])[0]
             flats.append(ids)
