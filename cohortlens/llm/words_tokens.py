@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -43,9 +43,10 @@ class WordTokens:
 
     def reset(self) -> None:
         self.index: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.kind)
-        self.starts = np.zeros(0, np.int32)
+        self.known, self.used = 0, 0  # pieces and ids stored so far; the arrays grow by doubling
+        self.sizes = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.flat = np.zeros(1 << 18, self.kind)
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -56,7 +57,7 @@ class WordTokens:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode pieces that were just numbered, in the order of their numbers."""
-        known = len(self.sizes)
+        known = self.known
         ids: list[list[int] | None] = [None] * len(words)
         todo = []
         for i, w in enumerate(words):
@@ -71,11 +72,16 @@ class WordTokens:
             todo.append(i)
         for i, got in zip(todo, self._pieces([words[i].decode() for i in todo])):
             ids[i] = got
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
-        starts = (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)
-        self.flat, self.sizes, self.starts = (np.concatenate(x) for x in (
-            (self.flat, flat), (self.sizes, sizes), (self.starts, starts)))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        n, total = len(ids), int(sizes.sum())
+        while known + n > len(self.sizes):
+            self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.sizes[known: known + n] = sizes
+        self.starts[known: known + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used: self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
+        self.known, self.used = known + n, self.used + total
 
     def _pieces(self, words: list[str]) -> list[list[int]]:
         """Ids of each piece. Pieces of letters alone are one token group each, so many share a call."""
@@ -95,7 +101,7 @@ class WordTokens:
 
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts in a row, and pieces per text."""
-        if not len(self.sizes):
+        if not self.known:
             for w in _STOPS:
                 self.index[w]
             self._learn(list(_STOPS))
@@ -103,8 +109,9 @@ class WordTokens:
         pieces = [t.translate(LOWER).split() for t in texts]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         got = np.fromiter(map(number, chain.from_iterable(pieces)), np.int64, int(lens.sum()))
-        if len(self.index) > len(self.sizes):
-            self._learn(list(self.index)[len(self.sizes):])
+        new = len(self.index) - self.known
+        if new:
+            self._learn([*islice(reversed(self.index), new)][::-1])
         return got, lens
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ class WordTokens:
         if any(b"<|" in t for t in texts):
             return self.encode(texts)[1]
         got, lens = self._numbers(texts)
-        sums = np.concatenate([[0], np.cumsum(self.sizes[got])])[np.concatenate([[0], np.cumsum(lens)])]
+        sums = np.concatenate([[0], np.cumsum(self.sizes[got], dtype=np.int64)])[np.concatenate([[0], np.cumsum(lens)])]
         self._forget()
         return np.diff(sums)
 
@@ -142,5 +149,5 @@ class WordTokens:
         return np.concatenate(flats), np.array(lens, np.int64)
 
     def _forget(self) -> None:
-        if len(self.sizes) > MEMORY_WORDS:
+        if self.known > MEMORY_WORDS:
             self.reset()
