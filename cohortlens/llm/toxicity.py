@@ -22,8 +22,9 @@ from cohortlens.llm.decontaminate import words_of
 
 #: Labelled rows that the model is fitted on (smallest hashes of the ids), and terms it keeps.
 MAX_EXAMPLES, MAX_TERMS = 16_384, 4_096
-#: Least G statistic of a term; 20 is a chance of about one in 100,000 for one term.
-MIN_G = 20.0
+#: Least G statistic of a term (20 is a chance of about one in 100,000 for one term) and least share of
+#: toxic examples among those that hold it.
+MIN_G, MIN_SHARE = 20.0, 0.5
 NEIGHBOURS, BLOCK = 15, 64
 #: Lengths in bytes of the beginnings of longer words that are terms as well.
 BEGINNINGS = (4, 5, 6)
@@ -175,7 +176,7 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
 
 
 def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> list[bytes]:
-    """Terms that occur in more toxic examples than chance gives, by falling G statistic."""
+    """Terms that occur in more toxic examples than chance gives, and mostly in toxic ones, by falling G statistic."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +203,7 @@ def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_g: float =
     df, n0 = "(a + b)", n - n1
     g = " + ".join([part("a", f"{df} * {n1}D / {n}"), part("b", f"{df} * {n0}D / {n}"),
                     part(f"({n1} - a)", f"({n} - {df}) * {n1}D / {n}"), part(f"({n0} - b)", f"({n} - {df}) * {n0}D / {n}")])
-    chosen = counts.where(f"a * {n0}D > b * {n1}D").withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= min_g)
+    chosen = counts.where(f"a * {n0}D > b * {n1}D AND a >= {MIN_SHARE} * (a + b)").withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= min_g)
     return [bytes(r["term"]) for r in chosen.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
 
 
