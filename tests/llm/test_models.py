@@ -1,0 +1,225 @@
+"""Page text, cover tree, mixing, toxicity, suffix tree and the pipeline."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from cohortlens.llm import covertree, html_blocks, mixing, suffix_tree, toxicity
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/x>Menu</a><li>More</ul></nav>
+<div class="cookie-notice"><p>We use cookies</p></div><article><h1>A &amp; B&nbsp;title</h1><p><b>First   line<br><p>Second <i>in</i>line.</p>
+<script>var a = "<p>no</p>";</script><!-- <p>no</p> --></article><div class="comments"><div class="comment"><p>Great post</p></div></div>
+<footer>&copy; me</footer>"""
+
+
+def test_blocks_of_broken_markup():
+    blocks = [(b.path[-1], b.text) for b in html_blocks.blocks_of(PAGE)]
+    assert ("h1", "A & B title") in blocks and ("p", "First line") in blocks and ("p", "Second inline.") in blocks
+    assert not any("no" == t for _, t in blocks)
+    for odd in ("", "<", "<p", "</p></p>", "<!-- open", "<script>x", "<a '" * 50, "<div>" * 3000 + "x", "plain"):
+        html_blocks.blocks_of(odd)
+    assert html_blocks.blocks_of("plain")[0].text == "plain"
+
+
+def test_gradients_match_differences():
+    model = html_blocks.BlockLabeller(dim=4, hidden=3)
+    rng = np.random.default_rng(0)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = rng.normal(size=(5, 2, 4)).astype(np.float32), (rng.random((5, 2)) > 0.5) * 1.0
+    mask = np.ones((5, 2), bool)
+    mask[3:, 1] = False
+    _, grad = model.gradients(x, mask, y)
+    for k, v in model.p.items():
+        i = tuple(rng.integers(0, s) for s in v.shape)
+        old, e = v[i], 1e-3
+        v[i] = old + e
+        up = model.gradients(x, mask, y)[0]
+        v[i] = old - e
+        down = model.gradients(x, mask, y)[0]
+        v[i] = old
+        assert abs((up - down) / (2 * e) - grad[k][i]) < 1e-4
+
+
+def test_extraction(spark):
+    rng = np.random.default_rng(1)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "magna"]
+    text = lambda n: " ".join(rng.choice(words, n)).capitalize() + "."
+    pages, want = [], {}
+    for i in range(120):
+        good = [text(rng.integers(5, 40)) for _ in range(rng.integers(1, 8))]
+        pages.append((i, f"http://x/{i}", f"<html><body><nav><ul><li><a href='/'>{text(1)}</a></li></ul></nav><div class='ad'>{text(9)}</div><article><h1>{good[0][:30]}</h1>"
+                      + "".join(f"<p>{g}</p>" for g in good) + f"</article><footer>{text(4)}</footer></body></html>", "mine"))
+        want[i] = "\n".join([" ".join(good[0][:30].split()), *good])
+    pages += [(500, None, None, ""), (501, "u", "", ""), (None, "u", PAGE, "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_blocks.extract_text(df).collect()}
+    assert len(got) == 123 and got[500].text == "" and got[501].n_chars == 0
+    assert sum(got[i].text == t for i, t in want.items()) >= 118
+    assert all(r.n_chars == len(r.text) for r in got.values()) and "cookies" not in got[None].text
+    assert html_blocks.extract_text(df.limit(0)).count() == 0
+
+
+def test_cover_tree(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(1, 8))
+    near = centre + 0.05 * rng.normal(size=(60, 8))
+    loose = rng.normal(size=(150, 8))
+    ring = loose[:40] + 0.25 * rng.normal(size=(40, 8))
+    vectors = [v.tolist() for v in np.concatenate([near, loose, ring, near[:5], 1e200 * loose[:3]])]
+    vectors += [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0], [2.0, 4.0]]
+    ids = [*range(len(vectors))]
+    df = spark.createDataFrame([(i, v, 0) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>, label int")
+    usable = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
+    unit = {i: covertree.unit(np.array([vectors[i]]))[0] for i in usable}
+    links = {i: [j for j in usable if j != i and len(vectors[i]) == len(vectors[j]) and unit[i] @ unit[j] >= 0.95] for i in usable}
+    root = {i: i for i in ids}
+    for _ in ids:
+        for i in usable:
+            for j in links[i]:
+                root[i] = root[j] = min(root[i], root[j])
+    for options in ({}, {"tree_rows": 20, "anchors": 3, "sample": 50}):
+        got = {r.vec_id: r for r in covertree.link_vectors(df, **options).collect()}
+        assert {i: r.n_links for i, r in got.items()} == {i: len(links.get(i, [])) for i in ids}
+        assert {i: r.component_id for i, r in got.items()} == root and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert covertree.link_vectors(df.limit(0)).count() == 0
+
+
+def test_targets():
+    assert mixing.targets([10, 10], [3.0, 1.0]) == [20.0, 10.0]
+    got = mixing.targets([100, 5, 50], [3.0, 1.0, 2.0])
+    assert sum(got) == pytest.approx(232.5) and all(t <= 2 * s for t, s in zip(got, [100, 5, 50]))
+
+
+def test_split_tree():
+    got = mixing.split_tree([100, 7, 0, 33], 6, 42)
+    assert got.sum(0).tolist() == [100, 7, 0, 33] and set(got.sum(1)) <= {23, 24} and (got >= 0).all()
+    assert (mixing.split_tree([100, 7, 0, 33], 6, 42) == got).all()
+
+
+def test_mixing(spark, documents, empty):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "abcd"[min(3, int(rng.integers(0, 9)))]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_documents(df).toPandas()
+    for _, part in got.groupby("source"):
+        assert part.source_size.iloc[0] == part["size"].sum() and abs(part.taken.sum() - part.target.iloc[0]) <= 60
+    assert (got.taken <= 2 * got["size"]).all()
+    again = mixing.mix_documents(df.repartition(5)).toPandas()
+    assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    out = mixing.mixed_rows(df, shard_col="part").toPandas()
+    assert Counter(out.doc_id) == Counter({i: c for i, c in zip(got.doc_id, got.copies) if c})
+    assert out.part.between(0, 7).all() and out.groupby("part").size().min() > 0
+    odd = mixing.mix_documents(documents).toPandas()
+    assert len(odd) == 13 and (odd.taken <= 2 * odd["size"]).all() and odd[odd.source.isna()].source_size.tolist() == [2, 2, 2]
+    assert mixing.mixed_rows(documents).columns == documents.columns
+    assert mixing.mix_documents(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+
+
+def toxic_corpus(spark, n=600):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        w = rng.choice(words, 40).tolist()
+        toxic = int(rng.random() < 0.25)
+        if toxic:
+            w[rng.integers(0, 40)] = str(rng.choice(["grumpf", "blargh", "zonkish"]))
+        rows.append((i, " ".join(w), "s"))
+        if i % 3:
+            labels.append((i, 1, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, documents, empty):
+    df, labels = toxic_corpus(spark)
+    got = toxicity.score_documents(df, labels, evidence=True).toPandas()
+    bad = got.text.str.contains("grumpf|blargh|zonkish")
+    assert (got.predicted == bad).mean() > 0.99 and got.score.between(0, 1).all()
+    assert got[bad].evidence.map(len).min() > 0
+    assert toxicity.keep_clean(df, labels).count() == (got.predicted == 0).sum()
+    kept = toxicity.keep_clean(documents, labels)
+    assert kept.columns == documents.columns and kept.count() == 13 and {r.score for r in kept.collect()} == {1.5}
+    assert toxicity.keep_clean(documents, labels.limit(0)).count() == 13 and toxicity.keep_clean(empty, labels).count() == 0
+
+
+def test_index_finds_the_nearest():
+    rng = np.random.default_rng(6)
+    vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(0, 9), replace=False)} for _ in range(700)]
+    idf = rng.random(60) + 0.5
+    index = toxicity.Index(vectors, rng.integers(0, 2, 700), idf)
+    dense = np.zeros((700, 60))
+    for place, i in enumerate(index.rows):
+        for t, w in index.weights(vectors[i]).items():
+            dense[place, t] = w
+    for v in vectors[:80]:
+        q = np.zeros(60)
+        for t, w in index.weights(v).items():
+            q[t] = w
+        at, cosine = index.nearest(v)
+        scores = np.sort((dense @ q)[dense @ q > 0])[::-1][:15]
+        assert np.allclose(cosine, scores) and np.allclose((dense @ q)[at], cosine)
+
+
+def test_suffix_tree(spark, documents, empty):
+    rng = np.random.default_rng(7)
+    chain = {w: rng.permutation(20)[:3] for w in range(20)}
+    rows = []
+    for i in range(800):
+        w, out = int(rng.integers(20)), []
+        for _ in range(40):
+            out.append(f"Word{w}")
+            w = int(rng.choice(chain[w]))
+        rows.append((i, " ".join(out) + (f" rare{i}" if i % 7 == 0 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_tree.score_texts(df).toPandas().set_index("doc_id")
+    words = lambda t: t.lower().split() + [" "]
+    seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in words(t))
+    n, v = sum(seen.values()), len(seen)
+    for i, t in rows:
+        own = words(t)
+        base = sum(np.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        r = got.loc[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(seen[w] > 0 for w in own), n) and abs(r.base_score - base) < 1e-6
+    held = got[got.held_out]
+    assert len(held) and held.score.sum() > 0.6 * held.base_score.sum()
+    odd = suffix_tree.score_texts(documents).collect()
+    assert len(odd) == 13 and all(np.isfinite(r.score) and r.n_tokens >= 1 for r in odd)
+    assert suffix_tree.score_texts(empty).count() == 0
+    nothing = suffix_tree.score_texts(df, held=df.doc_id.isNotNull()).collect()
+    assert all(r.score == r.base_score and r.train_tokens == 0 for r in nothing)
+
+
+def test_tree_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(8)
+    size, unknown = 6, 0.01
+    sequences = [np.append(rng.integers(2, size, 200), suffix_tree.END).astype(np.uint16).tobytes() for _ in range(20)]
+    root = np.array([0, 0.05, 0.2, 0.3, 0.24, 0.2])
+    tree = suffix_tree.learn_tree(spark.createDataFrame([(bytearray(s),) for s in sequences], "symbols binary"), size, root, unknown, 4020)
+    assert np.allclose((root * 10**tree.ratio).sum(1), 1 - unknown)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    df, labels = toxic_corpus(spark)
+    extra = spark.createDataFrame([(1000, "a b c d e f g h i j k l", "t"), (1001, "a b c d e f g h i j k l", None), (1002, None, "t")], "doc_id long, text string, source string")
+    docs = df.union(extra).selectExpr("doc_id", "text", "'en' lang", "source", "length(text) n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "c d e f g h i j k l")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert len(corpus_pipeline.STAGES) == 5
+    kept = {}
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id for r in now.collect()}
+        if name != "sharding":
+            assert now.columns == docs.columns
+    bad = {r.doc_id for r in df.where("text rlike 'grumpf|blargh|zonkish'").collect()}
+    assert not kept["toxicity"] & bad and 1001 in kept["toxicity"]
+    assert {1000} == kept["near_duplicates"] & {1000, 1001} and 1000 not in kept["decontamination"]
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in final} == kept["sharding"] and sorted(r.slot for r in final if r.shard == 0) == list(range(sum(r.shard == 0 for r in final)))
