@@ -23,13 +23,15 @@ def group_folds(
     Entities are reduced to a profile (rows and positives per label), then dealt round-robin in
     hash order within their profile; a profile that holds most entities is ranked in parallel. The
     first fold of the deal depends on the profile, so rare profiles do not pile up in one fold.
+    Rows without an entity are one entity together.
     """
     profile = [F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(c).cast("int")).alias(f"_p{i}") for i, c in enumerate(labels)]]
     keys = ["_rows", *[f"_p{i}" for i in range(len(labels))]]
     entities = df.groupBy(entity).agg(*profile).withColumn("_u", key_hash(entity, seed))
     ranked = ordered_scan(entities, keys, ["_u", entity], position="_i", **scan)
     fold = F.pmod(F.col("_i") - 1 + F.pmod(F.xxhash64(*keys), F.lit(k)), F.lit(k)).cast("int")
-    return df.join(ranked.select(entity, fold.alias("fold")), entity)
+    dealt = ranked.select(F.col(entity).alias("_entity"), fold.alias("fold"))
+    return df.join(dealt, F.col(entity).eqNullSafe(F.col("_entity"))).drop("_entity")
 
 
 def joint_folds(df: DataFrame, entity: str, labels: list[str], k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
@@ -54,5 +56,8 @@ def stratum_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = SE
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows without replacement, the lowest by key hash; all rows when there are fewer."""
-    return df.orderBy(key_hash(key, seed), key).limit(n)
+    """``n`` rows without replacement, the lowest by key hash; all rows when there are fewer.
+
+    The limit leaves one partition, so the rows are dealt out again by key for what follows.
+    """
+    return df.orderBy(key_hash(key, seed), key).limit(n).repartition(key)

@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.cleaning import clipped_logit
 from cohortlens.functions.rates import Z95
-from cohortlens.functions.tails import chi2_sf
+from cohortlens.functions.tails import chi2_tail
 from cohortlens.operators.association import adjust_fdr
 from cohortlens.operators.encode import design_columns
 from cohortlens.operators.profile import cooccurrence
+from cohortlens.operators.quality import require_domain
+
+#: A larger model's likelihood may fall short of a smaller one's by so much (rounding of two converged fits).
+LIKELIHOOD_SLACK = 1e-6
 
 
 @dataclass
@@ -79,19 +83,20 @@ def fit_statistics(spark: SparkSession, fits: list[LogitFit]) -> DataFrame:
         rows, "outcome string, n long, df_model int, loglik double, null_loglik double, mcfadden_r2 double")
 
 
-def nested_lrt(reduced: LogitFit, full: LogitFit) -> dict:
-    """Likelihood-ratio test; the fits must share their rows and the full one have more terms."""
-    return lrt(reduced.n, reduced.df_model, reduced.loglik, full.n, full.df_model, full.loglik)
-
+def step_tests(stats: DataFrame) -> DataFrame:
+    """Likelihood-ratio test of every model against the one before it.
 
-def lrt(n0: int, df0: int, ll0: float, n1: int, df1: int, ll1: float) -> dict:
-    if n0 != n1 or df1 <= df0:
-        raise ValueError("nested fits need the same observations and more terms in the full one")
-    statistic = 2 * (ll1 - ll0)
-    if statistic < -1e-6:
-        raise ValueError("the full model has the lower likelihood")
-    statistic = max(0.0, statistic)
-    return {"lr_statistic": statistic, "df": int(df1 - df0), "p_value": chi2_sf(statistic, int(df1 - df0))}
+    ``stats``: one row per model with ``step`` (its place), ``n``, ``df_model`` and ``loglik``. Raises
+    when a step does not keep the rows, adds no term, or fits worse than rounding explains.
+    """
+    before = Window.orderBy("step")
+    steps = stats.select("*", *[F.lag(c).over(before).alias(f"_{c}") for c in ("n", "df_model", "loglik")]).where("_n IS NOT NULL")
+    gain = 2 * (F.col("loglik") - F.col("_loglik"))
+    added = F.col("df_model") - F.col("_df_model")
+    nested = (F.col("n") == F.col("_n")) & (added > 0) & (gain >= -LIKELIHOOD_SLACK)
+    tested = steps.select(*stats.columns, nested.alias("nested"), F.greatest(gain, F.lit(0.0)).alias("lr_statistic"), added.cast("int").alias("df"))
+    require_domain(tested, {"nested": F.col("nested")})
+    return tested.drop("nested").withColumn("p_value", chi2_tail("lr_statistic", "df"))
 
 
 def nested_table(df: DataFrame, outcome: str, blocks: dict[str, list[str]], categorical: list[str]) -> DataFrame:
@@ -99,18 +104,14 @@ def nested_table(df: DataFrame, outcome: str, blocks: dict[str, list[str]], cate
 
     The first block is the base; each later block is a comparison named by its key.
     """
-    names = list(blocks)
     so_far: list[str] = []
-    fits = []
-    for name in names:
-        so_far = so_far + blocks[name]
-        fits.append(fit_logit(df, outcome, so_far, categorical))
     rows = []
-    for i, name in enumerate(names[1:], start=1):
-        t = nested_lrt(fits[i - 1], fits[i])
-        rows.append((outcome, name, int(fits[i].n), t["lr_statistic"], t["df"], t["p_value"]))
-    return df.sparkSession.createDataFrame(
-        rows, "outcome string, comparison string, n long, lr_statistic double, df int, p_value double")
+    for step, (name, columns) in enumerate(blocks.items()):
+        so_far = so_far + columns
+        fit = fit_logit(df, outcome, so_far, categorical)
+        rows.append((outcome, name, step, int(fit.n), int(fit.df_model), float(fit.loglik)))
+    stats = df.sparkSession.createDataFrame(rows, "outcome string, comparison string, step int, n long, df_model int, loglik double")
+    return step_tests(stats).select("outcome", "comparison", "n", "lr_statistic", "df", "p_value")
 
 
 def calibration_line(df: DataFrame, label: str, models: list[str]) -> DataFrame:

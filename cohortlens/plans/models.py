@@ -52,11 +52,21 @@ def group_folds(spark, sf):
         F.count_distinct(KEY).alias("patients"), F.count(F.lit(1)).alias("n"), F.sum(OUTCOME).alias("events"))
 
 
-@query("fold_leaks", "SELECT o_custkey FROM orders WHERE false")
+@query("fold_leaks", """
+WITH e AS (SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS positives FROM orders GROUP BY 1)
+SELECT n_rows, positives::BIGINT AS positives, count(*) AS entities, 1::BIGINT AS folds_per_entity, (count(*) // 5)::BIGINT AS least, ((count(*) + 4) // 5)::BIGINT AS most
+FROM e GROUP BY 1, 2""")
 def fold_leaks(spark, sf):
-    """Customers found in two folds: none."""
+    """Per profile (rows and positives of a customer): customers, folds each is found in, and the smallest and largest fold."""
     orders = X.table(spark, sf, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    return quality.split_entities(folds.group_folds(orders, "o_custkey", ["y"]), "o_custkey", "fold")
+    dealt = folds.group_folds(orders, "o_custkey", ["y"])
+    entities = dealt.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("positives"),
+                                              F.count_distinct("fold").alias("used"), F.min("fold").alias("fold"))
+    sizes = entities.groupBy("n_rows", "positives").agg(
+        F.count(F.lit(1)).alias("entities"), F.max("used").alias("folds_per_entity"),
+        *[F.count_if(F.col("fold") == k).alias(f"_{k}") for k in range(folds.N_FOLDS)])
+    by_fold = [F.col(f"_{k}") for k in range(folds.N_FOLDS)]
+    return sizes.select("n_rows", "positives", "entities", "folds_per_entity", F.least(*by_fold).alias("least"), F.greatest(*by_fold).alias("most"))
 
 
 @query("joint_folds")

@@ -878,23 +878,27 @@ rel AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY b) AS bin,
 """
 
 
+def with_sums(bins: DataFrame) -> DataFrame:
+    """Sums in place of mean predictions: scores have six digits, so a sum of them has too and no tie is left to round."""
+    return bins.withColumn("mean_predicted_probability", F.col("mean_predicted_probability") * F.col("n_bin")).withColumnRenamed(
+        "mean_predicted_probability", "predicted_sum")
+
+
 @query("reliability_bins", O.ENCOUNTERS + _REL_SQL + """
-SELECT model, bin, n_bin, round(mp, 8) AS mean_predicted_probability, round(o, 6) AS observed_event_rate FROM rel""")
+SELECT model, bin, n_bin, round(mp * n_bin, 6) AS predicted_sum, round(o, 6) AS observed_event_rate FROM rel""")
 def reliability_bins(spark, sf):
-    return rounded(evaluation.reliability_bins(X.scored_table(spark, sf, OUTCOME, "score_a", "score_b"), OUTCOME, ["score_a", "score_b"]),
-                   mean_predicted_probability=8)
+    return rounded(with_sums(evaluation.reliability_bins(X.scored_table(spark, sf, OUTCOME, "score_a", "score_b"), OUTCOME, ["score_a", "score_b"])))
 
 
 @query("calibration_report", O.ENCOUNTERS + _REL_SQL + """,
 sm AS (SELECT model, count(*) AS n, avg(y) AS er, avg((p - y) * (p - y)) AS br FROM scores WHERE model <> 'rule_baseline' GROUP BY 1)
-SELECT rel.model, bin, n_bin, round(mp, 8) AS mean_predicted_probability, round(o, 6) AS observed_event_rate,
+SELECT rel.model, bin, n_bin, round(mp * n_bin, 6) AS predicted_sum, round(o, 6) AS observed_event_rate,
   n, round(er, 6) AS event_rate, round(br, 6) AS brier_score FROM rel LEFT JOIN sm ON rel.model = sm.model""")
 def calibration_report(spark, sf):
     df = X.scored_table(spark, sf, OUTCOME, "score_a", "score_b")
     models = ["score_a", "score_b"]
     return rounded(evaluation.calibration_report(
-        evaluation.reliability_bins(df, OUTCOME, models), evaluation.brier(df, OUTCOME, models)),
-        mean_predicted_probability=8)
+        with_sums(evaluation.reliability_bins(df, OUTCOME, models)), evaluation.brier(df, OUTCOME, models)))
 
 
 _AUDIT_SQL = f""",

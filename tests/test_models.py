@@ -157,3 +157,9 @@ def test_silhouette_and_phenotypes(spark):
     selection, assigned, profiles = phenotypes.phenotypes(df, "k", "y", ["a", "b"], ks=(2, 3), restarts=2)
     assert selection.count() == 2 and assigned.count() == 120
     assert profiles.agg(F.sum("n")).first()[0] == 120 and 0 < profiles.first()["seed_stability_ari"] <= 1
+
+
+def test_folds_keep_rows_without_entity(spark):
+    df = spark.createDataFrame([(None, 1), (None, 0), (1, 1), (2, 0)], "e int, y int")
+    got = folds.group_folds(df, "e", ["y"]).collect()
+    assert len(got) == 4 and len({r.fold for r in got if r.e is None}) == 1

@@ -18,12 +18,15 @@ def test_chi2_tails():
     assert chi2_sf(0, 2) == 1
 
 
-def test_lrt():
-    t = R.lrt(100, 2, -40.0, 100, 5, -35.0)
-    assert (t["lr_statistic"], t["df"]) == (10, 3) and t["p_value"] == pytest.approx(0.018566, abs=1e-6)
-    for args in [(100, 2, -40.0, 99, 5, -35.0), (100, 5, -40.0, 100, 5, -35.0), (100, 2, -35.0, 100, 5, -40.0)]:
+def test_step_tests(spark):
+    def tested(*models):
+        return R.step_tests(spark.createDataFrame([(i, *m) for i, m in enumerate(models)], "step int, n long, df_model int, loglik double")).collect()
+
+    (t,) = tested((100, 2, -40.0), (100, 5, -35.0))
+    assert (t.lr_statistic, t.df) == (10, 3) and t.p_value == pytest.approx(0.018566, abs=1e-6)
+    for later in [(99, 5, -35.0), (100, 2, -35.0), (100, 5, -41.0)]:
         with pytest.raises(ValueError):
-            R.lrt(*args)
+            tested((100, 2, -40.0), later)
 
 
 def table(spark, n=400, seed=0):
