@@ -26,6 +26,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_place(docs: DataFrame, source: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """``docs`` with the text, and its place: its own column, or a copy where ``docs`` has dropped that name."""
+    if text_col in docs.columns:
+        return docs, docs.columns.index(text_col)
+    copy = fresh(source, "_text")
+    return source.withColumn(copy, F.col(text_col)).select(*docs.columns, copy), len(docs.columns)
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import LOWER, fresh, map_arrow, raw_texts
+from cohortlens.llm.common import LOWER, map_arrow, raw_texts, text_place
 
 WINDOW = 10
 #: Pattern bytes of one automaton (about 40 times that in memory); a larger benchmark is scanned in several.
@@ -124,9 +124,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         shards.append(spark.sparkContext.broadcast(pickle.dumps([(bytes(r["window"]), tuple(r["items"])) for r in rows])))
     windows.unpersist()
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"] + ["hit_spans"] * spans
-    docs = docs.drop(*names)
-    text = fresh(docs, "_text")
-    at = len(docs.columns)
+    source, docs = docs, docs.drop(*names)
+    with_text, at = text_place(docs, source, text_col)
     key = uuid.uuid4().hex
 
     def scan(batch: pa.RecordBatch) -> dict[str, list]:
@@ -146,7 +145,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     types = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean",
              "hit_spans": "array<struct<first:int,end:int>>"}
-    return map_arrow(docs.withColumn(text, F.col(text_col)), scan, {n: types[n] for n in names}, keep=docs.columns)
+    return map_arrow(with_text, scan, {n: types[n] for n in names}, keep=docs.columns)
 
 
 def original_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:

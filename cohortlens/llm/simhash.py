@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import LOWER, components, fresh, local_forest, map_arrow, raw_texts
+from cohortlens.llm.common import LOWER, components, fresh, local_forest, map_arrow, raw_texts, text_place
 from cohortlens.session import materialize
 
 SHINGLE = 4
@@ -59,13 +59,12 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", size: int = SHINGLE) -> DataFrame:
     """Append the 64-bit fingerprint as a bigint; null and blank texts give 0."""
-    text = fresh(docs, "_text")
-    at = len(docs.columns)
+    with_text, at = text_place(docs, docs, text_col)
 
     def run(batch: pa.RecordBatch) -> dict[str, list[int]]:
         return {name: [fingerprint(t or b"", size) for t in raw_texts(batch.column(at))]}
 
-    return map_arrow(docs.withColumn(text, F.col(text_col)), run, {name: "bigint"}, keep=docs.columns)
+    return map_arrow(with_text, run, {name: "bigint"}, keep=docs.columns)
 
 
 def _spread(bits: list[int], r: int) -> np.ndarray:

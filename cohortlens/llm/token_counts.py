@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import fresh, map_arrow, raw_texts
+from cohortlens.llm.common import map_arrow, raw_texts, text_place
 from cohortlens.llm.token_codec import batches_of
 from cohortlens.llm.words_tokens import WordTokens
 
@@ -45,9 +45,8 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
     Null texts count as empty (0 bytes, 0 tokens). Columns of ``docs`` that are called like a result
     are replaced by it. Rows keep their partition; nothing is shuffled.
     """
-    docs = docs.drop(*names)
-    text = fresh(docs, "_text")
-    at = len(docs.columns)
+    source, docs = docs, docs.drop(*names)
+    with_text, at = text_place(docs, source, text_col)
 
     def measure(batch: pa.RecordBatch) -> dict[str, list | np.ndarray]:
         words = WordTokens.of(path)
@@ -60,6 +59,6 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
         n = np.bincount(owner, counts, len(texts)).astype(np.int64)
         return {names[0]: np.fromiter(map(len, texts), np.int64, len(texts)), names[1]: n, names[2]: n > limit}
 
-    counted = map_arrow(docs.withColumn(text, F.col(text_col)), measure,
+    counted = map_arrow(with_text, measure,
                         {names[0]: "bigint", names[1]: "bigint", names[2]: "boolean"}, keep=docs.columns)
     return counted

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.llm.common import fresh, map_arrow, raw_texts
+from cohortlens.llm.common import fresh, map_arrow, raw_texts, text_place
 from cohortlens.llm.decontaminate import words_of
 
 #: Labelled rows that the model is fitted on (smallest hashes of the ids), and terms it keeps.
@@ -262,11 +262,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     term, get the base rate of such examples. Without usable labels every score is 0. Columns of
     ``docs`` called like a result are replaced; rows keep their partition.
     """
-    docs = docs.drop("score", "predicted", *["evidence"] * evidence)
+    source, docs = docs, docs.drop("score", "predicted", *["evidence"] * evidence)
     terms, index, ids = fit(docs, labels, id_col, text_col, label_col, folds, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast((terms, index, ids))
-    text = fresh(docs, "_text")
-    at = len(docs.columns)
+    with_text, at = text_place(docs, source, text_col)
     workers: dict[int, Extractor] = {}
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -279,7 +278,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return out
 
     extra = {"score": "double", "predicted": "int"} | ({"evidence": "array<struct<doc_id:bigint,label:int,cosine:double>>"} if evidence else {})
-    return map_arrow(docs.withColumn(text, F.col(text_col)), run, extra, keep=docs.columns)
+    return map_arrow(with_text, run, extra, keep=docs.columns)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
