@@ -11,9 +11,6 @@ from cohortlens.functions.cleaning import interval_label
 from cohortlens.operators.ordered import mid_ranks
 from cohortlens.session import materialize
 
-#: Distinct values per table up to which the rank table is broadcast (about 16 bytes each).
-RANK_ROWS = 1_000_000
-
 
 def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairwise Pearson correlations from one aggregate; null for a constant column."""
@@ -28,18 +25,18 @@ def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def spearman(df: DataFrame, columns: list[str], broadcast_rows: int = RANK_ROWS, **scan: object) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
     """Rank correlation of every column pair (rows with a null in any of them left out).
 
-    Ranks are computed on distinct values and attached to the rows: by broadcast joins when the
-    counted number of distinct values is small, by shuffled joins otherwise.
+    Ranks are computed on distinct values, written once per column, and attached to the rows. Spark
+    broadcasts a column's ranks when the written table is small and shuffles it otherwise, each
+    column by its own size.
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = materialize(mid_ranks(rows, columns, **scan))  # read once per column
-    small = ranks.count() <= broadcast_rows
+    ranks = materialize(mid_ranks(rows, columns, **scan), partition_by=["variable"])
     for c in columns:
         one = ranks.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("mid_rank").alias(f"_r_{c}"))
-        rows = rows.join(F.broadcast(one) if small else one, c)
+        rows = rows.join(one, c)
     return _correlations(rows.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 

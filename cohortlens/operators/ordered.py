@@ -1,10 +1,12 @@
 """Ordered scans per key that stay parallel when one key holds most of the rows.
 
 A Spark window keeps each partition-by group in one task. ``ordered_scan`` gives the same
-columns, but cuts the groups of frequent keys into consecutive order ranges, aggregates each
-range to one carry row, and adds the carries to range-local window results. The ranges come
-from a hash-selected sample of order tuples, a pure function of the data, so every branch of
-the plan (and every retry) sees the same cuts.
+columns, but cuts the groups of keys with more than ``group_rows`` rows into consecutive order
+ranges, aggregates each range to one carry row, and adds the carries to range-local window
+results. The keys are counted exactly and the ranges come from a hash-selected sample of order
+tuples, a pure function of the data, so every branch of the plan (and every retry) sees the same
+cuts. Neither the number of split keys nor that of ranges is capped: their tables are written
+once, and Spark broadcasts or shuffles them by their known size.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.session import fits_one_task, materialize
+from cohortlens.session import materialize
 
 #: Rows one window group may hold before its key is split.
 GROUP_ROWS = 4_000_000
-#: Upper bound on tracked frequent keys and (in expectation) on cuts over all keys.
-MAX_HOT_KEYS = 4_096
-MAX_CUTS = 16_384
+#: Cut points in one row of the lookup table.
+CUTS_PER_ROW = 1_024
 
 
 def ordered_scan(
@@ -34,30 +35,33 @@ def ordered_scan(
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
     few_keys: bool = False,
-    group_rows: int = GROUP_ROWS,
-    split: bool | None = None,
+    group_rows: int | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Append per-key ordered columns.
 
     ``position`` names a 1-based rank, ``size`` the row count of the key, ``running`` and
     ``totals`` map output names to summed columns (running sums include the own row), ``lag``
     and ``lead`` map output names to columns of the neighbour row. ``order`` must be unique
-    within a key. ``few_keys`` marks inputs with a handful of keys (models, variables), whose
-    groups are all candidates for splitting. ``split`` forces the choice; by default the input
-    size decides, then the key frequencies.
+    within a key. ``few_keys`` marks costly inputs (histograms of a few models or variables),
+    which are written once before they are counted and scanned. A key with more than
+    ``group_rows`` rows (``GROUP_ROWS`` by default) is split. ``split=False`` is for inputs whose
+    groups are small by construction.
     """
     wanted = dict(
         position=position, size=size, running=running or {}, totals=totals or {},
         lag=lag or {}, lead=lead or {},
     )
-    if split is False or (split is None and fits_one_task(df)):
+    if not split:
         return _plain(df, keys, order, wanted)
     if few_keys:
         df = materialize(df)
-    n_rows, hot = _frequent_keys(df, keys, group_rows)
-    if not hot:
-        return _plain(df, keys, order, wanted)
-    return _split(df, keys, order, wanted, n_rows, hot, group_rows)
+    group_rows = group_rows or GROUP_ROWS
+    frequent = materialize(
+        df.groupBy(_key_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows).select("_h"))
+    if frequent.isEmpty():
+        return _plain(df, keys, order, wanted)  # what the split plan is without a cut
+    return _split(df, keys, order, wanted, frequent, group_rows)
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[str], wanted: dict) -> DataFrame:
@@ -80,65 +84,48 @@ def _key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
 
 
-def _frequent_keys(df: DataFrame, keys: list[str], group_rows: int) -> tuple[int, list[int]]:
-    """Row count and hashes of keys above ``group_rows``: one pass over the key columns."""
-    if not keys:
-        n = df.count()
-        return n, [0] if n > group_rows else []
-    row = (
-        df.select(_key_hash(keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {16 * MAX_HOT_KEYS})").alias("top"))
-        .first()
-    )
-    return row["n"], [t["item"] for t in row["top"] or [] if t["count"] > group_rows]
+def cut_table(points: DataFrame, by: list[str], payload: list[str] | None = None) -> DataFrame:
+    """Distinct cut points ``at`` per ``by``, in rows of ``CUTS_PER_ROW``: (by..., _g, _cuts).
 
+    A cut is a struct of ``at`` and the payload columns.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1
+    rows = points.withColumn("_g", F.floor(place / CUTS_PER_ROW).cast("int"))
+    return rows.groupBy(*by, "_g").agg(F.array_sort(F.collect_list(F.struct("at", *(payload or [])))).alias("_cuts"))
 
-def nested_cuts(cuts: DataFrame, column: str) -> DataFrame:
-    """Turn a sorted array of cut points into ``w``, ``nest`` and ``heads``, so that a lookup
-    compares about twice the square root of their number."""
-    return (
-        cuts.withColumn("w", F.ceil(F.sqrt(F.size(column))).cast("int"))
-        .withColumn("nest", F.expr(f"transform(sequence(0, (size({column}) - 1) div w), i -> slice({column}, i * w + 1, w))"))
-        .withColumn("heads", F.expr("transform(nest, g -> g[0])"))
-    )
 
+def locate(df: DataFrame, cuts: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Add ``_l``, the number of cuts at or below ``at`` (0 without cuts or value), and ``_cut``, the last of them.
 
-def cuts_up_to(value: str) -> Column:
-    """How many cut points are at or below ``value``; 0 without cuts or value."""
-    group = f"size(filter(heads, x -> x <= {value}))"
-    return F.expr(
-        f"CASE WHEN {value} IS NULL OR heads IS NULL OR {group} = 0 THEN 0 "
-        f"ELSE ({group} - 1) * w + size(filter(nest[{group} - 1], x -> x <= {value})) END")
+    The first cuts of the table's rows name the row to look in, so no array grows with the number
+    of cuts times the rows. Both joins are broadcast or shuffled by the size of the table.
+    """
+    heads = cuts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_g", F.col("_cuts")[0]["at"].alias("head")))).alias("_heads"))
+    near = df.join(heads, by, "left").withColumn("_g", F.expr(f"size(filter(_heads, x -> x.head <= {at})) - 1"))
+    found = near.join(cuts, [*by, "_g"], "left").withColumn("_i", F.expr(f"size(filter(_cuts, x -> x.at <= {at}))"))
+    return found.withColumns({
+        "_l": F.when(F.col("_cuts").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_g").cast("bigint") * CUTS_PER_ROW + F.col("_i")),
+        "_cut": F.when(F.col("_i") > 0, F.element_at("_cuts", F.col("_i"))),
+    }).drop("_heads", "_g", "_cuts", "_i")
 
 
 def _split(
-    df: DataFrame, keys: list[str], order: list[str], wanted: dict,
-    n_rows: int, hot: list[int], group_rows: int,
+    df: DataFrame, keys: list[str], order: list[str], wanted: dict, frequent: DataFrame, group_rows: int,
 ) -> DataFrame:
     at = F.struct(*order)
-    is_hot = _key_hash(keys).isin(hot)
-    stride = max(1, group_rows // 4, n_rows // MAX_CUTS)
-
-    # Every stride-th order tuple by hash becomes a cut; nested lists keep the lookup short.
-    cuts = (
-        df.where(is_hot & (F.pmod(F.xxhash64(*order), F.lit(stride)) == 0))
-        .groupBy(_key_hash(keys).alias("_h"))
-        .agg(F.array_sort(F.collect_set(at)).alias("c"))
-    )
-    cuts = nested_cuts(cuts, "c").drop("c")
-    src = (
-        df.withColumn("_h", _key_hash(keys))
-        .join(F.broadcast(cuts), "_h", "left")
-        .withColumn("_at", F.when(is_hot, at))
-        .withColumn("_b", cuts_up_to("_at"))
-        .drop("w", "nest", "heads", "_at")
+    stride = max(1, group_rows // 4)
+    # Every stride-th order tuple by hash becomes a cut.
+    points = (
+        df.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0).select(_key_hash(keys).alias("_h"), at.alias("at"))
+        .join(frequent, "_h", "left_semi").distinct()
     )
+    cuts = materialize(cut_table(points, ["_h"]))
+    src = locate(df.withColumns({"_h": _key_hash(keys), "_at": at}), cuts, ["_h"], "_at").drop("_at", "_cut").withColumnRenamed("_l", "_b")
 
     sums = {**wanted["running"], **wanted["totals"]}
     edge_cols = sorted({*wanted["lag"].values(), *wanted["lead"].values()})
     per_range = (
-        src.where(is_hot)
+        src.join(frequent, "_h", "left_semi")
         .groupBy("_h", *keys, "_b")
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -147,11 +134,11 @@ def _split(
             *[F.max_by(c, at).alias(f"_l_{i}") for i, c in enumerate(edge_cols)],
         )
     )
-    # At most MAX_CUTS + MAX_HOT_KEYS rows (expected): windows and the broadcast stay small.
+    # One row per range: a key's window holds its rows divided by the stride.
     key_w = Window.partitionBy("_h", *keys)
     by_range = key_w.orderBy("_b")
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_range.select(
+    carry = materialize(per_range.select(
         F.col("_h").alias("_ch"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_cb"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(key_w).alias("_all"),
@@ -159,13 +146,13 @@ def _split(
         *[F.sum(f"_s_{o}").over(key_w).alias(f"_t_{o}") for o in wanted["totals"]],
         *[F.lag(f"_l_{i}").over(by_range).alias(f"_p_{i}") for i in range(len(edge_cols))],
         *[F.lead(f"_f_{i}").over(by_range).alias(f"_q_{i}") for i in range(len(edge_cols))],
-    )
+    ))
     match = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
         (F.col("_h") == F.col("_ch")) & (F.col("_b") == F.col("_cb")),
     )
-    joined = src.join(F.broadcast(carry), match, "left")
+    joined = src.join(carry, match, "left")
 
     local = Window.partitionBy("_h", *keys, "_b")
     by = local.orderBy(*order)

@@ -188,11 +188,15 @@ def survey_models(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
+    """Loss in average precision per feature, for each of the survey outcomes."""
     df = survey_rows(spark, sf)
-    y = S.OUTCOMES[0]
-    models = oof.fit_folds(df, "fold", y, lambda n, pos: [*survey_prep(), oof.logistic(y, n)])
-    drops = importance.permutation_importance(df, "fold", y, "row_id", S.FEATURES, models)
-    return rounded(importance.importance_summary(drops))
+    out = None
+    for y in S.OUTCOMES:
+        models = oof.fit_folds(df, "fold", y, lambda n, pos: [*survey_prep(), oof.logistic(y, n)])
+        drops = importance.permutation_importance(df, "fold", y, "row_id", S.FEATURES, models)
+        table = importance.importance_summary(drops).withColumn("outcome", F.lit(y))
+        out = table if out is None else out.unionByName(table)
+    return rounded(out)
 
 
 @query("shapley_importance")

@@ -10,9 +10,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Source bytes up to which a whole input may be one task's group, or a side be broadcast.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
 
 def get_spark(app: str = "cohortlens", **conf: str) -> SparkSession:
     """Session with the settings the operators assume; keyword names use ``__`` for dots."""
@@ -28,26 +25,6 @@ def get_spark(app: str = "cohortlens", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def source_bytes(df: DataFrame) -> int | None:
-    """Total size of the sources a DataFrame reads, or None when Spark does not know it.
-
-    Catalyst multiplies the sides of a join, so its estimate of a result says little; the summed
-    sources bound what a plan without cross joins can put into one group well enough.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except Exception:  # no JVM plan at hand, e.g. a remote client
-        return None
-    return sum(sizes)
-
-
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    """True when the *whole* input is small, so no group of it can be too large."""
-    size = source_bytes(df)
-    return size is not None and size <= limit
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers, which may not have it installed; once a session."""
     context = spark.sparkContext
@@ -80,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet below the shared folder and read it back.
 
     Used where an intermediate feeds several passes: it cuts the lineage, survives lost executors,
@@ -91,7 +68,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

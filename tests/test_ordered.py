@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordered import exact_quantiles, mid_ranks, ordered_scan
+from cohortlens.operators.ordered import cut_table, exact_quantiles, locate, mid_ranks, ordered_scan
 
 SCAN = dict(position="pos", size="sz", running={"run": "v"}, totals={"tot": "v"},
             lag={"prev": "v", "prev_id": "id"}, lead={"nxt": "v"})
@@ -57,3 +57,14 @@ def test_quantiles_and_ranks(spark):
         assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
         ranks = {r["value"]: r["mid_rank"] for r in mid_ranks(df, ["a"], **kw).collect()}
         assert ranks[a.min()] == ((a == a.min()).sum() + 1) / 2
+
+
+def test_lookup_over_several_rows_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr("cohortlens.operators.ordered.CUTS_PER_ROW", 4)
+    cuts = cut_table(spark.createDataFrame([("a", 2 * i) for i in range(11)] + [("b", 5)], "k string, at int"), ["k"])
+    assert cuts.count() == 4
+    values = [("a", v) for v in range(-1, 23)] + [("b", 4), ("b", 5), ("c", 1), ("a", None)]
+    for row in locate(spark.createDataFrame(values, "k string, v int"), cuts, ["k"], "v").collect():
+        points = {"a": range(0, 22, 2), "b": [5]}.get(row["k"], [])
+        below = [p for p in points if row["v"] is not None and p <= row["v"]]
+        assert row["_l"] == len(below) and (row["_cut"]["at"] if row["_cut"] else None) == (below[-1] if below else None)

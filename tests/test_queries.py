@@ -19,6 +19,15 @@ def test_matches_sql(spark, duck, name):
     assert differences(got, duck.execute(entry.oracle_sql()[name]).fetchdf()) is None
 
 
+@pytest.mark.parametrize("name", [
+    "discrimination", "encounter_sequence", "event_transitions", "exact_quantiles", "fold_leaks", "fsm_transitions",
+    "mann_whitney_family", "numeric_profile", "rate_by_quantile_bin", "spearman_matrix"])
+def test_matches_sql_with_several_ranges_per_key(spark, duck, monkeypatch, name):
+    monkeypatch.setattr("cohortlens.operators.ordered.GROUP_ROWS", 6)
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert differences(got, duck.execute(entry.oracle_sql()[name]).fetchdf()) is None
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["diag_1_group", "n", "events", "rate", "ci_low", "ci_high"] and df.count() > 0

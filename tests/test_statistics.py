@@ -151,8 +151,15 @@ def test_vif_and_spearman(spark):
     def ranks(v):
         return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     want = np.corrcoef(ranks(x), ranks(c))[0, 1]
-    for kw in ({}, {"broadcast_rows": 0}, {"split": True, "group_rows": 50}):
+    for kw in ({}, {"group_rows": 50}):
         assert correlation.spearman(df, ["x", "c"], **kw).first()["rho"] == pytest.approx(want)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # the same joins, shuffled
+    try:
+        assert correlation.spearman(df, ["x", "c"]).first()["rho"] == pytest.approx(want)
+    finally:
+        spark.conf.set(threshold, before)
 
 
 def test_rank_agreement_with_ties(spark):
