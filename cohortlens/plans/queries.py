@@ -183,9 +183,12 @@ def disposition_audit(spark, sf):
     return E.disposition_audit(X.raw_encounters(spark, sf))
 
 
-_STATE_SQL = "CASE " + " ".join(
-    f"WHEN discharge_disposition_id IN ({', '.join(map(str, codes))}) THEN '{state}'"
-    for state, codes in sequences.DISPOSITION_STATES.items()) + " ELSE 'UNKNOWN' END"
+#: Fixed values, stated here on their own so that the operator's table is checked: code to state.
+_STATE_SQL = """CASE WHEN discharge_disposition_id IN (1, 6, 8, 12, 18, 21, 25, 26) THEN 'HOME'
+  WHEN discharge_disposition_id IN (2, 3, 4, 5, 10, 15, 16, 17, 22, 23, 24, 27, 28, 29, 30) THEN 'TRANSFERRED'
+  WHEN discharge_disposition_id = 7 THEN 'LEFT_AMA' WHEN discharge_disposition_id = 9 THEN 'STILL_ADMITTED'
+  WHEN discharge_disposition_id IN (11, 19, 20) THEN 'EXPIRED' WHEN discharge_disposition_id IN (13, 14) THEN 'HOSPICE'
+  ELSE 'UNKNOWN' END"""
 _TRANSITIONS = O.ENCOUNTERS + f""", states AS (
   SELECT encounter_id, patient_nbr, {_STATE_SQL} AS state FROM typed),
 steps AS (SELECT *, lag(state) OVER w AS prev_state, lag(encounter_id) OVER w AS prev_encounter_id FROM states
