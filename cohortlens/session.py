@@ -57,6 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet below the shared folder and read it back.
 
@@ -65,9 +73,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     driver ends; ``discard`` does so earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = scratch_path(spark)
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -79,7 +78,7 @@ def build_layers(
             if root is None:
                 writer.saveAsTable(f"{layer}.{name}")
             else:
-                writer.parquet(str(PurePath(root) / layer / name))
+                writer.parquet(f"{root.rstrip('/')}/{layer}/{name}")
             built.append((layer, name))
     return spark.createDataFrame(built, "layer string, name string")
 
@@ -90,12 +89,14 @@ def list_tables(spark: SparkSession, layers: list[str]) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row count and an order-free content sum of a table, one row."""
-    cols = columns or df.columns
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.pmod(F.xxhash64(*cols), F.lit(2 ** 31))).alias("content_sum"),
-    )
+    """Row count and an order-free content sum of a table, one row.
+
+    A row counts the first 32 bits of the MD5 of its columns' text forms, joined by the unit separator;
+    a null is the record separator.
+    """
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in columns or df.columns]
+    first_bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 8), 16, 10).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(first_bits).alias("content_sum"))
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
