@@ -29,11 +29,15 @@ HIDDEN, EPOCHS, BATCH, RATE = 16, 8, 16, 0.01
 BATCH_LEAVES = 16_384
 
 # HTML's own element names, by role.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "math", "button"}
+RAW = {"script", "style", "template", "textarea", "title", "iframe"}
+#: Blocks of their own that leave an open paragraph open.
+WITHIN = {"noscript", "svg", "select", "option", "optgroup", "object", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
-    "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+    "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover",
+    "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "mmultiscripts", "mprescripts", "merror", "menclose", "semantics", "annotation"}
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _MARKUP = re.compile(
@@ -52,11 +56,13 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """All text blocks in page order, white space folded, without scripts, styles, comments and the head.
+    """All text blocks in page order, white space folded, without scripts, styles, comments and the title.
 
     Inline elements and line breaks do not end a block, all other tags do. Broken markup is taken as
     browsers do where it matters: a new block ends an open paragraph, unknown end tags are ignored, an
-    unclosed comment or script runs to the end.
+    unclosed comment or script runs to the end. The tags of the head are ignored, since both may be omitted:
+    besides raw text and void elements it holds nothing. Other elements, fallback content and formulas too, are
+    blocks for the labeller.
     """
     found: list[Block] = []
     stack: list[str] = []
@@ -104,6 +110,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         open_["a"] = 0
+        if name == "head":
+            continue
         if closing:
             if open_.get(name):
                 i = len(names) - 1
@@ -113,14 +121,14 @@ def blocks_of(page: str) -> list[Block]:
                 path = tuple(stack)
             continue
         attributes = m[3] if m[2] else m[6]
-        if name in RAW or name == "head":
+        if name in RAW:
             if not attributes.endswith("/"):
-                low = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|<body", re.I).search(page, pos)
-                pos = size if low is None else (low.end() if low[0][1] == "/" else low.start())
+                low = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
+                pos = size if low is None else low.end()
             continue
         if name in VOID:
             continue
-        if open_.get("p"):
+        if name not in WITHIN and open_.get("p"):
             i = len(names) - 1
             while names[i] != "p":
                 i -= 1

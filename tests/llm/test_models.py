@@ -24,6 +24,17 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks_of("plain")[0].text == "plain"
 
 
+def test_blocks_lose_no_text():
+    texts = lambda page: " ".join(b.text for b in html_blocks.blocks_of(page))
+    assert texts("<html><head><title>t</title><meta charset=utf-8><p>article one<p>two") == "article one two"
+    assert texts("<head><style>p{}</style><title>t</title></head><body>all") == "all"
+    page = "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <object data=a>fallback</object> <noscript>plain</noscript> <button>Press</button> end</p>"
+    assert texts(page) == "Here x=2 holds fallback plain Press end"
+    assert [b.path for b in html_blocks.blocks_of(page)][-1] == ("p",)
+    for name in ("noscript", "object", "math", "button", "svg", "select"):
+        assert texts(f"<div>a<{name}>b<p>the rest").endswith("the rest")
+
+
 def test_gradients_match_differences():
     model = html_blocks.BlockLabeller(dim=4, hidden=3)
     rng = np.random.default_rng(0)
