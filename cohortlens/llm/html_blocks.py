@@ -13,6 +13,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.common import fresh, map_arrow
 
-#: Pages the model is trained on (smallest hashes of the ids), and bytes of the longest one.
-TRAIN_PAGES, TRAIN_BYTES = 200, 100_000
+#: Pages the model is trained on (smallest hashes of the ids).
+TRAIN_PAGES = 200
 PATH_DIM, WORD_DIM, FIGURES = 192, 64, 8
 HIDDEN, EPOCHS, BATCH, RATE = 16, 8, 16, 0.01
 #: Leaves of one batch of the labeller, padding included.
@@ -140,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
         if attributes and "=" in attributes:
             own = [x.lower() for g in _NAMES.findall(attributes) for v in g if v for x in _PART.findall(v)]
             if own:
-                label = name + "." + ".".join(sorted(set(own))[:6])
+                label = name + "." + ".".join(sorted(set(own)))
         stack.append(label)
         names.append(name)
         open_[name] = open_.get(name, 0) + 1
@@ -176,12 +177,17 @@ class Features:
             if len(self.paths) > 20_000:
                 self.paths.clear()
             row = np.zeros(PATH_DIM, np.float32)
-            near = path[-8:]
-            for i, label in enumerate(near):
-                tag, *own = label.split(".")
-                last = len(near) - 1 - i
-                for key in [f"t{tag}", f"d{min(last, 3)}{tag}", *[f"c{c}" for c in own]]:
-                    row[_slot(key, PATH_DIM)] += 1.0
+            # ancestors by distance: the four nearest each, then in stretches of doubled length up to the top
+            top, size, bucket = len(path), 1, 0
+            while top > 0:
+                for label, n in Counter(path[max(0, top - size): top]).items():
+                    tag, *own = label.split(".")
+                    for key in [f"t{tag}", f"d{bucket}{tag}", *[f"c{c}" for c in own]]:
+                        row[_slot(key, PATH_DIM)] += n
+                top, bucket = top - size, bucket + 1
+                size = 1 if bucket < 4 else 2 ** (bucket - 2)
+            # a deep nest of wrappers does not drown the rest
+            np.sqrt(row, out=row)
             norm = np.sqrt((row * row).sum())
             self.paths[path] = row = row / norm if norm else row
         return row
@@ -417,7 +423,12 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> BlockLabelle
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
-    batches = [data[i: i + BATCH] for i in range(0, len(data), BATCH)]
+    # long pages come in smaller batches, so a batch holds a bounded number of leaves unless one page has more
+    batches, i = [], len(data)
+    while i > 0:
+        take = max(1, min(BATCH, i, BATCH_LEAVES // max(1, len(data[i - 1][0]))))
+        batches.insert(0, data[i - take: i])
+        i -= take
     for _ in range(epochs):
         for b in rng.permutation(len(batches)):
             x, mask, y = pad([d for d, _ in batches[b]], [y for _, y in batches[b]])
@@ -441,7 +452,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """
     pages = pages.drop(*names)
     if model is None:
-        usable = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html").between(1, TRAIN_BYTES))
+        usable = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") > 0)
         sample = usable.orderBy(F.xxhash64("id", "html")).limit(train_pages).collect()
         model = train([r["html"] for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(model)

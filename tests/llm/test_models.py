@@ -35,6 +35,23 @@ def test_blocks_lose_no_text():
         assert texts(f"<div>a<{name}>b<p>the rest").endswith("the rest")
 
 
+def test_features_see_the_whole_path(spark):
+    deep = lambda box: f"<{box}>" + "<div>" * 40 + "<p>text</p>" + "</div>" * 40 + f"</{box}>"
+    page = deep("article") + deep("nav") + deep("div class='comments'")
+    rows = html_blocks.Features().rows(html_blocks.blocks_of(page))[:, : html_blocks.PATH_DIM]
+    assert len(rows) == 3 and len({r.tobytes() for r in rows}) == 3
+    (block,) = html_blocks.blocks_of("<div class='flex flex-col items-center mt-4 px-6 sidebar w-full'>x</div>")
+    assert "sidebar" in block.path[-1].split(".") and html_blocks.weak_label(block, False) == 0
+    long = "<article><p>" + "long text. " * 12_000 + "</p></article><nav>menu</nav>"
+    seen, train = [], html_blocks.train
+    html_blocks.train = lambda pages: seen.extend(pages) or train(pages)
+    try:
+        html_blocks.extract_text(spark.createDataFrame([(1, long)], "page_id long, html string")).collect()
+    finally:
+        html_blocks.train = train
+    assert seen == [long]
+
+
 def test_gradients_match_differences():
     model = html_blocks.BlockLabeller(dim=4, hidden=3)
     rng = np.random.default_rng(0)
