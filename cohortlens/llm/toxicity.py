@@ -1,34 +1,37 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and their beginnings, kept if their document counts tell toxic from clean examples
-(signed G statistic). Examples with their TF-IDF vectors form an index whose posting lists are cut into
-blocks with the largest weight of each; a query opens blocks by falling upper bound and stops when no
-bound can reach its k-th best, so the neighbours are exactly those of a full scan. The neighbours' votes,
-weighted by closeness, are calibrated on votes that leave each example out.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an index with block bounds.
+
+Terms are all words of the examples and their beginnings; a term's IDF comes from all documents. Widely
+held terms lie in a dense matrix, the others in posting lists, and examples in blocks of ``BLOCK``; a query
+adds up its lists, bounds every block by the largest weights in it and opens those that can reach its k-th
+best, so the neighbours are exactly those of a full scan. The neighbours' votes, weighted by closeness, are
+calibrated together with how far the text's own terms are from the base rate of toxic examples; all figures
+of an example leave it out.
 """
 
 from __future__ import annotations
 
-import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.llm.common import fresh, map_arrow, raw_texts, text_place
 from cohortlens.llm.decontaminate import words_of
 
-#: Labelled rows that the model is fitted on (smallest hashes of the ids), and terms it keeps.
-MAX_EXAMPLES, MAX_TERMS = 16_384, 4_096
-#: Least G statistic of a term (20 is a chance of about one in 100,000 for one term) and least share of
-#: toxic examples among those that hold it.
-MIN_G, MIN_SHARE = 20.0, 0.5
+#: Labelled rows that the model is fitted on (smallest hashes of the ids).
+MAX_EXAMPLES = 16_384
+#: The most widely held terms, kept as a dense matrix; this and the sizes below change no result.
+DENSE, QUERIES = 1_024, 64
 NEIGHBOURS, BLOCK = 15, 64
 #: Lengths in bytes of the beginnings of longer words that are terms as well.
 BEGINNINGS = (4, 5, 6)
 _MEMORY = 300_000
+#: Room for the rounding of the first, single-precision scores.
+_SLACK = 1e-4
 
 
 def held_out(id_col: str, folds: int) -> Column:
@@ -41,123 +44,262 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
 
 
+def pair(vector: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, rising, and frequencies of a vector given as a dict or as such a pair."""
+    if isinstance(vector, tuple):
+        return vector
+    at = np.array(sorted(vector), np.int32)
+    return at, np.array([vector[int(t)] for t in at], np.int32)
+
+
+class Vocabulary:
+    """Numbers of the terms; travels as one Arrow array, each worker makes its dict."""
+
+    def __init__(self, names: pa.Array) -> None:
+        self.names, self.made = names, None
+
+    def __getstate__(self) -> dict:
+        lengths = np.diff(np.frombuffer(self.names.buffers()[1], np.int32)[: len(self.names) + 1]) if len(self.names) else np.zeros(0, np.int32)
+        return {"lengths": _pack(lengths), "bytes": zlib.compress(b"".join(self.names.to_pylist()), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        data, ends = zlib.decompress(state["bytes"]), np.cumsum(_unpack(state["lengths"])).tolist()
+        self.names, self.made = None, {data[a: b]: i for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))}
+
+    def numbers(self) -> dict[bytes, int]:
+        if self.made is None:
+            self.made = {t: i for i, t in enumerate(self.names.to_pylist())}
+        return self.made
+
+
 class Extractor:
     """Term numbers and frequencies of texts, with the terms of recent words remembered."""
 
     def __init__(self, terms: dict[bytes, int]) -> None:
         self.terms, self.seen = terms, {}
 
-    def vector(self, text: bytes) -> dict[int, int]:
+    def of(self, word: bytes) -> tuple[int, ...]:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) > _MEMORY:
+                self.seen.clear()
+            got = self.seen[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+        return got
+
+    def held(self, text: bytes) -> np.ndarray:
+        """Numbers of the terms, in no order."""
+        found = set().union(*map(self.of, set(words_of(text))))
+        return np.fromiter(found, np.int32, len(found))
+
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         found: dict[int, int] = {}
-        seen = self.seen
         for word, n in Counter(words_of(text)).items():
-            got = seen.get(word)
-            if got is None:
-                got = seen[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for t in got:
+            for t in self.of(word):
                 found[t] = found.get(t, 0) + n
-        if len(seen) > _MEMORY:
-            seen.clear()
-        return found
+        at, n = np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        order = np.argsort(at)
+        return at[order], n[order]
+
+
+def _pack(x: np.ndarray) -> tuple[str, bytes]:
+    return x.dtype.str, zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def _unpack(packed: tuple[str, bytes]) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1]), packed[0])
 
 
 class Index:
-    """Examples' unit TF-IDF vectors as posting lists in blocks of ``BLOCK`` examples."""
+    """Examples' unit TF-IDF vectors, widely held terms as a matrix and the others as posting lists."""
 
-    def __init__(self, vectors: list[dict[int, int]], labels: np.ndarray, idf: np.ndarray) -> None:
+    def __init__(self, vectors: list, labels: np.ndarray, idf: np.ndarray, toxic: np.ndarray | None = None, held: np.ndarray | None = None) -> None:
         self.idf = idf
-        weighted = [self.weights(v) for v in vectors]
-        # like examples side by side make tight blocks
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(weighted[i].items(), key=lambda x: (-x[1], x[0])), i))
+        weighted = [(at, w.astype(np.float32)) for at, w in (self.unit(*pair(v)) for v in vectors)]
+        df = np.zeros(len(idf), np.int64)
+        for at, _ in weighted:
+            df[at] += 1
+        self.dense = np.sort(np.argsort(-df, kind="stable")[:DENSE])
+        wide = np.zeros(len(idf), bool)
+        wide[self.dense] = True
+
+        def leading(i: int) -> list[int]:
+            at, w = weighted[i]
+            own = wide[at]
+            return at[own][np.argsort(-w[own], kind="stable")[:4]].tolist()
+
+        # like examples (of one language, say) side by side make tight blocks
+        order = sorted(range(len(vectors)), key=lambda i: (leading(i), i))
         self.rows = np.array(order, np.int64)
         self.labels = labels[self.rows].astype(np.float64)
         self.blocks = max(1, -(-len(order) // BLOCK))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in weighted[i].items():
-                lists.setdefault(t, []).append((place, w))
-        self.lists = {}
-        for t, posts in lists.items():
-            at = np.array([p for p, _ in posts], np.int64)
-            w = np.array([x for _, x in posts])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.lists[t] = (at, w, blocks, np.maximum.reduceat(w, first), np.append(first, len(at)))
-        empty = np.array([not w for w in weighted], bool)[self.rows] if len(order) else np.zeros(0, bool)
+        self.first = np.append(0, np.cumsum([len(weighted[i][0]) for i in order])).astype(np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.int32), *[weighted[i][0] for i in order]])
+        # weights follow from the counts; only these travel
+        self.counts = np.concatenate([np.zeros(0, np.int32), *[pair(vectors[i])[1] if len(weighted[i][0]) else np.zeros(0, np.int32) for i in order]])
+        empty = np.diff(self.first) == 0
         rate = (labels.sum() + 0.5) / (len(labels) + 1.0) if len(labels) else 0.0
         self.rate = float(rate)
         self.empty_rate = float((self.labels[empty].sum() + rate) / (empty.sum() + 1.0)) if len(labels) else 0.0
-        self.slope, self.offset = 1.0, 0.0
+        # toxic examples and examples that hold each term
+        self.toxic = np.zeros(len(idf)) if toxic is None else toxic.astype(np.float64)
+        self.held = np.zeros(len(idf)) if held is None else held.astype(np.float64)
+        self.theta: np.ndarray | None = None
+        self.matrix: np.ndarray | None = None  # made where it is first asked: the driver never asks
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("most", "lists", "posts", "post_weight", "column", "query", "weight", "idf", "toxic", "held", "terms", "counts")} | {
+            "matrix": None, "packed": {k: _pack(getattr(self, k)) for k in ("idf", "toxic", "held", "counts")}, "steps": _pack(np.diff(self.terms, prepend=np.int32(0)))}
+
+    def __setstate__(self, state: dict) -> None:
+        packed, steps = state.pop("packed"), state.pop("steps")
+        self.__dict__.update(state | {k: _unpack(x) for k, x in packed.items()})
+        self.terms = np.cumsum(_unpack(steps), dtype=np.int32)
+
+    def _build(self) -> None:
+        n, size = len(self.rows), self.blocks * BLOCK
+        self.weight = np.zeros(len(self.terms), np.float32)
+        for a, b in zip(self.first[:-1], self.first[1:]):
+            self.weight[a: b] = self.unit(self.terms[a: b], self.counts[a: b])[1]
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[self.dense] = np.arange(len(self.dense))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        column = self.column[self.terms]
+        wide = column >= 0
+        self.matrix = np.zeros((size, len(self.dense)), np.float32)
+        self.matrix[row[wide], column[wide]] = self.weight[wide]
+        self.most = self.matrix.reshape(self.blocks, BLOCK, -1).max(1)
+        terms = self.terms[~wide]
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        self.posts = row[~wide][order]
+        del row, column
+        self.post_weight = self.weight[~wide][order]
+        self.lists = np.append(0, np.cumsum(np.bincount(terms, minlength=len(self.idf))))
+        self.query = np.zeros(len(self.idf))
+
+    def unit(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1.0 + np.log(n)) * self.idf[at]
+        length = np.sqrt((w * w).sum())
+        return (at, w / length) if length > 0 else (at[:0], w[:0])
 
     def weights(self, vector: dict[int, int]) -> dict[int, float]:
-        w = {t: (1.0 + np.log(n)) * self.idf[t] for t, n in sorted(vector.items())}
-        length = np.sqrt(sum(x * x for x in w.values()))
-        return {t: x / length for t, x in w.items()} if length > 0 else {}
+        return dict(zip(*(x.tolist() for x in self.unit(*pair(vector)))))
 
     def nearest(self, vector: dict[int, int], k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term (ties: smaller place)."""
-        query = [(w, *self.lists[t]) for t, w in self.weights(vector).items() if t in self.lists]
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for w, _, _, blocks, most, _ in query:
-            bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 0
-        while step < len(order):
-            chunk = np.sort(order[step: step + 16])
-            step += 16
-            # a bound is a sum in another order than a score: leave room for rounding
-            if bound[chunk].max() <= 0 or (len(best) == k and bound[chunk].max() < best[-1] - 1e-9):
-                break
-            score = np.zeros((len(chunk), BLOCK))
-            for w, at, weight, blocks, _, first in query:
-                here = np.searchsorted(blocks, chunk)
-                for row, (c, j) in enumerate(zip(chunk, here)):
-                    if j < len(blocks) and blocks[j] == c:
-                        a, b = first[j], first[j + 1]
-                        score[row, at[a:b] - c * BLOCK] += w * weight[a:b]
-            row, col = np.nonzero(score)
-            at = chunk[row] * BLOCK + col
-            if leave >= 0:
-                row, col, at = (x[at != leave] for x in (row, col, at))
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, score[row, col]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
+        return self.nearest_of([vector], k, [leave])[0]
+
+    def nearest_of(self, vectors: list, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every vector, up to ``QUERIES`` at a time."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(vectors), QUERIES):
+            out += self._nearest([self.unit(*pair(v)) for v in vectors[i: i + QUERIES]], k, leave and leave[i: i + QUERIES])
+        return out
+
+    def _nearest(self, units: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.matrix is None:
+            self._build()
+        m, size = len(units), self.blocks * BLOCK
+        wide = np.zeros((m, len(self.dense)), np.float32)
+        score = np.zeros((m, size), np.float32)
+        for i, (at, w) in enumerate(units):
+            column = self.column[at]
+            own = column >= 0
+            wide[i, column[own]] = w[own]
+            at, w = at[~own], w[~own]
+            start, count = self.lists[at], self.lists[at + 1] - self.lists[at]
+            if total := int(count.sum()):
+                place = np.repeat(start - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(total)
+                score[i] = np.bincount(self.posts[place], np.repeat(w, count) * self.post_weight[place], size)
+        bound = wide @ self.most.T + score.reshape(m, self.blocks, BLOCK).max(2) + _SLACK
+        opened = np.zeros((m, self.blocks), bool)
+        shaped = score.reshape(m, self.blocks, BLOCK)
+        matrix = self.matrix.reshape(self.blocks, BLOCK, -1)
+
+        def open_(block: int, who: np.ndarray) -> None:
+            shaped[who, block] += wide[who] @ matrix[block].T
+            opened[who, block] = True
+
+        best = bound.argmax(1)
+        for block in np.unique(best):
+            open_(block, np.flatnonzero(best == block))
+        # the k-th best so far, by the opened block's scores and what the lists alone have added elsewhere
+        if leave is not None:
+            for i, place in enumerate(leave):
+                if place >= 0:
+                    score[i, place] = -4.0
+        least = np.partition(score, -k, 1)[:, -k] if size > k else np.zeros(m, np.float32)
+        todo = (bound >= (least - _SLACK)[:, None]) & ~opened & (bound > _SLACK)
+        for block in np.flatnonzero(todo.any(0)):
+            open_(block, np.flatnonzero(todo[:, block]))
+        out = []
+        kth = np.partition(score, -k, 1)[:, -k] if size > k else np.zeros(m, np.float32)
+        for i, (at, w) in enumerate(units):
+            place = np.flatnonzero(score[i] >= max(kth[i] - _SLACK, 1e-12))
+            place = place[place < len(self.rows)]
+            if leave is not None and leave[i] >= 0:
+                place = place[place != leave[i]]
+            if not len(place):
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            # once more in double precision, in an order that does not depend on the batch
+            self.query[at] = w
+            start, count = self.first[place], np.diff(self.first)[place]
+            begin = np.append(0, np.cumsum(count)[:-1])
+            entry = np.repeat(start - begin, count) + np.arange(int(count.sum()))
+            exact = np.add.reduceat(self.query[self.terms[entry]] * self.weight[entry], begin)
+            self.query[at] = 0.0
+            top = np.lexsort((place, -exact))[:k]
+            out.append((place[top].astype(np.int64), exact[top]))
+        return out
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by squared cosine and drawn to the base rate by one half vote."""
         w = cosine * cosine
         return float((w @ self.labels[at] + 0.5 * self.rate) / (w.sum() + 0.5))
 
-    def calibrate(self, vectors: list[dict[int, int]]) -> None:
-        """Logistic map of the votes' logits, fitted by Newton steps on votes without the example itself."""
-        place = np.empty(len(self.rows), np.int64)
-        place[self.rows] = np.arange(len(self.rows))
-        x, y = [], []
-        for i, v in enumerate(vectors):
-            if v:
-                x.append(_logit(self.vote(*self.nearest(v, leave=int(place[i])))))
-                y.append(self.labels[place[i]])
-        x, y = np.array(x), np.array(y)
+    def evidence(self, at: np.ndarray, label: float | None = None) -> tuple[float, float]:
+        """Largest and joint deviation of the terms' toxic counts from the base rate; ``label``: that example left out."""
+        a, n = self.toxic[at], self.held[at]
+        if label is not None:
+            a, n = a - label, n - 1.0
+        z = (a - self.rate * n) / np.sqrt(self.rate * (1.0 - self.rate) * n + 1.0)
+        return (float(np.arcsinh(z.max())), float(np.arcsinh(z.sum() / np.sqrt(len(z))))) if len(z) else (0.0, 0.0)
+
+    def again(self, places: list[int]) -> np.ndarray:
+        """Votes' logits, evidence and 1 of indexed examples, each left out."""
+        if self.matrix is None:
+            self._build()
+        units = [(self.terms[self.first[p]: self.first[p + 1]], self.weight[self.first[p]: self.first[p + 1]].astype(np.float64)) for p in places]
+        got = self._nearest(units, NEIGHBOURS, places)
+        return np.array([(_logit(self.vote(*g)), *self.evidence(u[0], self.labels[p]), 1.0) for p, u, g in zip(places, units, got)]).reshape(-1, 4)
+
+    def _fit(self, design: np.ndarray, y: np.ndarray) -> None:
         if len(y) < 20 or y.min() == y.max():
             return
-        design, theta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
-        for _ in range(25):
+        start = np.array([1.0, 0.0, 0.0, 0.0])
+        theta = start.copy()
+        loss = lambda t: np.logaddexp(0, design @ t).sum() - y @ (design @ t) + 0.5 * ((t - start) ** 2).sum()
+        for _ in range(50):
             p = 1.0 / (1.0 + np.exp(-np.clip(design @ theta, -30, 30)))
-            # a weak pull to the identity keeps separable votes finite
-            grad = design.T @ (p - y) + (theta - [1.0, 0.0])
-            theta = theta - np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.eye(2), grad)
-        if theta[0] > 0:
-            self.slope, self.offset = float(theta[0]), float(theta[1])
-
-    def score(self, vector: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        if not vector:
-            return self.empty_rate, np.zeros(0, np.int64), np.zeros(0)
-        at, cosine = self.nearest(vector)
-        z = self.slope * _logit(self.vote(at, cosine)) + self.offset
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))), at, cosine
+            # a weak pull to the vote alone keeps separable votes finite
+            grad = design.T @ (p - y) + (theta - start)
+            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.eye(4), grad)
+            size = 1.0
+            while size > 1e-3 and loss(theta - size * step) > loss(theta):
+                size /= 2
+            theta = theta - size * step
+        self.theta = theta
+
+    def scores(self, vectors: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and cosines of every vector."""
+        out: list = [(self.empty_rate, np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        used = [i for i, v in enumerate(vectors) if len(v[0])]
+        for i, (at, cosine) in zip(used, self.nearest_of([vectors[i] for i in used])):
+            z = _logit(self.vote(at, cosine))
+            if self.theta is not None:
+                z = float(np.dot(self.theta, (z, *self.evidence(vectors[i][0]), 1.0)))
+            out[i] = (float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))), at, cosine)
+        return out
 
 
 def _logit(p: float) -> float:
@@ -175,8 +317,8 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
 
 
-def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> list[bytes]:
-    """Terms that occur in more toxic examples than chance gives, and mostly in toxic ones, by falling G statistic."""
+def example_terms(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All terms of the examples in order, and how many toxic and how many examples at all hold each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,72 +332,85 @@ def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_g: float =
                     [pa.array(terms, pa.binary()), pa.array([found[1][t] for t in terms], pa.int64()), pa.array([found[0][t] for t in terms], pa.int64())],
                     names=["term", "toxic", "clean"])
 
-    sizes = examples.agg(F.coalesce(F.sum(F.expr("IF(label > 0, 1L, 0L)")), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    n1, n = sizes["toxic"], sizes["n"]
-    if not 0 < n1 < n:
-        return []
-    counts = examples.select("text", "label").mapInArrow(count, "term binary, toxic bigint, clean bigint").groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-
-    def part(x: str, of: str) -> str:
-        return f"IF({x} > 0, {x} * ln({x} / ({of})), 0D)"
+    got = examples.select("text", "label").mapInArrow(count, "term binary, toxic bigint, clean bigint").groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum("clean").alias("b")).toArrow()
+    got = got.sort_by("term")
+    a, b = got.column("a").to_numpy(), got.column("b").to_numpy()
+    return pa.concat_arrays([pa.array([], pa.binary()), *got.column("term").cast(pa.binary()).chunks]), a, a + b
 
-    df, n0 = "(a + b)", n - n1
-    g = " + ".join([part("a", f"{df} * {n1}D / {n}"), part("b", f"{df} * {n0}D / {n}"),
-                    part(f"({n1} - a)", f"({n} - {df}) * {n1}D / {n}"), part(f"({n0} - b)", f"({n} - {df}) * {n0}D / {n}")])
-    chosen = counts.where(f"a * {n0}D > b * {n1}D AND a >= {MIN_SHARE} * (a + b)").withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= min_g)
-    return [bytes(r["term"]) for r in chosen.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
 
-
-def document_frequencies(docs: DataFrame, text_col: str, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, text_col: str, shared: Broadcast, size: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract, total, n = Extractor(shared.value), Counter(), 0
+        extract, total, n = Extractor(shared.value.numbers()), np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for text in raw_texts(batch.column(0)):
-                total.update(extract.vector(text or b"").keys())
+                total[extract.held(text or b"")] += 1
                 n += 1
         total[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(terms), np.int64)
-    n = 0
-    for r in rows:
-        if r["term"] < 0:
-            n = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, n
+    rows = docs.select(text_col).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return df[:-1], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5,
-        max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> tuple[dict[bytes, int], Index, np.ndarray]:
-    """Terms, index and example ids. The examples (a bounded, documented sample) are the only rows on the driver."""
+        max_examples: int = MAX_EXAMPLES) -> tuple[Broadcast, Broadcast, np.ndarray | None]:
+    """Broadcast terms, broadcast index with example ids, and its calibration. The examples (a bounded, documented sample) are the only rows on the driver."""
     examples = labelled_examples(docs, labels, id_col, text_col, label_col, folds, max_examples).cache()
-    terms = {t: i for i, t in enumerate(select_terms(examples, max_terms, min_g))}
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    names, toxic, held = example_terms(examples)
+    size = len(names)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(names))
+    del names
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Extractor(shared.value)
+        get = Extractor(shared.value.numbers())
         for batch in batches:
-            blobs = [pickle.dumps(get.vector(t or b"")) for t in raw_texts(batch.column(1))]
+            blobs = [np.stack(get.vector(t or b"")).tobytes() for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "label", "v"])
 
-    rows = examples.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id bigint, label int, v binary").orderBy("doc_id").collect()
+    rows = examples.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id bigint, label int, v binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     examples.unpersist()
-    df, n = document_frequencies(docs, text_col, terms)
+    df, n = document_frequencies(docs, text_col, shared, size) if size else (np.zeros(0, np.int64), 0)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    vectors = [pickle.loads(r["v"]) for r in rows]
-    index = Index(vectors, np.array([int(r["label"] > 0) for r in rows], np.int64), idf)
-    index.calibrate(vectors)
-    return terms, index, np.array([r["doc_id"] for r in rows], np.int64)[index.rows] if rows else np.zeros(0, np.int64)
+    vectors = [tuple(np.frombuffer(r["v"], np.int32).reshape(2, -1)) for r in rows]
+    ids = np.array([r["doc_id"] for r in rows], np.int64)
+    index = Index(vectors, np.array([int(r["label"] > 0) for r in rows], np.int64), idf, toxic, held)
+    filled = np.array([len(v[0]) > 0 for v in vectors], bool)
+    del vectors, rows
+    ids = ids[index.rows]
+    sent = docs.sparkSession.sparkContext.broadcast((index, ids))
+    index._fit(*_left_out(docs, index, sent, filled))
+    return shared, sent, index.theta
+
+
+def _left_out(docs: DataFrame, index: Index, shared: Broadcast, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features without themselves and labels of all examples that have terms, computed on the workers."""
+    place = np.argsort(index.rows)
+    used = np.flatnonzero(filled)
+    if not len(used) or index.labels.min() == index.labels.max():
+        return np.zeros((0, 4)), np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = place[used[batch.column(0).to_numpy()]]
+            rows = [r for i in range(0, len(chosen), QUERIES) for r in shared.value[0].again(chosen[i: i + QUERIES].tolist()).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["place", "x"])
+
+    # an example's own vector is in the index, so places are all that travel; workers of the same kind as the scoring's hold it once
+    parts = docs.sparkSession.range(0, len(used), 1, max(1, min(24, len(used) // 64))).mapInArrow(run, "place bigint, x array<double>")
+    got = {r["place"]: r["x"] for r in parts.collect()}
+    at = [int(p) for p in place[used]]
+    return np.array([got[p] for p in at]).reshape(-1, 4), index.labels[at]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                    folds: int = 5, evidence: bool = False, **bounds: float) -> DataFrame:
+                    folds: int = 5, evidence: bool = False, **bounds: int) -> DataFrame:
     """Append ``score`` and ``predicted`` (and ``evidence``: neighbours with label and cosine) to every row.
 
     A score depends on the text and the fitted model alone. Null and empty texts, and texts without any
@@ -263,15 +418,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ``docs`` called like a result are replaced; rows keep their partition.
     """
     source, docs = docs, docs.drop("score", "predicted", *["evidence"] * evidence)
-    terms, index, ids = fit(docs, labels, id_col, text_col, label_col, folds, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, index, ids))
+    terms, shared, theta = fit(docs, labels, id_col, text_col, label_col, folds, **bounds)
     with_text, at = text_place(docs, source, text_col)
     workers: dict[int, Extractor] = {}
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        terms, index, ids = shared.value
-        get = workers.setdefault(0, Extractor(terms))
-        got = [index.score(get.vector(t or b"")) for t in raw_texts(batch.column(at))]
+        index, ids = shared.value
+        index.theta = theta
+        get = workers.setdefault(0, Extractor(terms.value.numbers()))
+        texts = raw_texts(batch.column(at))
+        got = [g for i in range(0, len(texts), QUERIES) for g in index.scores([get.vector(t or b"") for t in texts[i: i + QUERIES]])]
         out = {"score": [s for s, _, _ in got], "predicted": [int(s >= 0.5) for s, _, _ in got]}
         if evidence:
             out["evidence"] = [[{"doc_id": int(ids[a]), "label": int(index.labels[a]), "cosine": float(c)} for a, c in zip(p, q)] for _, p, q in got]

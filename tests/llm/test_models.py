@@ -173,6 +173,43 @@ def test_toxicity(spark, documents, empty):
     assert toxicity.keep_clean(documents, labels.limit(0)).count() == 13 and toxicity.keep_clean(empty, labels).count() == 0
 
 
+def test_toxic_cosine_is_over_all_words(spark):
+    df, labels = toxic_corpus(spark, 200)
+    rows = {r.doc_id: r.text.encode() for r in df.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    examples = [i for i in known if zlib.crc32(str(i).encode()) % 5]
+    terms = {i: Counter(t for w in text.split() for t in toxicity.terms_of(w)) for i, text in rows.items()}
+    vocabulary = {t for i in examples for t in terms[i]}
+    df_of = Counter(t for c in terms.values() for t in c)
+
+    def unit(i):
+        w = {t: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df_of[t])) + 1) for t, n in terms[i].items() if t in vocabulary}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    units = {i: unit(i) for i in rows}
+    for r in toxicity.score_documents(df, labels, evidence=True).collect():
+        want = {e: sum(x * units[e].get(t, 0.0) for t, x in units[r.doc_id].items()) for e in examples}
+        assert np.allclose([e.cosine for e in r.evidence], sorted(want.values())[::-1][:15], atol=1e-6)
+        assert all(abs(want[e.doc_id] - e.cosine) < 1e-6 and known[e.doc_id] == e.label for e in r.evidence)
+
+
+def test_toxic_terms_that_clean_texts_hold_too(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        w = rng.choice(words, 30).tolist()
+        toxic = int(i % 50 == 0)
+        if toxic or i % 50 == 1:  # as many clean holders as toxic ones
+            w[3] = "grumpf"
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
+    bad = got.text.str.contains("grumpf")
+    assert (got[bad].score > 0.2).mean() > 0.9 and got[~bad].score.quantile(0.99) < 0.2
+
+
 def test_index_finds_the_nearest():
     rng = np.random.default_rng(6)
     vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(0, 9), replace=False)} for _ in range(700)]
