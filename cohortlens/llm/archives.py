@@ -132,20 +132,16 @@ class _Records:
         self.unzip = zlib.decompressobj(31) if zipped else None
 
     def _more(self) -> bool:
-        if self.at >= len(self.view) and not (self.unzip and self.unzip.unconsumed_tail):
+        if self.unzip and self.unzip.eof:  # archives may hold one member a record
+            self.at -= len(self.unzip.unused_data)
+            self.unzip = zlib.decompressobj(31)
+        held = self.unzip.unconsumed_tail if self.unzip else b""
+        if not held and self.at >= len(self.view):
             return False
-        if self.unzip is None:
-            self.buffer += self.view[self.at: self.at + _CHUNK]
-            self.at += _CHUNK
-            return True
-        part = self.unzip.unconsumed_tail
-        if not part:
-            if self.unzip.eof:  # archives may hold one member a record
-                rest = self.unzip.unused_data
-                self.unzip, self.at = zlib.decompressobj(31), self.at - len(rest)
-            part = bytes(self.view[self.at: self.at + _CHUNK])
-            self.at += len(part)
-        self.buffer += self.unzip.decompress(part, 4 * _CHUNK)
+        if not held:
+            held = bytes(self.view[self.at: self.at + _CHUNK])
+            self.at += len(held)
+        self.buffer += self.unzip.decompress(held, 4 * _CHUNK) if self.unzip else held
         return True
 
     def _take(self, n: int) -> bytes:
