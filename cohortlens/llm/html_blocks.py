@@ -41,8 +41,13 @@ INLINE = {
     "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "mmultiscripts", "mprescripts", "merror", "menclose", "semantics", "annotation"}
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Elements nested deeper count as siblings, as in browsers.
+DEPTH = 512
+
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Rest of a tag; a quote counts where a value starts.
+_ATTRIBUTES = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+>")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -56,12 +61,57 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Tags:
+    """Markup of a page from left to right, in time linear in its length.
+
+    A tag ends at the first ``>`` outside of quoted values. Where the quotes of a tag leave no ``>`` to
+    the end of the page, quotes no longer count from there on, so one such scan is the only one.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name in small letters, closing, attributes) of the next markup; the name is empty for comments and the like."""
+        page = self.page
+        while (m := _START.search(page, pos)) is not None:
+            start, kind = m.start(), m.group()
+            if kind == "<!--":
+                if page.startswith((">", "->"), m.end()):  # an empty comment
+                    return start, page.find(">", m.end()) + 1, "", False, ""
+                end = page.find("-->", m.end())
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if kind == "<![CDATA[":
+                end = page.find("]]>", m.end())
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if start > self.last:  # nothing ends any more: text
+                return None
+            if kind in ("<!", "<?"):
+                return start, page.find(">", start) + 1, "", False, ""
+            name = _NAME.match(page, start)
+            rest = _ATTRIBUTES.match(page, name.end()) if self.quotes else None
+            if rest is None:
+                self.quotes = False
+                end = page.find(">", name.end()) + 1
+            else:
+                end = rest.end()
+            return start, end, name[2].lower(), bool(name[1]), page[name.end(): end - 1]
+        return None
+
+    def after_raw(self, name: str, pos: int) -> int:
+        """End of the end tag that closes a raw text element, or of the page."""
+        close = re.compile(rf"</{name}[\s/>]", re.I).search(self.page, pos)
+        end = -1 if close is None else self.page.find(">", close.end() - 1)
+        return len(self.page) if end < 0 else end + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """All text blocks in page order, white space folded, without scripts, styles, comments and the title.
 
     Inline elements and line breaks do not end a block, all other tags do. Broken markup is taken as
     browsers do where it matters: a new block ends an open paragraph, unknown end tags are ignored, an
-    unclosed comment or script runs to the end. The tags of the head are ignored, since both may be omitted:
+    unclosed comment or script runs to the end, a slash does not end a script outside of drawings. A
+    ``<`` that no ``>`` follows is text. The tags of the head are ignored, since both may be omitted:
     besides raw text and void elements it holds nothing. Other elements, fallback content and formulas too, are
     blocks for the labeller.
     """
@@ -70,15 +120,17 @@ def blocks_of(page: str) -> list[Block]:
     names: list[str] = []
     open_: dict[str, int] = {}
     pieces: list[str] = []
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
     linked, pos, size = 0, 0, len(page)
-    path: tuple[str, ...] = ()
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(path, text, min(linked, len(text))))
+                path = tuple(stack)
+                found.append(Block(paths.setdefault(path, path), text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
@@ -88,21 +140,17 @@ def blocks_of(page: str) -> list[Block]:
         del stack[i:], names[i:]
 
     while pos < size:
-        m = _MARKUP.search(page, pos)
-        if m is None:
-            pieces.append(page[pos:])
+        tag = tags.next(pos)
+        start = size if tag is None else tag[0]
+        if start > pos:
+            pieces.append(page[pos:start])
             if open_.get("a"):
-                linked += size - pos
+                linked += start - pos
+        if tag is None:
             break
-        if m.start() > pos:
-            pieces.append(page[pos: m.start()])
-            if open_.get("a"):
-                linked += m.start() - pos
-        pos = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        _, pos, name, closing, attributes = tag
+        if not name:
             continue
-        name, closing = name.lower(), bool(m[1] or m[4])
         if name in INLINE:
             if name == "br" or name == "wbr":
                 pieces.append(" ")
@@ -119,13 +167,10 @@ def blocks_of(page: str) -> list[Block]:
                 while names[i] != name:
                     i -= 1
                 pop_to(i)
-                path = tuple(stack)
             continue
-        attributes = m[3] if m[2] else m[6]
         if name in RAW:
-            if not attributes.endswith("/"):
-                low = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
-                pos = size if low is None else low.end()
+            if not (attributes.endswith("/") and open_.get("svg")):
+                pos = tags.after_raw(name, pos)
             continue
         if name in VOID:
             continue
@@ -137,6 +182,8 @@ def blocks_of(page: str) -> list[Block]:
         ends = CLOSES_ITSELF.get(name)
         if ends and names and names[-1] in ends:
             pop_to(len(names) - 1)
+        if len(names) >= DEPTH:
+            pop_to(DEPTH - 1)
         label = name
         if attributes and "=" in attributes:
             own = [x.lower() for g in _NAMES.findall(attributes) for v in g if v for x in _PART.findall(v)]
@@ -145,7 +192,6 @@ def blocks_of(page: str) -> list[Block]:
         stack.append(label)
         names.append(name)
         open_[name] = open_.get(name, 0) + 1
-        path = tuple(stack)
     flush()
     return found
 

@@ -1,8 +1,10 @@
 """Exact token ids of whole texts through the tokenizers library, encoding each distinct word once.
 
 The vocabularies with word ends look at one white-space-free piece at a time: the normaliser works
-inside pieces and the splitter never joins two. So a text's ids are the ids of its pieces in order,
-and since the vocabulary is lower case, ASCII capitals can be folded first.
+inside pieces and the splitter never joins two. So a text's ids are the ids of its pieces in order.
+The vocabulary is lower case, so ASCII capitals are folded first, except where a character other than
+ASCII follows: the library composes characters before it folds them, and a mark may compose with one
+case of a letter only.
 Texts with "<|" could hold a special token and are handed to the library whole.
 """
 
@@ -19,12 +21,25 @@ from cohortlens.llm.common import LOWER
 
 #: Distinct pieces a worker remembers before it starts anew (about 150 MB).
 MEMORY_WORDS = 800_000
+_BEFORE_OTHER = re.compile(rb"[A-Z](?=[\x80-\xff])")
 _LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
 _STOPS = (b".", b",", b";", b":")
 _STOP_BYTES = frozenset(b".,;:")
 _WORKER: dict[str, "WordTokens"] = {}
 
 
+def folded(text: bytes) -> bytes:
+    """``text`` with ASCII capitals folded that no character outside ASCII follows."""
+    low = text.translate(LOWER)
+    kept = [m.start() for m in _BEFORE_OTHER.finditer(text)]
+    if kept:
+        restored = bytearray(low)
+        for i in kept:
+            restored[i] = text[i]
+        low = bytes(restored)
+    return low
+
+
 class WordTokens:
     """Token ids of texts, piece by piece. ``encode`` returns flat ids and the number per text."""
 
@@ -106,7 +121,7 @@ class WordTokens:
                 self.index[w]
             self._learn(list(_STOPS))
         number = self.index.__getitem__
-        pieces = [t.translate(LOWER).split() for t in texts]
+        pieces = [folded(t).split() for t in texts]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         got = np.fromiter(map(number, chain.from_iterable(pieces)), np.int64, int(lens.sum()))
         new = len(self.index) - self.known

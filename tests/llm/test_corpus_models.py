@@ -1,5 +1,6 @@
 """Page text, cover tree, mixing, toxicity, suffix tree and the pipeline."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -24,6 +25,29 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks_of("plain")[0].text == "plain"
 
 
+def test_scripts_end_at_their_end_tag_and_comments_where_they_end():
+    texts = lambda page: [b.text for b in html_blocks.blocks_of(page)]
+    assert texts("<script src=x/>var leak=1;</script>a") == ["a"] and texts("<script/>leak()</script >a") == ["a"]
+    assert texts("<script>x</scripts>y</script/>a") == ["a"] and texts("<svg><style/>a</svg>") == ["a"]
+    assert texts("<!-->a") == ["a"] and texts("<!--->a") == ["a"] and texts("<!---->a<!-- > -->b") == ["ab"]
+    assert texts('<p title="x>y">a<p title=\'"\'>b<p title=">c') == ["a", "b", "c"]
+    assert texts("if i<n then j<m") == ["if i<n then j<m"]
+
+
+@pytest.mark.parametrize("unit, end", [("if i<n then ", ""), ("if i<n then ", ">"), ("<a '", ""), ("<a b='>' ", ""), ("<a \"'>'\" ", "'"), ("</script ", ""),
+                                       ("<!-", ""), ("<p class=", ""), ("<p a=\"", ""), ("<?", "")])
+def test_broken_pages_take_time_in_proportion(unit, end):
+    page = "<p>" + unit * (4_000_000 // len(unit)) + end
+    start = time.perf_counter()
+    html_blocks.blocks_of(page)
+    assert time.perf_counter() - start < 5  # a scan to the end for each tag would take minutes
+
+
+def test_deep_pages_keep_their_text():
+    blocks = html_blocks.blocks_of("<div>x" * 20_000)
+    assert len(blocks) == 20_000 and max(len(b.path) for b in blocks) == html_blocks.DEPTH
+
+
 def test_blocks_lose_no_text():
     texts = lambda page: " ".join(b.text for b in html_blocks.blocks_of(page))
     assert texts("<html><head><title>t</title><meta charset=utf-8><p>article one<p>two") == "article one two"

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, feistel, simhash, token_codec, token_counts
+from cohortlens.llm import decontaminate, feistel, simhash, token_codec, token_counts, words_tokens
 from cohortlens.llm.queries import tokenizer_path
 
 
@@ -46,6 +46,20 @@ def test_token_counts(documents, empty):
     assert "_text" in got[0] and token_counts.count_tokens(empty, tokenizer_path()).count() == 0
 
 
+MARKS = [*map(chr, range(0x300, 0x345)), "\u0338", "\u0653", "\u3099", "\u1161", "\uac00"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*"HJTWYKSLShjtwyikÅΣςÉẞİıſ\u212a\u00a0\u2028.,'<|> \n0", *MARKS]), max_size=30), min_size=1, max_size=8))
+def test_pieces_give_the_ids_of_the_library(texts):
+    words = words_tokens.WordTokens.of(tokenizer_path())
+    texts = [*texts, "J\u030cello H\u0331 T\u0308 W\u030a Y\u030a"]
+    flat, n = words.encode([t.encode() for t in texts])
+    want = library_ids(texts)
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert words.lengths([t.encode() for t in texts]).tolist() == n.tolist()
+
+
 def test_long_texts_are_cut_at_white_space():
     text = b"ab cde " * 1000
     pieces = token_counts.safe_pieces(text, 100)
