@@ -18,7 +18,7 @@ Scores, cuts and containment are joins over the frequent phrases. Products are t
 38 digits.
 
 Null texts are empty, null languages go by ``und``. A run of words without any piece end stays in
-one shard, so a task holds the longest such run or ``SHARD`` symbols, about 60 bytes each. Empty
+one shard, so a task holds the longest such run or ``SHARD`` symbols, about 80 bytes each. Empty
 tables give no phrases. Repeated rows count as often as they occur.
 """
 
@@ -37,7 +37,7 @@ from cohortlens.llm.feistel import number_rows
 from cohortlens.session import discard, materialize
 
 #: Symbols of one shard.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 22
 #: Rows of one Arrow batch of counts.
@@ -121,18 +121,19 @@ def text_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def sorted_transform(codes: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes in the order of their first ``depth`` (or more) symbols."""
-    rank, seen = codes.astype(np.int64), 1
+    rank, seen = codes, 1
     while True:
         # the padding behind the end is the smallest symbol, and so is the barrier that ends the sequence
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(len(rank) - seen, 0)] = rank[seen:]
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
+        key = rank.astype(np.int64)
+        key *= int(rank.max(initial=0)) + 1
+        key[: max(len(key) - seen, 0)] += rank[seen:]
         order = np.argsort(key)
         seen *= 2
         if seen >= depth:
             return codes[order - 1]
-        ordered = key[order]
-        rank[order] = np.cumsum(np.concatenate([ordered[:1] < 0, ordered[1:] != ordered[:-1]]))
+        key = key[order]
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.cumsum(np.concatenate([key[:1] < 0, key[1:] != key[:-1]]), dtype=np.int32)
 
 
 class Index:
@@ -141,7 +142,11 @@ class Index:
     def __init__(self, transform: np.ndarray, symbols: int) -> None:
         self.transform, self.symbols, self.n = transform, symbols, len(transform)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=symbols))])
-        self.places = np.sort(transform.astype(np.int64) * self.n + np.arange(self.n))
+        places = transform.astype(np.int64)
+        places *= self.n
+        places += np.arange(self.n)
+        places.sort()
+        self.places = places
 
     def step(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.places, symbol * self.n + low)
@@ -152,10 +157,12 @@ def extend(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray) -
 
     Returns (pattern number, symbol, low, size, other) of the longer patterns.
     """
-    owner = np.repeat(np.arange(len(low)), size)
     first = np.cumsum(size) - size
-    rows = np.arange(len(owner)) + np.repeat(low - first, size)
-    key = owner * index.symbols + index.transform[rows]
+    rows = np.repeat(low - first, size)
+    rows += np.arange(len(rows))
+    key = np.repeat(np.arange(len(low)) * index.symbols, size)
+    key += index.transform[rows]
+    del rows
     key.sort()
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([start, [len(key)]]))
