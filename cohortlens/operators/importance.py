@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.cleaning import source_feature
 from cohortlens.functions.rates import ratio_or_zero
+from cohortlens.operators.boosting import Model
 from cohortlens.operators.evaluation import rank_metrics
 from cohortlens.operators.folds import SEED, hash_sample, stratum_sample
-from cohortlens.operators.oof import score_folds, score_of
+from cohortlens.operators.oof import score_folds
+from cohortlens.operators.tree_shap import background_rows, tree_contributions
+from cohortlens.sources.tables import write_metadata, write_rows
 
 
 def permutation_importance(
@@ -53,50 +55,27 @@ def importance_summary(drops: DataFrame, keys: list[str] | None = None) -> DataF
     return out.withColumn("rank", F.rank().over(w))
 
 
-def shapley_contributions(
-    df: DataFrame, key: str, model: PipelineModel, names: list[str], explain: int = 5_000,
-    background: int = 100, seed: int = SEED,
-) -> DataFrame:
-    """Sampled interventional Shapley values on the probability scale, one row per explained key:
-    (key, base, p, phi) with ``phi`` in the order of ``names``.
+def shapley_contributions(rows: DataFrame, key: str, model: Model, background: int = 100, probability: bool = True, seed: int = SEED) -> DataFrame:
+    """Exact interventional Shapley values of boosted trees, one row per key of all ``rows``: (key, base, p, phi).
 
-    Each explained row meets every background row once, under its own random feature order:
-    features switch from the background's to the row's value one at a time and each change of the
-    score belongs to the feature switched. The steps telescope, so base + sum(phi) = p.
-    The last pipeline stage is the classifier; ``names`` are its vector entries.
+    ``rows`` holds the key and ``features``; the background is a seeded sample of ``background`` rows.
     """
-    *prep, classifier = model.stages
-    vector = classifier.getFeaturesCol()
-    rows = hash_sample(df, key, explain, seed)
-    backs = hash_sample(df, key, background, seed + 1)
-    for stage in prep:
-        rows, backs = stage.transform(rows), stage.transform(backs)
-    order = Window.orderBy(F.xxhash64(key, F.lit(seed + 1)), key)  # at most `background` rows
-    backs = backs.select(F.row_number().over(order).alias("b"), vector_to_array(vector).alias("z"))
-    d = len(names)
-    walks = (
-        rows.select(F.col(key), vector_to_array(vector).alias("x"))
-        .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(background))))
-        .join(F.broadcast(backs), "b")
-        .withColumn("order", F.expr(
-            f"transform(array_sort(transform(sequence(0, {d - 1}), f -> struct(xxhash64(`{key}`, b, f, {seed}) AS h, f AS f))), s -> s.f)"))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-        .withColumn("on", F.expr("slice(order, 1, step)"))
-        .withColumn(vector, array_to_vector(F.expr("transform(x, (v, i) -> CASE WHEN array_contains(on, i) THEN v ELSE z[i] END)")))
-    )
-    scored = classifier.transform(walks.select(key, "b", "order", "step", vector))
-    paths = scored.groupBy(key, "b").agg(
-        F.first("order").alias("order"),
-        F.array_sort(F.collect_list(F.struct("step", score_of(scored).alias("p")))).alias("s"))
-    steps = paths.select(
-        key, "b", F.col("s")[0]["p"].alias("p0"), F.col("s")[d]["p"].alias("p1"),
-        F.posexplode("order").alias("i", "f"), "s",
-    ).select(key, "b", "f", "p0", "p1", F.expr("s[i + 1].p - s[i].p").alias("dp"))
-    per = steps.groupBy(key, "f").agg(F.avg("dp").alias("phi"), F.avg("p0").alias("base"), F.avg("p1").alias("p"))
-    return per.groupBy(key).agg(
-        F.first("base").alias("base"), F.first("p").alias("p"),
-        F.array_sort(F.collect_list(F.struct("f", "phi"))).alias("_v"),
-    ).select(key, "base", "p", F.col("_v.phi").alias("phi"))
+    sample = hash_sample(rows.select(key, "features"), key, background, seed + 1)
+    return tree_contributions(rows, key, model, background_rows(sample, background), probability)
+
+
+def write_contributions(contributions: DataFrame, names: list[str], path: str) -> None:
+    """Row-level contribution arrays as Parquet, and the names of their entries with base values beside them."""
+    write_rows(contributions, f"{path}/contributions")
+    # one row: the base is the same for all rows of a model
+    write_metadata(contributions.agg(F.min("base").alias("base_low"), F.max("base").alias("base_high"), F.count(F.lit(1)).alias("n_rows"))
+                   .withColumn("names", F.array(*[F.lit(n) for n in names])), f"{path}/names")
+
+
+def read_contributions(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, encoded_feature, phi) of what ``write_contributions`` wrote."""
+    names = spark.read.json(f"{path}/names").first()["names"]
+    return contribution_rows(spark.read.parquet(f"{path}/contributions"), key, names)
 
 
 def additivity_error(contributions: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ one binary term, or on all levels of a category, has a closed form in the counts
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.operators import correlation, distributions, encode, folds, importance, oof, regression, resample
+from cohortlens.operators import boosting, correlation, distributions, encode, folds, importance, linear, oof, regression, resample
 from cohortlens.plans import fixtures as X
 from cohortlens.plans.queries import query, rounded
-from cohortlens.session import scratch_path
+from cohortlens.session import materialize, scratch_path
 from cohortlens.sources import tables as S
 
 KEY = "o_orderkey"
@@ -144,16 +143,54 @@ def sample_facts(spark, sf):
     return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(KEY).alias("n_keys"), F.count_if(F.col("known").isNull()).alias("strangers"))
 
 
-@query("shapley_additivity", "SELECT least(count(*), 5000) AS n, 0.0::DOUBLE AS max_additivity_error FROM orders")
+@query("shapley_additivity", "SELECT count(*) AS n, 0.0::DOUBLE AS max_additivity_error FROM orders")
 def shapley_additivity(spark, sf):
-    """Base value plus contributions gives the score of every explained row."""
+    """Base value plus contributions gives the score of every row."""
     df = finished_orders(spark, sf)
-    model = Pipeline(stages=[encode.FeatureEncoder(["o_totalprice"], ["urgent", "low"], []), oof.boosted_trees("y", 5)]).fit(df)
-    phi = importance.shapley_contributions(df, KEY, model, list(model.stages[0].columns()))
+    rows = materialize(df.select(F.lit("all").alias("model"), KEY, F.col("y").alias("label"), F.lit(True).alias("train"),
+                                 F.array("o_totalprice", F.col("urgent").cast("double"), F.col("low").cast("double")).alias("features")))
+    models, _ = boosting.fit_boosted(rows, KEY)
+    phi = importance.shapley_contributions(rows, KEY, models["all"])
     total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
     return phi.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("base") + total - F.col("p"))), 9).alias("max_additivity_error"))
 
 
+@query("boosted_stumps", _ROWS + """,
+f AS (SELECT (o_orderkey % 5)::INTEGER AS fold, urgent, count(*) AS n, sum(y) AS k FROM r GROUP BY 1, 2),
+t AS (SELECT f.fold, f.urgent, any_value(f.n) AS held_out, sum(o.n)::DOUBLE AS n, sum(o.k)::DOUBLE AS k FROM f JOIN f o ON o.urgent = f.urgent AND o.fold <> f.fold GROUP BY 1, 2),
+m0 AS (SELECT *, sum(k) OVER (PARTITION BY fold) / sum(n) OVER (PARTITION BY fold) AS p FROM t),
+m1 AS (SELECT *, ln(p / (1 - p)) - 0.5 * (n * p - k) / (n * p * (1 - p) + 1) AS m FROM m0),
+m2 AS (SELECT *, 1 / (1 + exp(-m)) AS q FROM m1),
+m3 AS (SELECT *, m - 0.5 * (n * q - k) / (n * q * (1 - q) + 1) AS last FROM m2)
+SELECT fold, urgent, held_out AS n, round(1 / (1 + exp(-last)), 6) AS low, round(1 / (1 + exp(-last)), 6) AS high FROM m3""")
+def boosted_stumps(spark, sf):
+    """Two rounds of one-split trees on a binary feature, out of fold: the leaves follow from the other folds' counts."""
+    df = finished_orders(spark, sf).select(KEY, "y", "urgent", F.pmod(F.col(KEY), F.lit(5)).cast("int").alias("fold"))
+    one_split = boosting.Settings(rounds=2, depth=1, rate=0.5, rows=1.0, columns=1.0, least_weight=0.0)
+    scored = oof.out_of_fold(df, "fold", "y", KEY, lambda: [encode.FeatureEncoder([], ["urgent"], [])], {"p": one_split})
+    return scored.join(df.select(KEY, "urgent"), KEY).groupBy("fold", "urgent").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("p"), 6).alias("low"), F.round(F.max("p"), 6).alias("high"))
+
+
+@query("svm_optimum", """
+SELECT unnest(['const', 'price', 'urgent']) AS term, true AS gradient_is_zero, true AS plane_is_not""")
+def svm_optimum(spark, sf):
+    """The squared-hinge plane of the whole table: its loss, differentiated in column expressions, is flat in every weight."""
+    df = materialize(finished_orders(spark, sf).select(KEY, "y", (F.col("o_totalprice") / 100_000).alias("price"), F.col("urgent").cast("double").alias("urgent")))
+    rows = df.select(F.lit("all").alias("model"), F.col("y").alias("label"), F.lit(True).alias("train"), F.array("price", "urgent").alias("features"))
+    price, urgent, const = linear.fit_planes(rows, linear.Settings(c=0.05))["all"].tolist()
+    n, p = F.count(F.lit(1)), F.sum("y")
+    sizes = df.agg(n.alias("n"), p.alias("p")).first()
+    sign = 2 * F.col("y") - 1
+    share = F.when(F.col("y") == 1, sizes["n"] / (2 * sizes["p"])).otherwise(sizes["n"] / (2 * (sizes["n"] - sizes["p"])))
+    slack = F.greatest(F.lit(0.0), 1 - sign * (price * F.col("price") + urgent * F.col("urgent") + const))
+    pull = {"price": (price, F.col("price")), "urgent": (urgent, F.col("urgent")), "const": (const, F.lit(1.0))}
+    flat = df.agg(*[(w - 2 * 0.05 * F.sum(share * sign * slack * x)).alias(t) for t, (w, x) in pull.items()], F.sum(share * slack).alias("scale"))
+    rows = [F.struct(F.lit(t).alias("term"), (F.abs(F.col(t)) < 1e-6 * F.col("scale")).alias("gradient_is_zero"), F.lit(abs(w) > 1e-12).alias("plane_is_not"))
+            for t, (w, _) in pull.items()]
+    return flat.select(F.inline(F.array(*rows)))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 _REPORT = """

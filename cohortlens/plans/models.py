@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.operators import anomaly, encode, evaluation, folds, importance, oof, phenotypes, profile, quality, regression, resample
+from cohortlens.operators import anomaly, boosting, encode, evaluation, folds, importance, oof, phenotypes, profile, quality, regression, resample
 from cohortlens.operators.association import adjust_fdr
 from cohortlens.plans import encounters as E, fixtures as X, survey as S
-from cohortlens.plans.queries import OUTCOME, query, rounded
-from cohortlens.session import materialize
+from cohortlens.plans.queries import ATTRIBUTES, OUTCOME, query, rounded
+from cohortlens.session import materialize, scratch_path
 
 KEY = "patient_nbr"
 LEAKY = "patient_encounter_count"
 FEATURES = list(dict.fromkeys(E.NUMERIC + E.BINARY + E.CATEGORICAL + E.UTILIZATION))
-#: Boosting rounds and explained rows of the registered queries; the library defaults are larger.
-ROUNDS = 10
-EXPLAIN, BACKGROUND = 200, 10
+#: Score tables of this session, by application, tables and content: the fits are shared by the reports on them.
+_FITTED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def fitted(spark, sf: str, name: str, build) -> DataFrame:
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _FITTED:
+        _FITTED[at] = materialize(build())
+    return _FITTED[at]
 
 
 def model_rows(spark, sf) -> DataFrame:
@@ -33,10 +40,13 @@ def encounter_prep(numeric: list[str] | None = None):
 
 ESTIMATORS = {
     "logistic": lambda n, pos: [oof.logistic(OUTCOME, n)],
-    "linear_svm": lambda n, pos: [oof.ClassWeight(OUTCOME, pos, n), oof.linear_svm(OUTCOME, n, weight="_weight")],
-    "gradient_boosting": lambda n, pos: [oof.boosted_trees(OUTCOME, ROUNDS)],
+    "linear_svm": oof.linear_svm(),
+    "gradient_boosting": oof.boosted_trees(),
     "perceptron": lambda n, pos: [oof.perceptron(OUTCOME)],
 }
+FITTED = ["logistic", "linear_svm", "gradient_boosting"]
+#: Probabilities among the fitted scores.
+CALIBRATED = ["logistic", "gradient_boosting"]
 
 
 def encounter_scores(df: DataFrame, names: list[str], numeric: list[str] | None = None) -> DataFrame:
@@ -44,6 +54,22 @@ def encounter_scores(df: DataFrame, names: list[str], numeric: list[str] | None
     return materialize(oof.out_of_fold(df, "fold", OUTCOME, KEY, encounter_prep(numeric), {n: ESTIMATORS[n] for n in names}))
 
 
+def score_table(spark, sf) -> DataFrame:
+    """(key, label, fold, rule and fitted scores, group columns): every row scored by models that never saw its patient.
+
+    Fitted once a session and written; checked before any report reads it.
+    """
+    def build() -> DataFrame:
+        df = model_rows(spark, sf)
+        known = df.select(KEY, OUTCOME, F.col("number_inpatient").cast("double").alias("rule_baseline"), *ATTRIBUTES)
+        return quality.one_to_one(encounter_scores(df, FITTED), known, KEY, OUTCOME).drop(f"{OUTCOME}_baseline")
+
+    table = fitted(spark, sf, "scores", build)
+    for score in CALIBRATED:
+        evaluation.check_scored(table, KEY, OUTCOME, score, ATTRIBUTES)
+    return table
+
+
 @query("group_folds")
 def group_folds(spark, sf):
     """Fold sizes over all retained encounters, several per patient."""
@@ -135,23 +161,67 @@ def oof_logistic(spark, sf):
 
 @query("oof_models")
 def oof_models(spark, sf):
-    """Discrimination of the rule and three fitted models on the same folds."""
-    df = model_rows(spark, sf)
-    fitted = ["logistic", "linear_svm", "gradient_boosting"]
-    rule = df.select(KEY, F.col("number_inpatient").cast("double").alias("rule_baseline"))
-    table = encounter_scores(df, fitted).join(rule, KEY)
-    return rounded(evaluation.discrimination(table, OUTCOME, ["rule_baseline", *fitted]))
+    """Discrimination of the rule and three fitted models on the same folds, with bootstrap intervals."""
+    models = ["rule_baseline", *FITTED]
+    table = score_table(spark, sf)
+    points = evaluation.discrimination(table, OUTCOME, models)
+    draws = resample.bootstrap_ap(table, KEY, OUTCOME, models)
+    return rounded(points.join(resample.draw_intervals(draws), "model", "left"))
+
+
+@query("model_differences")
+def model_differences(spark, sf):
+    """Paired differences in average precision between the models, over the same draws."""
+    pairs = [("logistic", "rule_baseline"), ("gradient_boosting", "logistic"), ("gradient_boosting", "linear_svm"), ("gradient_boosting", "rule_baseline")]
+    draws = resample.bootstrap_ap(score_table(spark, sf), KEY, OUTCOME, ["rule_baseline", *FITTED])
+    return rounded(resample.paired_differences(draws, pairs))
+
+
+@query("model_thresholds")
+def model_thresholds(spark, sf):
+    """Operating points of the boosted model's out-of-fold scores: fixed cut-offs, then top shares."""
+    table = score_table(spark, sf)
+    fixed = evaluation.threshold_table(table, OUTCOME, "gradient_boosting").withColumn("target_flagged_pct", F.lit(None).cast("double"))
+    return rounded(fixed.unionByName(evaluation.top_fraction_table(table, OUTCOME, "gradient_boosting")))
+
+
+@query("model_calibration")
+def model_calibration(spark, sf):
+    """Reliability bins of out-of-fold probabilities, each with its model's Brier score and calibration line."""
+    table = score_table(spark, sf)
+    summary = evaluation.brier(table, OUTCOME, CALIBRATED).join(regression.calibration_line(table, OUTCOME, CALIBRATED), "model")
+    return rounded(evaluation.calibration_report(evaluation.reliability_bins(table, OUTCOME, CALIBRATED), summary))
+
+
+@query("model_fairness")
+def model_fairness(spark, sf):
+    """Rates and intervals per group and cut-off for the boosted model's out-of-fold scores."""
+    return rounded(evaluation.subgroup_audit(score_table(spark, sf), OUTCOME, "gradient_boosting", ATTRIBUTES))
+
+
+@query("model_fairness_gaps")
+def model_fairness_gaps(spark, sf):
+    return rounded(evaluation.gap_table(evaluation.subgroup_audit(score_table(spark, sf), OUTCOME, "gradient_boosting", ATTRIBUTES)))
+
+
+def leakage_scores(spark, sf) -> DataFrame:
+    """(key, label, safe_model, with_future_count): the trees of both feature sets and all folds grow together."""
+    df = quality.require_domain(model_rows(spark, sf), {LEAKY: quality.positive_count(LEAKY)})
+    names = ["safe_model", "with_future_count"]
+    vectors = oof.fold_features(df, "fold", OUTCOME, KEY, {names[0]: encounter_prep(), names[1]: encounter_prep([*E.NUMERIC, LEAKY])})
+    long = oof.boosted_scores(vectors, OUTCOME, KEY, oof.boosted_trees(), "score")
+    return long.groupBy(KEY).pivot("name", names).agg(F.first("score")).join(df.select(KEY, OUTCOME), KEY)
 
 
 @query("leakage_sensitivity")
 def leakage_sensitivity(spark, sf):
-    """The same model with and without the future event count, on identical folds."""
-    df = quality.require_domain(model_rows(spark, sf), {LEAKY: quality.positive_count(LEAKY)})
-    safe = encounter_scores(df, ["gradient_boosting"]).withColumnRenamed("gradient_boosting", "safe_model")
-    leaky = encounter_scores(df, ["gradient_boosting"], [*E.NUMERIC, LEAKY]).select(
-        KEY, F.col("gradient_boosting").alias("with_future_count"))
-    both = materialize(safe.join(leaky, KEY))
-    return rounded(resample.leakage_comparison(both, KEY, OUTCOME, "safe_model", "with_future_count"))
+    """The same model with and without the future event count, on identical folds: both models' metrics, and their difference."""
+    both = fitted(spark, sf, "leakage", lambda: leakage_scores(spark, sf))
+    names = ["safe_model", "with_future_count"]
+    points = resample.discrimination_with_intervals(both, KEY, OUTCOME, names)
+    gap = resample.leakage_comparison(both, KEY, OUTCOME, *names).select(
+        F.col("comparison").alias("model"), F.col("pr_auc_difference").alias("pr_auc"), "ci_low", "ci_high", "bootstrap_resamples", "excludes_zero")
+    return rounded(points.unionByName(gap, allowMissingColumns=True))
 
 
 @query("neural_benchmark")
@@ -199,14 +269,23 @@ def permutation_importance(spark, sf):
     return rounded(out)
 
 
+def explained(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Contributions of all rows to the boosted model fitted on all of them, and the names of their entries."""
+    df = model_rows(spark, sf)
+    ready = Pipeline(stages=encounter_prep()()).fit(df)
+    rows = materialize(ready.transform(df).select(
+        F.lit("all").alias("model"), KEY, F.col(OUTCOME).alias("label"), F.lit(True).alias("train"), vector_to_array("features").alias("features")))
+    models, _ = boosting.fit_boosted(rows, KEY, oof.boosted_trees())
+    return importance.shapley_contributions(rows, KEY, models["all"]), list(ready.stages[-1].columns())
+
+
 @query("shapley_importance")
 def shapley_importance(spark, sf):
-    df = model_rows(spark, sf)
-    model = Pipeline(stages=[*encounter_prep()(), oof.boosted_trees(OUTCOME, ROUNDS)]).fit(df)
-    names = list(model.stages[1].columns())
-    phi = importance.shapley_contributions(df, KEY, model, names, EXPLAIN, BACKGROUND)
-    rows = importance.contribution_rows(phi, KEY, names)
-    return rounded(importance.source_importance(rows, KEY, E.CATEGORICAL))
+    """Contributions of all rows, written as arrays and read back; signed sums per source column, then their mean magnitude."""
+    phi, names = explained(spark, sf)
+    path = scratch_path(spark)
+    importance.write_contributions(phi, names, path)
+    return rounded(importance.source_importance(importance.read_contributions(spark, path, KEY), KEY, E.CATEGORICAL))
 
 
 def flagged_rows(spark, sf) -> DataFrame:
