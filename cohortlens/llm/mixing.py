@@ -116,7 +116,7 @@ class Mix:
         # blocks in permuted order with the words before them; a source with very many blocks is scanned in ranges
         blocks = self.rows.groupBy("k", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("epochs").alias("epochs"))
         blocks = blocks.withColumn("turn", F.xxhash64(F.lit(seed), "k", "block"))
-        blocks = ordered_scan(blocks, ["k"], ["turn", "block"], position="nth", running={"upto": "words"}, few_keys=True)
+        blocks = ordered_scan(blocks, ["k"], ["turn", "block"], position="nth", running={"upto": "words"})
         blocks = blocks.select("k", "block", "epochs", "words", (F.col("nth") - 1).alias("rank"), (F.col("upto") - F.col("words")).alias("before"), "rest")
         blocks = blocks.withColumn("state", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole")
                                    .when(F.col("before") < F.col("rest"), "part").otherwise("none"))
