@@ -53,7 +53,7 @@ def mann_whitney(df: DataFrame, columns: list[str], outcome: str, **scan: object
     continuity correction) and the absolute rank-biserial correlation."""
     y = F.col(outcome)
     hist = value_histogram(df.where(y.isin(0, 1)), columns, {"n1": y.cast("bigint")})
-    c = ordered_scan(hist, ["variable"], ["value"], running={"cum": "n"}, few_keys=True, **scan)
+    c = ordered_scan(hist, ["variable"], ["value"], running={"cum": "n"}, **scan)
     t = F.col("n").cast("double")
     agg = c.groupBy("variable").agg(
         F.sum("n").alias("n"), F.sum("n1").alias("_n1"),

@@ -98,7 +98,7 @@ def continuous_fits(df: DataFrame, column: str, **scan: object) -> DataFrame:
     """
     hist = value_histogram(df.where(F.col(column) > 0), [column])
     cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_all": "n"},
-                       few_keys=True, **scan).persist()
+                       **scan).persist()
     try:
         return _continuous_fits(cum)
     finally:

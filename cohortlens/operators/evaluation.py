@@ -6,7 +6,7 @@ scores, then one split-safe ordered scan gives cumulative counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.rates import ratio, ratio_or_zero, wilson
 from cohortlens.operators import quality
@@ -32,7 +32,7 @@ def score_counts(scores: DataFrame, label: str, keys: list[str], **scan: object)
     )
     return ordered_scan(
         hist, keys, ["score"], running={"cum_pos": "pos", "cum_neg": "neg"},
-        totals={"all_pos": "pos", "all_neg": "neg"}, few_keys=True, **scan)
+        totals={"all_pos": "pos", "all_neg": "neg"}, **scan)
 
 
 def rank_metrics(scores: DataFrame, label: str, keys: list[str], **scan: object) -> DataFrame:
@@ -137,7 +137,7 @@ def reliability_bins(
         .agg(F.avg("score").alias("mean_predicted_probability"),
              F.avg(F.col(label).cast("double")).alias("observed_event_rate"), F.count(F.lit(1)).alias("n_bin"))
     )
-    ranked = ordered_scan(agg, ["model"], ["_b"], position="bin", split=False)  # at most `bins` rows per model
+    ranked = agg.withColumn("bin", F.row_number().over(Window.partitionBy("model").orderBy("_b")).cast("bigint"))  # at most `bins` rows per model
     return ranked.select("model", "bin", "n_bin", "mean_predicted_probability", "observed_event_rate")
 
 

@@ -1,24 +1,32 @@
-"""Ordered scans per key that stay parallel when one key holds most of the rows.
-
-A Spark window keeps each partition-by group in one task. ``ordered_scan`` gives the same
-columns, but cuts the groups of keys with more than ``group_rows`` rows into consecutive order
-ranges, aggregates each range to one carry row, and adds the carries to range-local window
-results. The keys are counted exactly and the ranges come from a hash-selected sample of order
-tuples, a pure function of the data, so every branch of the plan (and every retry) sees the same
-cuts. Neither the number of split keys nor that of ranges is capped: their tables are written
-once, and Spark broadcasts or shuffles them by their known size.
+"""Ordered scans per key by one prefix scan over range partitions, whatever the keys hold.
+
+Rows are dealt by ranges of (key, order) and sorted in them, so a key with most of the rows spans as
+many partitions as its rows need, and rare keys share one. Each task scans its partition once and
+adds the columns as far as the partition tells them; the result is written. Only the first and the
+last key of a partition can go on in a neighbour. Their edge rows, at most four a partition, give
+every partition's part of such a key; a window over these parts makes the carries, which meet the
+written rows by partition number and key. Small and large, skewed and even inputs follow the same plan.
+
+The written copy is what a query reads on from. Spark samples the input for the ranges before it deals
+it out, so an input that is more than a scan of files is computed once, into a copy of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortlens.session import materialize
+from cohortlens.session import discard, is_scan, materialize
 
-#: Rows one window group may hold before its key is split.
-GROUP_ROWS = 4_000_000
+#: Number of ranges; None leaves it to Spark, which merges small ones by their size.
+RANGES: int | None = None
 #: Cut points in one row of the lookup table.
 CUTS_PER_ROW = 1_024
 
@@ -34,54 +42,136 @@ def ordered_scan(
     totals: dict[str, str] | None = None,
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
-    few_keys: bool = False,
-    group_rows: int | None = None,
-    split: bool = True,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Append per-key ordered columns.
 
     ``position`` names a 1-based rank, ``size`` the row count of the key, ``running`` and
-    ``totals`` map output names to summed columns (running sums include the own row), ``lag``
-    and ``lead`` map output names to columns of the neighbour row. ``order`` must be unique
-    within a key. ``few_keys`` marks costly inputs (histograms of a few models or variables),
-    which are written once before they are counted and scanned. A key with more than
-    ``group_rows`` rows (``GROUP_ROWS`` by default) is split. ``split=False`` is for inputs whose
-    groups are small by construction.
+    ``totals`` map output names to summed columns (running sums include the own row; sums over nulls
+    alone are null), ``lag`` and ``lead`` map output names to columns of the neighbour row. ``order``
+    must be unique within a key; nulls come first. A null key is a key like any other. Sums of whole
+    numbers are bigints, others doubles.
     """
-    wanted = dict(
-        position=position, size=size, running=running or {}, totals=totals or {},
-        lag=lag or {}, lead=lead or {},
-    )
-    if not split:
-        return _plain(df, keys, order, wanted)
-    if few_keys:
-        df = materialize(df)
-    group_rows = group_rows or GROUP_ROWS
-    frequent = materialize(
-        df.groupBy(_key_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows).select("_h"))
-    if frequent.isEmpty():
-        return _plain(df, keys, order, wanted)  # what the split plan is without a cut
-    return _split(df, keys, order, wanted, frequent, group_rows)
-
-
-def _plain(df: DataFrame, keys: list[str], order: list[str], wanted: dict) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    by = whole.orderBy(*order)
-    cols: dict[str, Column] = {}
-    if wanted["position"]:
-        cols[wanted["position"]] = F.row_number().over(by).cast("bigint")
-    if wanted["size"]:
-        cols[wanted["size"]] = F.count(F.lit(1)).over(whole)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols.update({out: F.sum(c).over(upto) for out, c in wanted["running"].items()})
-    cols.update({out: F.sum(c).over(whole) for out, c in wanted["totals"].items()})
-    cols.update({out: F.lag(c).over(by) for out, c in wanted["lag"].items()})
-    cols.update({out: F.lead(c).over(by) for out, c in wanted["lead"].items()})
-    return df.select("*", *[c.alias(name) for name, c in cols.items()])
+    sums = {**(running or {}), **(totals or {})}
+    steps = {**{o: (c, 1) for o, c in (lag or {}).items()}, **{o: (c, -1) for o, c in (lead or {}).items()}}
+    own = df.columns
+    source = df if is_scan(df) else materialize(df)
+    dealt = source.repartitionByRange(*([n] if (n := ranges or RANGES) else []), *(keys + order)).sortWithinPartitions(*keys, *order)
+    local = materialize(_scan_partitions(dealt, keys, sums, steps))
+    if source is not df:
+        discard(source)
+
+    # parts of keys that may go on in another partition: one row per partition and key
+    rest = {c: f"_scan_v_{i}" for i, c in enumerate(sorted({c for c, _ in steps.values()}))}
+    place = Window.partitionBy(*keys).orderBy("_scan_part")  # one row per partition the key is found in
+    parts = local.where("_scan_edge").groupBy("_scan_part", *keys).agg(
+        F.max("_scan_n").alias("_scan_rows"), *[F.max_by(f"_scan_s_{o}", "_scan_at").alias(f"_scan_sum_{o}") for o in sums],
+        *[F.min_by(c, "_scan_at").alias(f"{v}_first") for c, v in rest.items()], *[F.max_by(c, "_scan_at").alias(f"{v}_last") for c, v in rest.items()])
+    before, whole = place.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    carries = parts.select(
+        F.col("_scan_part").alias("_scan_c_part"), *[F.col(k).alias(f"_scan_c_key_{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_scan_rows").over(before), F.lit(0)).alias("_scan_before"), F.sum("_scan_rows").over(whole).alias("_scan_all"),
+        *[F.sum(f"_scan_sum_{o}").over(before).alias(f"_scan_c_{o}") for o in running or {}],
+        *[F.sum(f"_scan_sum_{o}").over(whole).alias(f"_scan_c_{o}") for o in totals or {}],
+        *[(F.lag if step == 1 else F.lead)(f"{rest[c]}_{'last' if step == 1 else 'first'}").over(place).alias(f"_scan_c_{o}") for o, (c, step) in steps.items()])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_scan_c_key_{i}")) for i, k in enumerate(keys)], F.col("_scan_part") == F.col("_scan_c_part"))
+    # at most two rows a partition
+    joined = local.join(F.broadcast(carries), match, "left")
 
-
-def _key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    cols: dict[str, Column] = {}
+    if position:
+        cols[position] = F.col("_scan_at") + F.coalesce("_scan_before", F.lit(0))
+    if size:
+        cols[size] = F.coalesce("_scan_all", "_scan_n")
+    for o in running or {}:
+        cols[o] = F.when(F.col(f"_scan_c_{o}").isNull(), F.col(f"_scan_r_{o}")).otherwise(F.col(f"_scan_c_{o}") + F.coalesce(F.col(f"_scan_r_{o}"), F.lit(0)))
+    for o in totals or {}:
+        cols[o] = F.coalesce(f"_scan_c_{o}", f"_scan_s_{o}")
+    for o, (_, step) in steps.items():
+        at_edge = F.col("_scan_at") == (F.lit(1) if step == 1 else F.col("_scan_n"))
+        cols[o] = F.when(at_edge, F.col(f"_scan_c_{o}")).otherwise(F.col(f"_scan_l_{o}"))
+    return joined.select(*own, *[c.alias(name) for name, c in cols.items()])
+
+
+def _scan_partitions(dealt: DataFrame, keys: list[str], sums: dict[str, str], steps: dict[str, tuple[str, int]]) -> DataFrame:
+    """Sorted partitions with their number, place and row count within the key, sums so far (``_scan_r_``) and in all
+    (``_scan_s_``), neighbours (``_scan_l_``), and ``_scan_edge`` at the first and last row of the partition's first and last key.
+
+    A task holds the rows of one key in its partition at a time.
+    """
+    own = dealt.columns
+    whole = {o: isinstance(dealt.schema[c].dataType, T.IntegralType) for o, c in sums.items()}
+    added = [("_scan_part", T.IntegerType()), ("_scan_at", T.LongType()), ("_scan_n", T.LongType()), ("_scan_edge", T.BooleanType())]
+    for o in sums:
+        kind = T.LongType() if whole[o] else T.DoubleType()
+        added += [(f"_scan_r_{o}", kind), (f"_scan_s_{o}", kind)]
+    added += [(f"_scan_l_{o}", dealt.schema[c].dataType) for o, (c, _) in steps.items()]
+    schema = T.StructType([*dealt.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    types = {n: to_arrow_type(t) for n, t in added}
+
+    def scanned(rows: pa.Table, part: int, first: bool, last: bool) -> pa.RecordBatch:
+        """Whole keys of a partition, in order."""
+        rows = rows.combine_chunks()
+        n = len(rows)
+        start = np.flatnonzero(_changes(rows, keys))
+        length = np.diff(np.append(start, n))
+        begin, count = np.repeat(start, length), np.repeat(length, length)
+        at = np.arange(n) - begin
+        edge = np.zeros(n, bool)
+        ends = [g for g, wanted in ((0, first), (len(start) - 1, last)) if wanted]
+        for g in ends:
+            edge[[start[g], start[g] + length[g] - 1]] = True
+        out = {"_scan_part": np.full(n, part, np.int32), "_scan_at": at + 1, "_scan_n": count, "_scan_edge": edge}
+        for o, c in sums.items():
+            known = ~np.asarray(rows[c].is_null(nan_is_null=False))
+            plain = np.where(known, rows[c].fill_null(0).to_numpy(), 0).astype(np.int64 if whole[o] else np.longdouble)
+            run, seen = np.cumsum(plain), np.cumsum(known)
+            odd = not whole[o] and not np.isfinite(run[-1:]).all()
+            if odd:  # infinities and NaN must stay in their key
+                run = np.concatenate([np.cumsum(p) for p in np.split(plain, start[1:])])
+            behind = begin + count - 1
+            base = 0 if odd else np.append(plain[:1] * 0, run)[begin]
+            seen_base = np.append(0, seen)[begin]
+            for name, i in ((f"_scan_r_{o}", np.arange(n)), (f"_scan_s_{o}", behind)):
+                value = (run[i] - base).astype(np.int64 if whole[o] else np.float64)
+                out[name] = pa.array(value, mask=seen[i] == seen_base)
+        for o, (c, step) in steps.items():
+            inside = at > 0 if step == 1 else at < count - 1
+            out[f"_scan_l_{o}"] = pc.take(rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c], pa.array(np.arange(n) - step, mask=~inside))
+        arrays = [*[rows[c] for c in own], *[out[name] if isinstance(out[name], pa.Array) else pa.array(out[name], types[name]) for name, _ in added]]
+        return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, first = TaskContext.get().partitionId(), [], True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            edge = pa.Table.from_batches([held[-2].slice(held[-2].num_rows - 1), batch]) if len(held) > 1 else pa.Table.from_batches([batch])
+            change = np.flatnonzero(_changes(edge, keys))
+            cut = int(change[-1]) - (len(held) > 1)  # last row of this batch that begins a key
+            if len(change) > 1 and cut >= 0:
+                done = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                if len(done):
+                    yield scanned(done, part, first, False)
+                    first = False
+                held = [batch.slice(cut)]
+        if held:
+            yield scanned(pa.Table.from_batches(held), part, first, True)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """True at the first row and wherever a key column differs from the row before; nulls are equal."""
+    out = np.zeros(len(rows), bool)
+    out[:1] = True
+    for k in keys:
+        column = rows[k].combine_chunks() if isinstance(rows[k], pa.ChunkedArray) else rows[k]
+        now, was = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        differ = pc.fill_null(pc.not_equal(now, was), False)
+        out[1:] |= np.asarray(pc.or_(differ, pc.xor(now.is_null(), was.is_null())))
+    return out
 
 
 def cut_table(points: DataFrame, by: list[str], payload: list[str] | None = None) -> DataFrame:
@@ -109,81 +199,6 @@ def locate(df: DataFrame, cuts: DataFrame, by: list[str], at: str) -> DataFrame:
     }).drop("_heads", "_g", "_cuts", "_i")
 
 
-def _split(
-    df: DataFrame, keys: list[str], order: list[str], wanted: dict, frequent: DataFrame, group_rows: int,
-) -> DataFrame:
-    at = F.struct(*order)
-    stride = max(1, group_rows // 4)
-    # Every stride-th order tuple by hash becomes a cut.
-    points = (
-        df.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0).select(_key_hash(keys).alias("_h"), at.alias("at"))
-        .join(frequent, "_h", "left_semi").distinct()
-    )
-    cuts = materialize(cut_table(points, ["_h"]))
-    src = locate(df.withColumns({"_h": _key_hash(keys), "_at": at}), cuts, ["_h"], "_at").drop("_at", "_cut").withColumnRenamed("_l", "_b")
-
-    sums = {**wanted["running"], **wanted["totals"]}
-    edge_cols = sorted({*wanted["lag"].values(), *wanted["lead"].values()})
-    per_range = (
-        src.join(frequent, "_h", "left_semi")
-        .groupBy("_h", *keys, "_b")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.sum(c).alias(f"_s_{out}") for out, c in sums.items()],
-            *[F.min_by(c, at).alias(f"_f_{i}") for i, c in enumerate(edge_cols)],
-            *[F.max_by(c, at).alias(f"_l_{i}") for i, c in enumerate(edge_cols)],
-        )
-    )
-    # One row per range: a key's window holds its rows divided by the stride.
-    key_w = Window.partitionBy("_h", *keys)
-    by_range = key_w.orderBy("_b")
-    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    carry = materialize(per_range.select(
-        F.col("_h").alias("_ch"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_cb"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(key_w).alias("_all"),
-        *[F.sum(f"_s_{o}").over(before).alias(f"_c_{o}") for o in wanted["running"]],
-        *[F.sum(f"_s_{o}").over(key_w).alias(f"_t_{o}") for o in wanted["totals"]],
-        *[F.lag(f"_l_{i}").over(by_range).alias(f"_p_{i}") for i in range(len(edge_cols))],
-        *[F.lead(f"_f_{i}").over(by_range).alias(f"_q_{i}") for i in range(len(edge_cols))],
-    ))
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-        (F.col("_h") == F.col("_ch")) & (F.col("_b") == F.col("_cb")),
-    )
-    joined = src.join(carry, match, "left")
-
-    local = Window.partitionBy("_h", *keys, "_b")
-    by = local.orderBy(*order)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = joined.withColumns({
-        "_rn": F.row_number().over(by).cast("bigint"),
-        "_sz": F.count(F.lit(1)).over(local),
-        **{f"_r_{o}": F.sum(c).over(upto) for o, c in wanted["running"].items()},
-        **{f"_w_{o}": F.sum(c).over(local) for o, c in wanted["totals"].items()},
-        **{f"_a_{o}": F.lag(c).over(by) for o, c in wanted["lag"].items()},
-        **{f"_e_{o}": F.lead(c).over(by) for o, c in wanted["lead"].items()},
-    })
-    split_row = F.col("_cb").isNotNull()
-    cols: dict[str, Column] = {}
-    if wanted["position"]:
-        cols[wanted["position"]] = F.col("_rn") + F.coalesce("_before", F.lit(0))
-    if wanted["size"]:
-        cols[wanted["size"]] = F.coalesce("_all", "_sz")
-    for o in wanted["running"]:
-        # a sum over nulls only is null, as in the plain window
-        cols[o] = F.when(F.col(f"_c_{o}").isNull(), F.col(f"_r_{o}")).otherwise(
-            F.col(f"_c_{o}") + F.coalesce(F.col(f"_r_{o}"), F.lit(0)))
-    for o in wanted["totals"]:
-        cols[o] = F.when(split_row, F.col(f"_t_{o}")).otherwise(F.col(f"_w_{o}"))
-    for o, c in wanted["lag"].items():
-        cols[o] = F.when(F.col("_rn") == 1, F.col(f"_p_{edge_cols.index(c)}")).otherwise(F.col(f"_a_{o}"))
-    for o, c in wanted["lead"].items():
-        cols[o] = F.when(F.col("_rn") == F.col("_sz"), F.col(f"_q_{edge_cols.index(c)}")).otherwise(F.col(f"_e_{o}"))
-    return joined.select(*df.columns, *[c.alias(name) for name, c in cols.items()])
-
-
 def value_histogram(df: DataFrame, columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
     """Long table (variable, value, n, sums...) of the distinct values of numeric columns."""
     extra = sums or {}
@@ -202,7 +217,7 @@ def value_histogram(df: DataFrame, columns: list[str], sums: dict[str, Column] |
 def mid_ranks(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
     """Average rank of every distinct value per variable: (variable, value, n, mid_rank)."""
     hist = value_histogram(df, columns)
-    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, few_keys=True, **scan)
+    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, **scan)
     return cum.select("variable", "value", "n", (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2).alias("mid_rank"))
 
 
@@ -228,6 +243,5 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], **sca
     Works on the value histogram, so no task ever holds all distinct values of a column.
     """
     hist = value_histogram(df, columns)
-    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"},
-                       few_keys=True, **scan)
+    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, **scan)
     return cum.groupBy("variable").agg(linear_quantiles(probs).alias("q"))

@@ -50,7 +50,7 @@ def numeric_profile(df: DataFrame, columns: list[str], **scan: object) -> DataFr
     hist = value_histogram(df, columns)
     x, w = F.col("value"), F.col("n").cast("double")
     cum = ordered_scan(hist.withColumn("_wx", w * x), ["variable"], ["value"], running={"_cum": "n"},
-                       totals={"_n": "n", "_sum": "_wx"}, few_keys=True, **scan)
+                       totals={"_n": "n", "_sum": "_wx"}, **scan)
     d = x - F.col("_sum") / F.col("_n")
     stats = cum.groupBy("variable").agg(
         F.max("_n").alias("n"), (F.max("_sum") / F.max("_n")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
@@ -175,7 +175,7 @@ def quantile_bin_rates(
     distinct values, so the rows are aggregated once and never joined to the edges.
     """
     hist = value_histogram(df, columns, {"_events": F.col(outcome).cast("double")})
-    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, few_keys=True, **scan)
+    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, **scan)
     probs = [i / bins for i in range(bins + 1)]
     # one row per column
     edges = cum.groupBy("variable").agg(F.array_distinct(linear_quantiles(probs)).alias("_e"))
@@ -240,7 +240,7 @@ def rank_agreement(df: DataFrame, item: str, group: str, measure: str, groups: l
     """Rank correlation between the item rankings of every two groups (average ranks for ties)."""
     ranked = df.select(item, group, F.col(measure).cast("double").alias("_m"))
     hist = ranked.groupBy(group, "_m").agg(F.count(F.lit(1)).alias("_n"))
-    cum = ordered_scan(hist, [group], ["_m"], running={"_cum": "_n"}, few_keys=True, **scan)
+    cum = ordered_scan(hist, [group], ["_m"], running={"_cum": "_n"}, **scan)
     ranks = cum.select(group, "_m", (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2).alias("_r"))
     wide = ranked.join(ranks, [group, "_m"]).groupBy(item).pivot(group, groups).agg(F.first("_r"))
     pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1:]]

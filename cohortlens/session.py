@@ -75,14 +75,23 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cohortlens_path = path
+    return written
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads files, with columns and filters on top: computing it again costs no more than a copy would."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the copy behind a DataFrame that ``materialize`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if folder.rsplit("/", 1)[-1].startswith("cohortlens-"):
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete the copy that ``materialize`` returned, once nothing reads it any more."""
+    path = getattr(df, "_cohortlens_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -28,7 +28,7 @@ def test_average_precision_and_auc(spark):
     assert r["lift"] == pytest.approx(r["pr_auc"] / 0.5)
 
 
-@pytest.mark.parametrize("kw", [{}, {"split": True, "group_rows": 30}])
+@pytest.mark.parametrize("kw", [{}, {"ranges": 8}])
 def test_rank_metrics_against_brute_force(spark, kw):
     rng = np.random.default_rng(1)
     y, s, t = rng.integers(0, 2, 300), rng.random(300), rng.integers(0, 4, 300).astype(float)
@@ -100,7 +100,7 @@ def test_thresholds_and_zero_division(spark):
     assert r[0.0]["npv"] is None and r[0.0]["sensitivity_recall"] == 1
 
 
-@pytest.mark.parametrize("kw", [{}, {"split": True, "group_rows": 20}])
+@pytest.mark.parametrize("kw", [{}, {"ranges": 11}])
 def test_top_fraction_uses_higher_quantile(spark, kw):
     rng = np.random.default_rng(5)
     p = np.round(rng.random(137), 2)

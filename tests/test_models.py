@@ -32,7 +32,7 @@ def test_group_folds(spark):
     for n in (1, 7):
         again = folds.group_folds(df.repartition(n, "i"), "e", ["y"])
         assert {tuple(r) for r in again.select("e", "i", "fold").collect()} == want
-    cut = folds.group_folds(df, "e", ["y"], split=True, group_rows=8)
+    cut = folds.group_folds(df, "e", ["y"], ranges=6)
     assert {tuple(r) for r in cut.select("e", "i", "fold").collect()} == want
 
 

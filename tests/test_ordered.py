@@ -1,15 +1,17 @@
-"""The split path must equal the plain window whatever the key frequencies."""
+"""The prefix scan must equal the plain window whatever the key frequencies and ranges."""
 
 import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from cohortlens.operators import ordered
+from cohortlens.session import materialize
 from cohortlens.operators.ordered import cut_table, exact_quantiles, locate, mid_ranks, ordered_scan
 
-SCAN = dict(position="pos", size="sz", running={"run": "v"}, totals={"tot": "v"},
-            lag={"prev": "v", "prev_id": "id"}, lead={"nxt": "v"})
+SCAN = dict(position="pos", size="sz", running={"run": "v", "run_x": "x"}, totals={"tot": "v", "tot_x": "x"},
+            lag={"prev": "v", "prev_id": "id", "prev_name": "name"}, lead={"nxt": "v", "next_day": "day"})
 
 
 @pytest.fixture(scope="module")
@@ -18,33 +20,57 @@ def skewed(spark):
     rows = []
     for i in range(3000):
         key = "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"k{rng.randrange(200)}")
-        rows.append((key, rng.randrange(40), i, None if rng.random() < 0.1 else rng.randrange(100)))
-    return spark.createDataFrame(rows, "key string, t int, id long, v long").repartition(5)
+        rows.append((key, rng.randrange(40) if i % 11 else None, i, None if rng.random() < 0.1 else rng.randrange(100), rng.choice([0.5, 1.25, None]), f"n{i}"))
+    df = spark.createDataFrame(rows, "key string, t int, id long, v long, x double, name string").repartition(5)
+    return df.withColumns({"day": F.timestamp_seconds("id"), "both": F.struct("id", "name")})
 
 
 def same(a, b):
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-@pytest.mark.parametrize("few", [False, True])
-@pytest.mark.parametrize("group_rows", [50, 400])
-def test_split_equals_plain(skewed, few, group_rows):
-    plain = ordered_scan(skewed, ["key"], ["t", "id"], split=False, **SCAN)
-    cut = ordered_scan(skewed, ["key"], ["t", "id"], split=True, few_keys=few, group_rows=group_rows, **SCAN)
-    assert same(plain, cut)
+def windowed(df, keys):
+    whole = Window.partitionBy(*keys)
+    by = whole.orderBy("t", "id")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", F.row_number().over(by).cast("bigint").alias("pos"), F.count(F.lit(1)).over(whole).alias("sz"),
+                     *[F.sum(c).over(upto).alias(o) for o, c in SCAN["running"].items()], *[F.sum(c).over(whole).alias(o) for o, c in SCAN["totals"].items()],
+                     *[F.lag(c).over(by).alias(o) for o, c in SCAN["lag"].items()], *[F.lead(c).over(by).alias(o) for o, c in SCAN["lead"].items()])
 
 
-def test_split_without_keys(skewed):
-    plain = ordered_scan(skewed, [], ["t", "id"], split=False, **SCAN)
-    assert same(plain, ordered_scan(skewed, [], ["t", "id"], split=True, group_rows=100, **SCAN))
+@pytest.mark.parametrize("ranges", [None, 1, 2, 13, 400])
+@pytest.mark.parametrize("keys", [["key"], [], ["key", "v"]])
+def test_scan_equals_the_window(skewed, keys, ranges):
+    assert same(windowed(skewed, keys), ordered_scan(skewed, keys, ["t", "id"], ranges=ranges, **SCAN))
 
 
-def test_hot_key_is_really_cut(skewed):
-    """The largest window group of the split plan is far below the hot key's third of all rows."""
-    cut = ordered_scan(skewed, ["key"], ["t", "id"], position="pos", split=True, group_rows=100)
-    assert "_b" in cut._jdf.queryExecution().analyzed().toString()
-    pos = cut.where("key = 'hot'").agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
-    assert tuple(pos) == (1, 1000, 1000)
+def test_scan_in_small_batches(spark, skewed):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert same(windowed(skewed, ["key"]), ordered_scan(skewed, ["key"], ["t", "id"], ranges=3, **SCAN))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_key_spans_partitions_and_each_has_few_edges(skewed, monkeypatch):
+    seen = []
+    plain = ordered._scan_partitions
+    monkeypatch.setattr(ordered, "_scan_partitions", lambda *a: seen.append(materialize(plain(*a))) or seen[-1])
+    got = ordered_scan(skewed, ["key"], ["t", "id"], position="pos", ranges=16).where("key = 'hot'").agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
+    assert tuple(got) == (1, 1000, 1000)
+    local = seen[0]
+    assert local.where("key = 'hot'").select("_scan_part").distinct().count() >= 5
+    assert local.groupBy("_scan_part").agg(F.count_if("_scan_edge").alias("e")).agg(F.max("e")).first()[0] <= 4
+    assert local.groupBy("_scan_part").count().agg(F.max("count")).first()[0] < 600
+
+
+def test_odd_numbers_stay_in_their_key(spark):
+    rows = [("a", 1, 1.0), ("a", 2, float("nan")), ("a", 3, 2.0), ("b", 1, 5.0), ("b", 2, 6.0), ("c", 1, float("inf")), ("d", 1, None), ("d", 2, 3.0)]
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+    got = [(r.k, r.t, str(r.run), str(r.tot)) for r in ordered_scan(df, ["k"], ["t"], running={"run": "x"}, totals={"tot": "x"}, ranges=1).orderBy("k", "t").collect()]
+    assert got == [("a", 1, "1.0", "nan"), ("a", 2, "nan", "nan"), ("a", 3, "nan", "nan"), ("b", 1, "5.0", "11.0"), ("b", 2, "11.0", "11.0"),
+                   ("c", 1, "inf", "inf"), ("d", 1, "None", "3.0"), ("d", 2, "3.0", "3.0")]
+    assert ordered_scan(df.limit(0), ["k"], ["t"], position="p", lag={"q": "x"}).count() == 0
 
 
 def test_quantiles_and_ranks(spark):
@@ -52,7 +78,7 @@ def test_quantiles_and_ranks(spark):
     a, b = rng.integers(0, 6, 500).astype(float), rng.lognormal(size=500)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
-    for kw in ({}, {"split": True, "group_rows": 40}):
+    for kw in ({}, {"ranges": 9}):
         got = {r["variable"]: r["q"] for r in exact_quantiles(df, ["a", "b"], probs, **kw).collect()}
         assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
         ranks = {r["value"]: r["mid_rank"] for r in mid_ranks(df, ["a"], **kw).collect()}

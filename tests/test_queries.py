@@ -23,7 +23,7 @@ def test_matches_sql(spark, duck, name):
     "discrimination", "encounter_sequence", "event_transitions", "exact_quantiles", "fold_leaks", "fsm_transitions",
     "mann_whitney_family", "numeric_profile", "rate_by_quantile_bin", "spearman_matrix"])
 def test_matches_sql_with_several_ranges_per_key(spark, duck, monkeypatch, name):
-    monkeypatch.setattr("cohortlens.operators.ordered.GROUP_ROWS", 6)
+    monkeypatch.setattr("cohortlens.operators.ordered.RANGES", 7)
     got = entry.queries()[name](spark, SF).toPandas()
     assert differences(got, duck.execute(entry.oracle_sql()[name]).fetchdf()) is None
 

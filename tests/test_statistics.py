@@ -62,7 +62,7 @@ def test_empty_cell_counts_as_zero(spark):
     assert A.chi_square(df, ["f"], "y").first()["statistic"] == pytest.approx(chi(t, True))
 
 
-@pytest.mark.parametrize("kw", [{}, {"split": True, "group_rows": 20}])
+@pytest.mark.parametrize("kw", [{}, {"ranges": 9}])
 def test_mann_whitney(spark, kw):
     df, y, x, z, c = table(spark)
     got = {r["test"]: r for r in A.mann_whitney(df, ["x", "c"], "y", **kw).collect()}
@@ -151,7 +151,7 @@ def test_vif_and_spearman(spark):
     def ranks(v):
         return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     want = np.corrcoef(ranks(x), ranks(c))[0, 1]
-    for kw in ({}, {"group_rows": 50}):
+    for kw in ({}, {"ranges": 7}):
         assert correlation.spearman(df, ["x", "c"], **kw).first()["rho"] == pytest.approx(want)
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
