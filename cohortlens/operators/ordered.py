@@ -27,8 +27,6 @@ from cohortlens.session import discard, is_scan, materialize
 
 #: Number of ranges; None leaves it to Spark, which merges small ones by their size.
 RANGES: int | None = None
-#: Cut points in one row of the lookup table.
-CUTS_PER_ROW = 1_024
 
 
 def ordered_scan(
@@ -174,31 +172,6 @@ def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
-def cut_table(points: DataFrame, by: list[str], payload: list[str] | None = None) -> DataFrame:
-    """Distinct cut points ``at`` per ``by``, in rows of ``CUTS_PER_ROW``: (by..., _g, _cuts).
-
-    A cut is a struct of ``at`` and the payload columns.
-    """
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1
-    rows = points.withColumn("_g", F.floor(place / CUTS_PER_ROW).cast("int"))
-    return rows.groupBy(*by, "_g").agg(F.array_sort(F.collect_list(F.struct("at", *(payload or [])))).alias("_cuts"))
-
-
-def locate(df: DataFrame, cuts: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Add ``_l``, the number of cuts at or below ``at`` (0 without cuts or value), and ``_cut``, the last of them.
-
-    The first cuts of the table's rows name the row to look in, so no array grows with the number
-    of cuts times the rows. Both joins are broadcast or shuffled by the size of the table.
-    """
-    heads = cuts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_g", F.col("_cuts")[0]["at"].alias("head")))).alias("_heads"))
-    near = df.join(heads, by, "left").withColumn("_g", F.expr(f"size(filter(_heads, x -> x.head <= {at})) - 1"))
-    found = near.join(cuts, [*by, "_g"], "left").withColumn("_i", F.expr(f"size(filter(_cuts, x -> x.at <= {at}))"))
-    return found.withColumns({
-        "_l": F.when(F.col("_cuts").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_g").cast("bigint") * CUTS_PER_ROW + F.col("_i")),
-        "_cut": F.when(F.col("_i") > 0, F.element_at("_cuts", F.col("_i"))),
-    }).drop("_heads", "_g", "_cuts", "_i")
-
-
 def value_histogram(df: DataFrame, columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
     """Long table (variable, value, n, sums...) of the distinct values of numeric columns."""
     extra = sums or {}

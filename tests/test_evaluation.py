@@ -125,19 +125,27 @@ def test_identical_scores_never_differ(spark):
     assert (r["mean_diff"], r["ci_low"], r["ci_high"], r["excludes_zero"]) == (0, 0, 0, False)
 
 
-@pytest.mark.parametrize("cell_rows", [5, 30, 4096])
-def test_bootstrap_against_brute_force(spark, cell_rows):
+@pytest.mark.parametrize("cells", [1, 3, 40, None])
+def test_bootstrap_against_brute_force(spark, cells, monkeypatch):
     """Every cut into cells gives the weighted average precision of the same weights."""
-    df = scored(spark)
-    got = {(r["model"], r["draw"]): r["pr_auc"] for r in
-           resample.bootstrap_ap(df.repartition(5), "k", "y", ["a", "tied"], draws=12, cell_rows=cell_rows).collect()}
+    monkeypatch.setattr(resample, "CHUNK", 5)
+    monkeypatch.setattr(resample, "STEP", 7)
+    df = scored(spark).withColumns({"one": F.lit(0.5), "gaps": F.when(F.col("k") % 4 != 0, F.round("a", 1))})
+    names = ["a", "tied", "one", "gaps"]
+    got = {(r["model"], r["draw"]): r["pr_auc"] for r in resample.bootstrap_ap(df.repartition(5), "k", "y", names, draws=12, cells=cells).collect()}
     pdf = df.withColumn("h", F.xxhash64("k", F.lit(42))).toPandas()
     w = resample.poisson_weights(pdf["h"].to_numpy(), np.arange(12))
     assert 0.7 < w.mean() < 1.3
-    for m in ("a", "tied"):
+    for m in names:
         for d in range(12):
-            assert got[m, d] == pytest.approx(brute_ap(pdf["y"].to_numpy(), pdf[m].to_numpy(), w[:, d]))
-    assert len(got) == 24
+            assert got[m, d] == pytest.approx(brute_ap(pdf["y"].to_numpy(), pdf[m].fillna(-1).to_numpy(), w[:, d]))
+    assert len(got) == 12 * len(names)
+
+
+def test_bootstrap_without_events_or_rows(spark):
+    df = scored(spark).withColumn("y", F.lit(0))
+    assert {r["pr_auc"] for r in resample.bootstrap_ap(df, "k", "y", ["a"], draws=3).collect()} == {None}
+    assert resample.bootstrap_ap(df.limit(0), "k", "y", ["a"], draws=3).count() == 0
 
 
 def test_adjusted_rand(spark):
