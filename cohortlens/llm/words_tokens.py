@@ -19,8 +19,8 @@ import numpy as np
 
 from cohortlens.llm.common import LOWER
 
-#: Distinct pieces a worker remembers before it starts anew (about 150 MB).
-MEMORY_WORDS = 800_000
+#: Distinct pieces a worker remembers before it starts anew (about 230 MB).
+MEMORY_WORDS = 1_200_000
 _BEFORE_OTHER = re.compile(rb"[A-Z](?=[\x80-\xff])")
 _LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
 _STOPS = (b".", b",", b";", b":")
@@ -71,22 +71,26 @@ class WordTokens:
         return _WORKER[path]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode pieces that were just numbered, in the order of their numbers."""
+        """Encode pieces that were just numbered, in the order of their numbers.
+
+        A letter before a final comma or stop ends the library's piece there, so such a piece is the ids
+        of the word and of the stop; the word is numbered too where it is new, and encoded once for all.
+        """
         known = self.known
+        number = self.index.__getitem__
+        parts = [(number(w[:-1]), number(w[-1:])) if w[-1] in _STOP_BYTES and w[-2:-1].isalpha() else None for w in words]
+        extra = len(self.index) - known - len(words)
+        if extra:
+            words = [*words, *[*islice(reversed(self.index), extra)][::-1]]
+            # a word without its stop may end in a letter and a stop no more
+            parts += [None] * extra
         ids: list[list[int] | None] = [None] * len(words)
-        todo = []
-        for i, w in enumerate(words):
-            # a letter before a final comma or stop ends the library's piece there
-            if w[-1] in _STOP_BYTES and w[-2:-1].isalpha():
-                j = self.index.get(w[:-1])
-                p = self.index.get(w[-1:])
-                if j is not None and p is not None and j < known and p < known:
-                    ids[i] = [*self.flat[self.starts[j]: self.starts[j] + self.sizes[j]].tolist(),
-                              *self.flat[self.starts[p]: self.starts[p] + self.sizes[p]].tolist()]
-                    continue
-            todo.append(i)
+        todo = [i for i, p in enumerate(parts) if p is None]
         for i, got in zip(todo, self._pieces([words[i].decode() for i in todo])):
             ids[i] = got
+        for i, p in enumerate(parts):
+            if p is not None:
+                ids[i] = [x for j in p for x in (ids[j - known] if j >= known else self.flat[self.starts[j]: self.starts[j] + self.sizes[j]].tolist())]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         n, total = len(ids), int(sizes.sum())
         while known + n > len(self.sizes):
