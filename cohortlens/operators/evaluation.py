@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.rates import ratio, ratio_or_zero, wilson
 from cohortlens.operators import quality
-from cohortlens.operators.ordered import exact_quantiles, ordered_scan
+from cohortlens.operators.ordered import ordered_scan
+from cohortlens.operators.quantiles import LIMIT, exact_quantiles
 
 #: Prespecified operating points.
 THRESHOLDS = [0.05, 0.10, 0.15, 0.20, 0.25]
@@ -122,7 +123,7 @@ def top_fraction_table(
 
 
 def reliability_bins(
-    df: DataFrame, label: str, models: list[str], bins: int = 10, eps: float = 1e-6, **scan: object,
+    df: DataFrame, label: str, models: list[str], bins: int = 10, eps: float = 1e-6, limit: int = LIMIT,
 ) -> DataFrame:
     """Mean prediction and observed rate per quantile bin; a score equal to an inner edge belongs
     to the lower bin and empty bins are dropped (``bin`` counts the remaining ones)."""
@@ -130,7 +131,7 @@ def reliability_bins(
                                  for m in models])
     inner = [i / bins for i in range(1, bins)]
     # one row per model
-    edges = exact_quantiles(clipped, models, inner, **scan).select(F.col("variable").alias("model"), F.col("q").alias("_e"))
+    edges = exact_quantiles(clipped, models, inner, limit).select(F.col("variable").alias("model"), F.col("q").alias("_e"))
     long = long_scores(clipped, label, models).join(F.broadcast(edges), "model")
     agg = (
         long.groupBy("model", F.expr("size(filter(_e, e -> e < score))").alias("_b"))

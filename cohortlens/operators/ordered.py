@@ -192,29 +192,3 @@ def mid_ranks(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
     hist = value_histogram(df, columns)
     cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, **scan)
     return cum.select("variable", "value", "n", (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2).alias("mid_rank"))
-
-
-def linear_quantiles(probs: list[float]) -> Column:
-    """Array of linearly interpolated quantiles, as an aggregate over cumulative histogram rows
-    (``value``, count ``n``, running count ``_cum``, total ``_n``) of one variable."""
-    below = F.col("_cum") - F.col("n")
-
-    def at(ordinal: Column) -> Column:  # value at a 0-based ordinal
-        return F.max(F.when((below <= ordinal) & (ordinal < F.col("_cum")), F.col("value")))
-
-    out = []
-    for p in probs:
-        pos = (F.col("_n") - 1) * F.lit(p)
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        out.append(low + (high - low) * F.max(pos - F.floor(pos)))
-    return F.array(*out)
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], **scan: object) -> DataFrame:
-    """Exact linearly interpolated quantiles per column: (variable, q array in probs order).
-
-    Works on the value histogram, so no task ever holds all distinct values of a column.
-    """
-    hist = value_histogram(df, columns)
-    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, **scan)
-    return cum.groupBy("variable").agg(linear_quantiles(probs).alias("q"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.cleaning import missing
 from cohortlens.functions.rates import pooled_d, ratio, wald, wilson
-from cohortlens.operators.ordered import linear_quantiles, ordered_scan, value_histogram
+from cohortlens.operators.ordered import ordered_scan
+from cohortlens.operators.quantiles import LIMIT, exact_quantiles
+from cohortlens.session import is_scan, materialize
 
 
 def tall_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -41,35 +43,33 @@ def missing_percent(df: DataFrame, sentinel: str = "?") -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame:
     """n, moments, quartiles, zero share and 1.5-IQR outliers per column.
 
-    All of it comes from the value histogram, so the rows are read once. Skewness and excess
-    kurtosis are the population forms; null for a constant column.
+    One aggregate for all moments, the passes of the exact quartiles, and one count of outliers; no
+    value is shuffled. Skewness and excess kurtosis are the population forms, null for a constant
+    column. A column without values has no row.
     """
-    hist = value_histogram(df, columns)
-    x, w = F.col("value"), F.col("n").cast("double")
-    cum = ordered_scan(hist.withColumn("_wx", w * x), ["variable"], ["value"], running={"_cum": "n"},
-                       totals={"_n": "n", "_sum": "_wx"}, **scan)
-    d = x - F.col("_sum") / F.col("_n")
-    stats = cum.groupBy("variable").agg(
-        F.max("_n").alias("n"), (F.max("_sum") / F.max("_n")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *[F.sum(w * F.pow(d, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)],
-        F.coalesce(F.sum(F.when(x == 0, F.col("n"))), F.lit(0)).alias("_zero"),
-        linear_quantiles([0.25, 0.5, 0.75]).alias("_q"))
-    spread = F.col("_m2") / F.col("n")
-    stats = stats.select(
-        "variable", "n", "mean", F.sqrt(ratio(F.col("_m2"), F.col("n") - 1)).alias("sd"), "min", "max",
-        F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"),
-        ratio(F.col("_m3") / F.col("n"), F.pow(spread, F.lit(1.5))).alias("skewness"),
-        (ratio(F.col("_m4") / F.col("n"), spread * spread) - 3).alias("kurtosis"),
-        (100.0 * F.col("_zero") / F.col("n")).alias("pct_zero"))
-    iqr = F.col("q75") - F.col("q25")
-    # one row per column
-    far = hist.withColumnRenamed("n", "_c").join(F.broadcast(stats), "variable")
-    return far.groupBy(*stats.columns).agg(
-        F.sum(F.when((x < F.col("q25") - 1.5 * iqr) | (x > F.col("q75") + 1.5 * iqr), F.col("_c")).otherwise(0))
-        .alias("outliers_1_5_iqr"))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    base = rows if is_scan(rows) else materialize(rows)
+    q = {r["variable"]: r["q"] for r in exact_quantiles(base, columns, [0.25, 0.5, 0.75], limit).collect()}  # one row a column
+    held = [c for c in columns if c in q]
+
+    def facts(c: str) -> Column:
+        x, n = F.col(f"`{c}`"), F.count(f"`{c}`")
+        low, mid, high = q[c]
+        far = 1.5 * (high - low)
+        constant = F.min(x) == F.max(x)
+        return F.struct(
+            F.lit(c).alias("variable"), n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
+            F.lit(low).alias("q25"), F.lit(mid).alias("median"), F.lit(high).alias("q75"),
+            F.when(~constant, F.skewness(x)).alias("skewness"), F.when(~constant, F.kurtosis(x)).alias("kurtosis"),
+            (100.0 * F.count_if(x == 0) / n).alias("pct_zero"), F.count_if((x < low - far) | (x > high + far)).alias("outliers_1_5_iqr"))
+
+    if not held:
+        kinds = ["q25 double", "median double", "q75 double", "skewness double", "kurtosis double", "pct_zero double", "outliers_1_5_iqr bigint"]
+        return df.sparkSession.createDataFrame([], ", ".join(["variable string", "n bigint", "mean double", "sd double", "min double", "max double", *kinds]))
+    return base.agg(F.array(*[facts(c) for c in held]).alias("r")).select(F.inline("r"))
 
 
 def dispersion(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,41 +157,42 @@ def histogram(df: DataFrame, column: str, low: float, width: float, bins: int, b
 
 def auto_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width histogram over the observed range."""
-    x, low = F.col(column), df.agg(F.min(column)).scalar()
-    step = df.agg((F.max(column) - F.min(column)) / bins).scalar()
-    cell = F.coalesce(F.floor(F.try_divide(x - low, step)), F.lit(0))
+    x = F.col(column)
+    span = df.agg(F.min(column).alias("_low"), ((F.max(column) - F.min(column)) / bins).alias("_step"))  # one row
+    cell = F.coalesce(F.floor(F.try_divide(x - F.col("_low"), F.col("_step"))), F.lit(0))
     return (
-        df.where(x.isNotNull()).groupBy(F.least(cell, F.lit(bins - 1)).cast("int").alias("bin"))
+        df.where(x.isNotNull()).join(F.broadcast(span)).groupBy(F.least(cell, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def quantile_bin_rates(
-    df: DataFrame, columns: list[str], outcome: str, bins: int = 10, **scan: object,
+    df: DataFrame, columns: list[str], outcome: str, bins: int = 10, limit: int = LIMIT,
 ) -> DataFrame:
     """Outcome rate per quantile bin of each column.
 
-    Right-closed bins, lowest edge included, repeated edges dropped. Bins are assigned to the
-    distinct values, so the rows are aggregated once and never joined to the edges.
+    Right-closed bins, lowest edge included, repeated edges dropped. The edges are a few numbers a
+    column; one pass over the rows counts all bins.
     """
-    hist = value_histogram(df, columns, {"_events": F.col(outcome).cast("double")})
-    cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_n": "n"}, **scan)
-    probs = [i / bins for i in range(bins + 1)]
-    # one row per column
-    edges = cum.groupBy("variable").agg(F.array_distinct(linear_quantiles(probs)).alias("_e"))
-    labelled = hist.join(F.broadcast(edges), "variable").withColumn(
-        "bin", F.expr("greatest(size(filter(_e, e -> e < value)) - 1, 0)"))
-    agg = labelled.groupBy("variable", "bin").agg(
-        F.sum("n").alias("n"), ratio(F.sum("_events"), F.sum("n")).alias("rate"))
+    rows = df.select(F.col(outcome).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in columns])
+    base = rows if is_scan(rows) else materialize(rows)
+    q = {r["variable"]: list(dict.fromkeys(r["q"])) for r in exact_quantiles(base, columns, [i / bins for i in range(bins + 1)], limit).collect()}
+    cells = [F.struct(F.lit(c).alias("variable"),
+                      F.greatest(sum(((F.col(c) > e).cast("int") for e in edges), F.lit(-1)), F.lit(0)).alias("bin"),
+                      F.col(c).isNotNull().alias("known")) for c, edges in q.items()]
+    empty = "array<struct<variable:string,bin:int,known:boolean>>"
+    long = base.select("_y", F.inline(F.array(*cells) if cells else F.array().cast(empty))).where("known")
+    agg = long.groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_events"))
+    agg = agg.select("variable", "bin", "n", ratio(F.col("_events"), F.col("n")).alias("rate"))
     low, high = wald(F.col("rate"), F.col("n"))
     return agg.select("variable", "bin", "n", "rate", low.alias("ci_low"), high.alias("ci_high"))
 
 
 def encoding_spread(
-    df: DataFrame, binned: list[str], any_none: list[str], outcome: str, bins: int = 10, **scan: object,
+    df: DataFrame, binned: list[str], any_none: list[str], outcome: str, bins: int = 10, limit: int = LIMIT,
 ) -> DataFrame:
     """First, last and range of the outcome rate (percentage points) under each column's encoding."""
-    q = quantile_bin_rates(df, binned, outcome, bins, **scan).select(
+    q = quantile_bin_rates(df, binned, outcome, bins, limit).select(
         "variable", "bin", F.col("rate"), F.lit("bins").alias("encoding"))
     flags = df.select(outcome, *[(F.col(c) > 0).cast("int").alias(c) for c in any_none]).unpivot(
         [outcome], any_none, "variable", "bin")

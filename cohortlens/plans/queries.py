@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions import cleaning as C
 from cohortlens.operators import (
-    association, cohort, correlation, distributions, encode, evaluation, ordered, phenotypes, profile, quality,
-    sequences,
+    association, cohort, correlation, distributions, encode, evaluation, phenotypes, profile, quality, quantiles, sequences,
 )
 from cohortlens.plans import encounters as E, fixtures as X, oracle as O, survey as S
 from cohortlens.operators.importance import encoded_importance, source_importance
@@ -392,7 +391,7 @@ def exact_quantiles(spark, sf):
     flags = ["A", "N", "R"]
     wide = X.table(spark, sf, "lineitem").select(
         *[F.when(F.col("l_returnflag") == f, F.col("l_extendedprice")).alias(f) for f in flags])
-    q = ordered.exact_quantiles(wide, flags, [0.05, 0.5, 0.95])
+    q = quantiles.exact_quantiles(wide, flags, [0.05, 0.5, 0.95])
     return rounded(q.select(F.col("variable").alias("l_returnflag"), F.col("q")[0].alias("q05"),
                             F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95")), 4)
 

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from cohortlens.operators import ordered
-from cohortlens.operators.ordered import exact_quantiles, mid_ranks, ordered_scan
+from cohortlens.operators import ordered, quantiles
+from cohortlens.operators.ordered import mid_ranks, ordered_scan
 from cohortlens.session import materialize
 
 SCAN = dict(position="pos", size="sz", running={"run": "v", "run_x": "x"}, totals={"tot": "v", "tot_x": "x"},
@@ -73,13 +73,30 @@ def test_odd_numbers_stay_in_their_key(spark):
     assert ordered_scan(df.limit(0), ["k"], ["t"], position="p", lag={"q": "x"}).count() == 0
 
 
-def test_quantiles_and_ranks(spark):
+@pytest.mark.parametrize("limit, accuracy, grid", [(2000, 10000, 200), (5, 50, 10)])
+def test_quantiles(spark, monkeypatch, limit, accuracy, grid):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "GRID", grid)
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 6, 500).astype(float), rng.lognormal(size=500)
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    a, b, c = rng.integers(0, 6, 500).astype(float), rng.lognormal(size=500), np.where(np.arange(500) % 50, 3.0, rng.normal(size=500))
+    df = spark.createDataFrame([(float(x), float(y), float(z), None, None if i else 7.0) for i, (x, y, z) in enumerate(zip(a, b, c))],
+                               "a double, b double, c double, none double, one double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+    got = {r["variable"]: r["q"] for r in quantiles.exact_quantiles(df.where("true").distinct() if limit == 5 else df, df.columns, probs, limit).collect()}
+    assert set(got) == {"a", "b", "c", "one"} and got["one"] == [7.0] * 6
+    for name, values in {"a": a, "b": b, "c": c}.items():
+        assert np.allclose(got[name], np.quantile(values, probs))
+
+
+def test_quantiles_rank_missing_numbers_last(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("-inf"),), (float("inf"),), (None,)], "x double")
+    q = quantiles.exact_quantiles(df, ["x"], [0.0, 1 / 3, 2 / 3, 1.0], limit=1).first()["q"]
+    assert q[:3] == [float("-inf"), 1.0, float("inf")] and np.isnan(q[3])
+
+
+def test_ranks(spark):
+    a = np.random.default_rng(0).integers(0, 6, 500).astype(float)
+    df = spark.createDataFrame([(float(x),) for x in a], "a double")
     for kw in ({}, {"ranges": 9}):
-        got = {r["variable"]: r["q"] for r in exact_quantiles(df, ["a", "b"], probs, **kw).collect()}
-        assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
         ranks = {r["value"]: r["mid_rank"] for r in mid_ranks(df, ["a"], **kw).collect()}
         assert ranks[a.min()] == ((a == a.min()).sum() + 1) / 2
