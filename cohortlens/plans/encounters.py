@@ -25,6 +25,7 @@ INT_COLUMNS = [
 ]
 PRIOR_VISITS = ["number_inpatient", "number_emergency", "number_outpatient"]
 
+# Features by kind, and terms of the odds model.
 NUMERIC = [
     "time_in_hospital", "num_lab_procedures", "num_medications", "num_procedures", "number_diagnoses",
     "number_inpatient", "number_emergency", "number_outpatient", "age_midpoint", "n_active_diabetes_meds",
