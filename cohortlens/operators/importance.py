@@ -2,48 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.cleaning import source_feature
 from cohortlens.functions.rates import ratio_or_zero
-from cohortlens.operators.boosting import Model
+from cohortlens.operators.boosting import Model, _matrix, sigmoid
 from cohortlens.operators.evaluation import rank_metrics
-from cohortlens.operators.folds import SEED, hash_sample, stratum_sample
-from cohortlens.operators.oof import score_folds
+from cohortlens.operators.folds import SEED, hash_sample, key_hash
 from cohortlens.operators.tree_shap import background_rows, tree_contributions
 from cohortlens.sources.tables import write_metadata, write_rows
 
+#: Rows whose columns are shuffled among each other.
+BLOCK_ROWS = 8_192
+
 
 def permutation_importance(
-    df: DataFrame, fold: str, label: str, key: str, features: list[str], models: dict[int, PipelineModel],
-    rows_per_fold: int = 5_000, repeats: int = 3, seed: int = SEED,
+    held_out: DataFrame, fold: str, labels: list[str], key: str, groups: dict[int, dict[str, list[int]]],
+    models: dict[tuple[str, int], Callable[[np.ndarray], np.ndarray]], repeats: int = 3, seed: int = SEED, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Held-out average-precision drop when one feature is shuffled within its fold:
-    (fold, feature, repeat, ap_decrease).
-
-    The sampled rows of a fold are ranked twice by independent hashes; equal ranks pair a row with
-    the donor of its shuffled value.
+    """Held-out average-precision drop when one feature is shuffled within its fold, over all rows:
+    (label, fold, feature, repeat, ap_decrease).
+
+    ``held_out`` holds the key, the fold, 0/1 ``labels`` and ``features`` (array of doubles) as the
+    fold's model takes them; ``groups[fold]`` names the entries that belong to a source feature, which
+    are shuffled together; ``models[label, fold]`` scores a matrix of rows. Rows are dealt by hash into
+    blocks of about ``block_rows``, and a row's donor is a row of its block, so one pass over the blocks
+    scores every feature, repeat and label. A block is a random part of its fold, and a small fold is one block.
     """
-    sample = stratum_sample(df.select(key, fold, label, *features), fold, key, rows_per_fold, seed)
-    slots = (
-        sample.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-        .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    )
-    w = Window.partitionBy(fold, "feature", "repeat").orderBy(
-        F.xxhash64(key, "feature", "repeat", F.lit(seed + 1)), key)  # at most rows_per_fold rows
-    slots = slots.withColumn("_j", F.row_number().over(w))
-    donors = sample.select(F.col(fold), F.col("_i").alias("_j"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    shuffled = slots.join(donors, [fold, "_j"]).select(
-        key, fold, label, "feature", "repeat",
-        *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
-    scored = score_folds(shuffled, fold, models, "score", [label, "feature", "repeat"])
-    base = score_folds(sample, fold, models, "score", [label])
-    ap = rank_metrics(scored, label, [fold, "feature", "repeat"]).select(fold, "feature", "repeat", "pr_auc")
-    ap0 = rank_metrics(base, label, [fold]).select(fold, F.col("pr_auc").alias("base"))
-    # one row per fold
-    return ap.join(F.broadcast(ap0), fold).select(
-        fold, "feature", "repeat", (F.col("base") - F.col("pr_auc")).alias("ap_decrease"))
+    sizes = {r[fold]: r["n"] for r in held_out.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # a few folds
+    blocks = F.lit(1)
+    for value, n in sizes.items():
+        blocks = F.when(F.col(fold) == value, max(1, n // block_rows)).otherwise(blocks)
+    rows = held_out.select(F.col(fold).cast("int").alias("fold"), key, "features", *[F.col(y).cast("double").alias(y) for y in labels]).withColumn(
+        "_block", F.pmod(key_hash(key, seed), blocks).cast("int")).withColumn("_h", key_hash(key, seed + 1))
+    order = ["label", "fold", "feature", "repeat", "y", "score"]
+    schema = "label string, fold int, feature string, repeat int, y int, score double"
+
+    def score(block: pa.Table) -> pa.Table:
+        at = block["fold"][0].as_py()
+        block = block.take(np.lexsort((block[key].to_numpy(), block["_h"].to_numpy())))  # whatever order the rows came in
+        x = _matrix(block["features"].combine_chunks(), max(max(g, default=-1) for g in groups[at].values()) + 1)
+        y = {name: block[name].to_numpy().astype(np.int32) for name in labels}
+        out = []
+        for i, (feature, places) in enumerate([("", []), *sorted(groups[at].items())]):
+            for repeat in range(repeats if feature else 1):
+                donor = np.random.default_rng([seed, at, block["_block"][0].as_py(), i, repeat]).permutation(len(x))
+                shuffled = x.copy()
+                shuffled[:, places] = x[donor][:, places]
+                for name in labels:
+                    out.append((name, feature, repeat, y[name], models[name, at](shuffled)))
+        n = len(x)
+        columns = [pa.array(np.repeat([o[0] for o in out], n)), pa.array(np.full(n * len(out), at, np.int32)), pa.array(np.repeat([o[1] for o in out], n)),
+                   pa.array(np.repeat(np.array([o[2] for o in out], np.int32), n)), pa.array(np.concatenate([o[3] for o in out])),
+                   pa.array(np.concatenate([o[4] for o in out]))]
+        return pa.table(columns, names=order)
+
+    scored = rows.groupBy("fold", "_block").applyInArrow(score, schema)
+    ap = rank_metrics(scored, "y", ["label", "fold", "feature", "repeat"]).select("label", "fold", "feature", "repeat", "pr_auc")
+    base = ap.where("feature = ''").select("label", "fold", F.col("pr_auc").alias("base"))
+    # one row per label and fold
+    return ap.where("feature <> ''").join(F.broadcast(base), ["label", "fold"]).select(
+        "label", "fold", "feature", "repeat", (F.col("base") - F.col("pr_auc")).alias("ap_decrease"))
+
+
+@dataclass(frozen=True)
+class LogisticScore:
+    """Probability of a fitted logistic model, for matrices."""
+
+    weights: tuple[float, ...]
+    constant: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(x @ np.array(self.weights) + self.constant)
 
 
 def importance_summary(drops: DataFrame, keys: list[str] | None = None) -> DataFrame:

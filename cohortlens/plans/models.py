@@ -258,15 +258,10 @@ def survey_models(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    """Loss in average precision per feature, for each of the survey outcomes."""
-    df = survey_rows(spark, sf)
-    out = None
-    for y in S.OUTCOMES:
-        models = oof.fit_folds(df, "fold", y, lambda n, pos: [*survey_prep(), oof.logistic(y, n)])
-        drops = importance.permutation_importance(df, "fold", y, "row_id", S.FEATURES, models)
-        table = importance.importance_summary(drops).withColumn("outcome", F.lit(y))
-        out = table if out is None else out.unionByName(table)
-    return rounded(out)
+    """Loss in average precision per feature, for each of the survey outcomes, over all respondents."""
+    held, groups, models_ = oof.logistic_folds(survey_rows(spark, sf), "fold", S.OUTCOMES, "row_id", lambda: survey_prep()[0])
+    drops = importance.permutation_importance(held, "fold", S.OUTCOMES, "row_id", groups, models_)
+    return rounded(importance.importance_summary(drops, ["label"]).withColumnRenamed("label", "outcome"))
 
 
 def explained(spark, sf) -> tuple[DataFrame, list[str]]:

@@ -87,12 +87,39 @@ def test_perceptron_reads_its_width(rows):
     assert model.transform(rows).select("probability").count() == 400
 
 
-def test_permutation_importance(rows):
-    models = oof.fit_folds(rows, "fold", "y", lambda n, pos: [*prep(), oof.logistic("y", n)])
-    drops = importance.permutation_importance(rows, "fold", "y", "k", ["x", "w", "g"], models, rows_per_fold=60)
-    assert drops.count() == 5 * 3 * 3
-    out = {r["feature"]: r for r in importance.importance_summary(drops).collect()}
-    assert out["x"]["rank"] == 1 and out["x"]["mean_ap_decrease"] > 5 * abs(out["w"]["mean_ap_decrease"])
+def test_permutation_importance(spark, rows):
+    two = rows.withColumn("z", 1 - F.col("y"))
+    held, groups, models = oof.logistic_folds(two, "fold", ["y", "z"], "k", lambda: prep()[0])
+    assert held.count() == 400 and groups[0] == {"x": [0], "w": [1], "g": [2, 3, 4]}
+    drops = importance.permutation_importance(held, "fold", ["y", "z"], "k", groups, models)
+    assert drops.count() == 2 * 5 * 3 * 3
+    out = {(r["label"], r["feature"]): r for r in importance.importance_summary(drops, ["label"]).collect()}
+    for label in ("y", "z"):
+        assert out[label, "x"]["rank"] == 1 and out[label, "x"]["mean_ap_decrease"] > 5 * abs(out[label, "w"]["mean_ap_decrease"])
+    again = importance.permutation_importance(held.repartition(7), "fold", ["y", "z"], "k", groups, models)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, drops.collect()))
+
+
+def test_permutation_pass_scores_like_shuffled_rows(spark, rows):
+    """One fold, one block: the drop follows from shuffling the column by the same draw."""
+    held, groups, models = oof.logistic_folds(rows, "fold", ["y"], "k", lambda: prep()[0])
+    pdf = held.where("fold = 2").withColumn("h", folds.key_hash("k", 43)).toPandas().sort_values(["h", "k"])
+    x, y = np.stack(pdf["features"]), pdf["y"].to_numpy()
+
+    def ap(score):
+        order = np.argsort(-score, kind="stable")
+        hits = y[order]
+        return (np.cumsum(hits) / np.arange(1, len(y) + 1))[hits == 1].mean()
+
+    got = {(r.feature, r.repeat): r.ap_decrease for r in importance.permutation_importance(held, "fold", ["y"], "k", groups, models).where("fold = 2").collect()}
+    for i, feature in enumerate(sorted(groups[2]), 1):
+        for repeat in range(3):
+            donor = np.random.default_rng([42, 2, 0, i, repeat]).permutation(len(x))
+            moved = x.copy()
+            moved[:, groups[2][feature]] = x[donor][:, groups[2][feature]]
+            assert got[feature, repeat] == pytest.approx(ap(models["y", 2](x)) - ap(models["y", 2](moved)))
+    parts = importance.permutation_importance(held, "fold", ["y"], "k", groups, models, block_rows=20)
+    assert parts.count() == 45
 
 
 def test_signed_sum_before_magnitude(spark):
