@@ -38,11 +38,6 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, math.erfc(a / math.sqrt(2))) if pd.notna(a) else None for a in z], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda a: 0.5 * math.erfc(-a / math.sqrt(2)))
-
-
 @F.pandas_udf(T.DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma)

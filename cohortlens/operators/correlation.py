@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.cleaning import interval_label
 from cohortlens.operators.ordered import mid_ranks
-from cohortlens.session import materialize
+from cohortlens.session import is_scan, materialize
+
+#: Ranks (16 bytes each) that may travel to every task.
+CARRIED = 1_000_000
 
 
 def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,21 +31,47 @@ def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def spearman(df: DataFrame, columns: list[str], **scan: object) -> DataFrame:
-    """Rank correlation of every column pair (rows with a null in any of them left out).
+def spearman(df: DataFrame, columns: list[str], ranges: int | None = None, carried: int = CARRIED) -> DataFrame:
+    """Rank correlation of every column pair (rows with a null in any of them left out); null for a constant column.
 
-    Ranks are computed on distinct values, written once per column, and attached to the rows. Spark
-    broadcasts a column's ranks when the written table is small and shuffles it otherwise, each
-    column by its own size.
+    Ranks are computed on distinct values and written. Up to ``carried`` of them, in all columns
+    together, travel to the tasks as sorted arrays; one pass then looks all columns of a row up and adds
+    products of centred ranks, without a shuffle of rows. Beyond that number rows meet the ranks column
+    by column in joins.
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = materialize(mid_ranks(rows, columns, **scan), partition_by=["variable"])
+    rows = rows if is_scan(rows) else materialize(rows)
+    ranks = materialize(mid_ranks(rows, columns, ranges=ranges))
+    if ranks.count() <= carried:
+        return _carried(rows, ranks, columns)
     for c in columns:
         one = ranks.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("mid_rank").alias(f"_r_{c}"))
         rows = rows.join(one, c)
     return _correlations(rows.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 
+def _carried(rows: DataFrame, ranks: DataFrame, columns: list[str]) -> DataFrame:
+    found = ranks.select("variable", "value", "mid_rank", "n").orderBy("variable", "value").toArrow()
+    names, value, rank, count = (found[c].to_numpy() for c in ("variable", "value", "mid_rank", "n"))
+    lookup = [(value[names == c], rank[names == c]) for c in columns]
+    total = int(count[names == columns[0]].sum()) if len(count) else 0
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k, k))
+        for batch in batches:
+            # all columns have the mean rank (n + 1) / 2
+            r = np.stack([own[np.searchsorted(values, batch.column(i).to_numpy())] for i, (values, own) in enumerate(lookup)]) - (total + 1) / 2
+            sums += r @ r.T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(sums.ravel())], names=["cell", "s"])
+
+    added = {r["cell"]: r["s"] for r in rows.mapInArrow(run, "cell bigint, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect()}
+    at = np.array([added.get(i, 0.0) for i in range(k * k)]).reshape(k, k)
+    out = [(a, b, float(at[i, j] / np.sqrt(at[i, i] * at[j, j])) if at[i, i] > 0 and at[j, j] > 0 else None)
+           for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return rows.sparkSession.createDataFrame(out, "feature_a string, feature_b string, rho double")
+
+
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation factor per column with its band.
 

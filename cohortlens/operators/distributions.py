@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortlens.functions.tails import chi2_sf, log_gamma
@@ -62,7 +64,8 @@ def _lower_gamma(a: float, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma: series below a + 1, continued fraction above."""
     x = np.asarray(x, dtype=float)
     out = np.empty_like(x)
-    lead = np.exp(-x + a * np.log(x) - math.lgamma(a))
+    with np.errstate(divide="ignore"):  # zero gives zero
+        lead = np.exp(-x + a * np.log(x) - math.lgamma(a))
     low = x < a + 1
     term = np.full(low.sum(), 1 / a)
     total, k = term.copy(), a
@@ -89,12 +92,56 @@ def _lower_gamma(a: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Shapes tried in one pass.
+SHAPES = 33
+
+
+def _power_sums(cum: DataFrame, top: float, shapes: np.ndarray) -> np.ndarray:
+    """(sum of n z^k, sum of n z^k ln z) at every shape k, with z = value / top; one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(shapes)))
+        for batch in batches:
+            lz, w = np.log(batch.column(0).to_numpy() / top), batch.column(1).to_numpy()
+            for i in range(0, len(lz), 4_096):
+                power = w[i: i + 4_096, None] * np.exp(lz[i: i + 4_096, None] * shapes)
+                total += power.sum(0), (power * lz[i: i + 4_096, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "s"])
+
+    rows = cum.select("value", F.col("n").cast("double").alias("n")).mapInArrow(run, "i bigint, s double").groupBy("i").agg(F.sum("s")).collect()
+    return np.array([v for _, v in sorted(map(tuple, rows))]).reshape(2, -1)
+
+
+def _weibull_shape(cum: DataFrame, top: float, mean_log: float, guess: float) -> tuple[float, float]:
+    """Shape k of the Weibull fit and the sum of n z^k there.
+
+    The likelihood equation rises with k. A pass evaluates it at many shapes, the next one between the
+    two around its root; three passes narrow it to a millionth, and a line through the ends finishes.
+    """
+    low, high = guess / 4, guess * 4
+    while True:
+        shapes = np.geomspace(low, high, SHAPES)
+        a, b = _power_sums(cum, top, shapes)
+        f = b / a - 1 / shapes - mean_log
+        if f[0] > 0:
+            low, high = low / 64, shapes[0]
+        elif f[-1] < 0:
+            low, high = shapes[-1], high * 64
+        else:
+            i = min(max(int(np.searchsorted(f, 0.0)), 1), SHAPES - 1)
+            low, high = shapes[i - 1], shapes[i]
+            share = -f[i - 1] / (f[i] - f[i - 1])
+            if high / low - 1 < 1e-5:
+                # powers change smoothly with the shape
+                return float(low + share * (high - low)), float(np.exp((1 - share) * np.log(a[i - 1]) + share * np.log(a[i])))
+
+
 def continuous_fits(df: DataFrame, column: str, **scan: object) -> DataFrame:
     """Maximum-likelihood normal, lognormal, gamma and Weibull fits of the positive values:
     log-likelihood, AIC, BIC, Kolmogorov-Smirnov distance, AIC difference; best first.
 
     Location is fixed at 0 for the positive families. Parameters come from sums over the value
-    histogram; the Weibull shape iterates a few aggregates of it.
+    histogram, the Weibull shape from its power sums at many shapes a pass.
     """
     hist = value_histogram(df.where(F.col(column) > 0), [column])
     cum = ordered_scan(hist, ["variable"], ["value"], running={"_cum": "n"}, totals={"_all": "n"},
@@ -126,19 +173,8 @@ def _continuous_fits(cum: DataFrame) -> DataFrame:
     theta = m / a
 
     top = s["top"]  # scaling by the maximum keeps powers finite
-    k = 1.2 / math.sqrt(var_log)
-    for _ in range(60):
-        z, lz = F.pow(x / top, F.lit(k)), F.ln(x / top)
-        r = cum.agg(F.sum(w * z).alias("a"), F.sum(w * z * lz).alias("b"), F.sum(w * z * lz * lz).alias("c")).first()
-        ratio = r["b"] / r["a"]
-        f = ratio - 1 / k - (mean_log - math.log(top))
-        slope = r["c"] / r["a"] - ratio ** 2 + 1 / k ** 2
-        step = f / slope
-        k = k - step if k - step > 0 else k / 2
-        if abs(step) < 1e-10 * k:
-            break
-    z = cum.agg(F.sum(w * F.pow(x / top, F.lit(k)))).first()[0]
-    scale = top * (z / n) ** (1 / k)
+    k, power = _weibull_shape(cum, top, mean_log - math.log(top), 1.2 / math.sqrt(var_log))
+    scale = top * (power / n) ** (1 / k)
 
     ll = {
         "normal": -n / 2 * (math.log(2 * math.pi * var) + 1),
@@ -148,8 +184,10 @@ def _continuous_fits(cum: DataFrame) -> DataFrame:
     }
     sd, sd_log = math.sqrt(var), math.sqrt(var_log)
 
+    def phi(t: np.ndarray) -> np.ndarray:
+        return 0.5 + 0.5 * np.sign(t) * _lower_gamma(0.5, t * t / 2)
+
     def gaps(batches):
-        phi = lambda t: np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in t])
         for b in batches:
             v = b["value"].to_numpy()
             hi, lo = b["_cum"].to_numpy() / n, (b["_cum"] - b["n"]).to_numpy() / n

@@ -88,6 +88,35 @@ def normal_fits(spark, sf):
     return rounded(fits.where(F.col("distribution").isin("normal", "lognormal")).drop("ks_stat", "delta_aic"), 2)
 
 
+@query("shape_fits", """
+WITH RECURSIVE h AS (SELECT l_extendedprice AS x, count(*)::DOUBLE AS w FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1),
+s AS (SELECT sum(w) AS n, sum(w * x) / sum(w) AS m, sum(w * ln(x)) AS sl, max(x) AS top FROM h),
+z AS (SELECT ln(x / top) AS lz, w FROM h, s),
+weibull(i, low, high) AS (
+  SELECT 0, 0.01::DOUBLE, 100.0::DOUBLE
+  UNION ALL SELECT i + 1, CASE WHEN f < 0 THEN k ELSE low END, CASE WHEN f < 0 THEN high ELSE k END
+  FROM (SELECT i, low, high, k, sum(w * exp(k * lz) * lz) / sum(w * exp(k * lz)) - 1 / k - any_value(sl / n - ln(top)) AS f
+        FROM (SELECT i, low, high, sqrt(low * high) AS k FROM weibull WHERE i < 60), z, s GROUP BY i, low, high, k)),
+gamma(i, low, high) AS (
+  SELECT 0, 0.01::DOUBLE, 10000.0::DOUBLE
+  UNION ALL SELECT i + 1, CASE WHEN f > 0 THEN a ELSE low END, CASE WHEN f > 0 THEN high ELSE a END
+  FROM (SELECT i, low, high, a, ln(a) - (ln(b) - 1 / (2 * b) - 1 / (12 * b ** 2) + 1 / (120 * b ** 4) - 1 / (252 * b ** 6) + 1 / (240 * b ** 8)
+          - list_sum([1 / (a + j) FOR j IN range(12)])) - (ln(m) - sl / n) AS f
+        FROM (SELECT i, low, high, sqrt(low * high) AS a, sqrt(low * high) + 12 AS b FROM gamma WHERE i < 60), s)),
+k AS (SELECT sqrt(low * high) AS k FROM weibull WHERE i = 60), a AS (SELECT sqrt(low * high) AS a FROM gamma WHERE i = 60),
+scale AS (SELECT any_value(top) * (sum(w * exp(k * lz)) / any_value(n)) ** (1 / any_value(k)) AS scale FROM z, k, s),
+cdf AS (SELECT 1 - exp(-((x / scale) ** k)) AS p, sum(w) OVER (ORDER BY x) / n AS high, (sum(w) OVER (ORDER BY x) - w) / n AS low FROM h, k, scale, s),
+ks AS (SELECT max(greatest(abs(high - p), abs(p - low))) AS ks FROM cdf),
+l AS (SELECT 'gamma' AS distribution, n, (a - 1) * sl - n * a - n * (a * ln(m / a) + lgamma(a)) AS ll, NULL::DOUBLE AS ks FROM s, a
+  UNION ALL SELECT 'weibull', n, n * (ln(k) - k * ln(scale)) + (k - 1) * sl - n, ks FROM s, k, scale, ks)
+SELECT distribution, 2::INTEGER AS n_params, round(ll, 2) AS loglik, round(4 - 2 * ll, 2) AS aic, round(2 * ln(n) - 2 * ll, 2) AS bic, round(ks, 5) AS weibull_ks FROM l""")
+def shape_fits(spark, sf):
+    """The two families whose shape solves an equation, which the comparison bisects; the distance of the one with a plain distribution function."""
+    fits = distributions.continuous_fits(X.table(spark, sf, "lineitem"), "l_extendedprice").where(F.col("distribution").isin("gamma", "weibull"))
+    ks = F.when(F.col("distribution") == "weibull", F.round("ks_stat", 5)).alias("weibull_ks")
+    return fits.select("distribution", "n_params", *[F.round(c, 2).alias(c) for c in ("loglik", "aic", "bic")], ks)
+
+
 # ---------------------------------------------------------------- folds, out-of-fold scores, resampling
 
 @query("joint_fold_balance", _ROWS + """

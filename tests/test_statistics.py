@@ -151,7 +151,7 @@ def test_vif_and_spearman(spark):
     def ranks(v):
         return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     want = np.corrcoef(ranks(x), ranks(c))[0, 1]
-    for kw in ({}, {"ranges": 7}):
+    for kw in ({}, {"ranges": 7}, {"carried": 0}):
         assert correlation.spearman(df, ["x", "c"], **kw).first()["rho"] == pytest.approx(want)
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
