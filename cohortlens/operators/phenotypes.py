@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.rates import adjusted_rand
+from cohortlens.operators.clusters import assign, best, fit_clusters
 from cohortlens.operators.encode import FeatureEncoder
-from cohortlens.operators.folds import SEED, hash_sample
+from cohortlens.operators.folds import SEED
 from cohortlens.operators.profile import group_profile
+from cohortlens.session import materialize
 
-K_RANGE = range(2, 7)
+K_RANGE = (2, 3, 4, 5, 6)
 
 
 def standardized_logs(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
@@ -23,55 +22,6 @@ def standardized_logs(df: DataFrame, features: list[str], output: str = "feature
     return FeatureEncoder(logs, [], [], output=output).fit(wide).transform(wide).drop(*logs)
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    """Lowest-cost fit over several seeds."""
-    fits = (KMeans(k=k, seed=seed + 1_000 * i, maxIter=100, tol=1e-4).fit(vectors) for i in range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def silhouette(labelled: DataFrame, key: str, label: str = "prediction", vector: str = "features",
-               rows: int = 2_000, seed: int = SEED) -> float:
-    """Mean Euclidean silhouette over at most ``rows`` sampled points.
-
-    The sample is held as one array by every task, which scores its own part of it.
-    """
-    sample = hash_sample(labelled, key, rows, seed).select(F.col(label).alias("c"), vector_to_array(vector).alias("x"))
-    points = sample.toPandas()  # bounded by `rows`
-    x, c = np.stack(points["x"].to_numpy()), points["c"].to_numpy()
-    groups = np.unique(c)
-    if len(groups) < 2:
-        return float("nan")
-    size = np.array([(c == g).sum() for g in groups])
-    member = (c[:, None] == groups).astype(float)
-
-    def widths(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            q, qc = np.stack(b["x"].to_numpy()), np.searchsorted(groups, b["c"].to_numpy())
-            dist = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member
-            rows_ = np.arange(len(q))
-            own = dist[rows_, qc] / np.maximum(size[qc] - 1, 1)
-            mean = dist / size
-            mean[rows_, qc] = np.inf
-            other = mean.min(axis=1)
-            s = np.where(size[qc] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    return float(sample.mapInPandas(widths, "s double").agg(F.avg("s")).first()[0])
-
-
-def select_k(vectors: DataFrame, key: str, ks=K_RANGE, sample: int = 10_000, restarts: int = 10, seed: int = SEED) -> DataFrame:
-    """(k, silhouette, selection_sample_n) on one fixed sample."""
-    fixed = hash_sample(vectors, key, sample, seed).persist()
-    try:
-        n = fixed.count()
-        rows = [(k, silhouette(best_kmeans(fixed, k, restarts, seed).transform(fixed), key, seed=seed), n) for k in ks]
-    finally:
-        fixed.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, "k int, silhouette double, selection_sample_n long")
-
-
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings, one row; only cell counts are shuffled."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -83,20 +33,24 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def phenotypes(
-    df: DataFrame, key: str, outcome: str, features: list[str], ks=K_RANGE, restarts: int = 10, seed: int = SEED,
+    df: DataFrame, key: str, outcome: str, features: list[str], ks: list[int] = K_RANGE, restarts: int = 10, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(selection, assignments, profiles): k by silhouette, final clusters on all rows, and their
-    profile with the agreement of a second set of seeds."""
-    vectors = standardized_logs(df, features).persist()
-    try:
-        selection = select_k(vectors, key, ks, restarts=restarts, seed=seed)
-        k = selection.orderBy(F.desc("silhouette"), "k").first()["k"]
-        final, other = best_kmeans(vectors, k, restarts, seed), best_kmeans(vectors, k, restarts, seed + 1)
-    finally:
-        vectors.unpersist()
-    both = final.setPredictionCol("cluster").transform(vectors)
-    both = other.setPredictionCol("_other").transform(both)
+    """(selection, assignments, profiles): k by silhouette over all rows, final clusters, and their
+    profile with the agreement of a second set of seeds.
+
+    ``selection`` has the best restart of every k: (k, silhouette, cost, n). The lower k wins a tie.
+    """
+    vectors = materialize(standardized_logs(df.select(key, outcome, *features), features).withColumn("features", vector_to_array("features")))
+    models = fit_clusters(vectors, key, list(ks), restarts, seed)
+    if not models:
+        raise ValueError("no rows to cluster")
+    n = vectors.count()
+    chosen = [best(models, k) for k in ks]
+    selection = df.sparkSession.createDataFrame(
+        [(m.k, m.silhouette, m.cost, n) for m in chosen], "k int, silhouette double, cost double, n long")
+    final = max(chosen, key=lambda m: (m.silhouette, -m.k))
+    other = best(fit_clusters(vectors, key, [final.k], restarts, seed + 1), final.k)
+    both = materialize(assign(assign(vectors, final), other, "_other").drop("features"))
     stability = rand_index(both, "cluster", "_other").first()[0]
-    assignments = both.select(key, outcome, "cluster")
     profiles = group_profile(both, "cluster", outcome, features).withColumn("seed_stability_ari", F.lit(float(stability)))
-    return selection, assignments, profiles
+    return selection, both.select(key, outcome, "cluster"), profiles

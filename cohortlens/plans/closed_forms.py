@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.operators import boosting, correlation, distributions, encode, folds, importance, linear, oof, regression, resample
+from cohortlens.operators import anomaly, boosting, correlation, distributions, encode, folds, importance, linear, oof, phenotypes, regression, resample
 from cohortlens.plans import fixtures as X
 from cohortlens.plans.queries import query, rounded
 from cohortlens.session import materialize, scratch_path
@@ -201,6 +201,29 @@ def boosted_stumps(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.min("p"), 6).alias("low"), F.round(F.max("p"), 6).alias("high"))
 
 
+@query("forest_walk", "SELECT count(*) AS n, 0.0::DOUBLE AS max_difference, true AS scores_differ_among_rows FROM orders")
+def forest_walk(spark, sf):
+    """Every row's forest score against the walk through the written node table in joins."""
+    df = materialize(X.table(spark, sf, "orders").select(KEY, "o_totalprice", F.col("o_custkey").cast("double").alias("customer")))
+    model = anomaly.IsolationForest(["o_totalprice", "customer"], KEY, trees=50).fit(df)
+    both = model.transform(df).select(KEY, F.col("anomaly_score").alias("scored")).join(anomaly.walked_scores(df, KEY, model), KEY)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("scored") - F.col("anomaly_score"))), 9).alias("max_difference"),
+                    (F.stddev("scored") > 0.001).alias("scores_differ_among_rows"))
+
+
+@query("two_clusters", """
+SELECT (o_orderpriority = '1-URGENT')::INTEGER AS urgent, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS events, 1.0::DOUBLE AS silhouette
+FROM orders GROUP BY 1""")
+def two_clusters(spark, sf):
+    """A feature of two values falls into two clusters without spread, which are chosen among two and three."""
+    df = materialize(finished_orders(spark, sf).select(KEY, "y", F.col("urgent").cast("double").alias("urgent")))
+    selection, assigned, _ = phenotypes.phenotypes(df, KEY, "y", ["urgent"], ks=[2, 3], restarts=3)
+    top = selection.where("k = 2").select(F.round("silhouette", 9).alias("silhouette"))
+    cells = assigned.join(df.select(KEY, F.col("urgent").cast("int").alias("urgent")), KEY).groupBy("cluster").agg(
+        F.max("urgent").alias("urgent"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    return cells.join(F.broadcast(top)).select("urgent", "n", "events", "silhouette")
+
+
 @query("svm_optimum", """
 SELECT unnest(['const', 'price', 'urgent']) AS term, true AS gradient_is_zero, true AS plane_is_not""")
 def svm_optimum(spark, sf):

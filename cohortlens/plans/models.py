@@ -303,8 +303,32 @@ def anomaly_groups(spark, sf):
     return rounded(profile.top_groups(flagged_rows(spark, sf), "diag_1_group", "is_anomaly", 5))
 
 
+def phenotype_tables(spark, sf, which: int) -> DataFrame:
+    """Selection, assignments or profiles; clustered once a session."""
+    names = ["selection", "assignments", "profiles"]
+
+    def build() -> DataFrame:
+        df = X.cohort_features(spark, sf).select(KEY, OUTCOME, *E.UTILIZATION)
+        made = phenotypes.phenotypes(materialize(df), KEY, OUTCOME, E.UTILIZATION)
+        for name, table in list(zip(names, made))[1:]:
+            fitted(spark, sf, f"phenotype_{name}", lambda t=table: t)
+        return made[0]
+
+    first = fitted(spark, sf, "phenotype_selection", build)
+    return first if which == 0 else _FITTED[spark.sparkContext.applicationId, sf, f"phenotype_{names[which]}"]
+
+
+@query("phenotype_selection")
+def phenotype_selection(spark, sf):
+    """Silhouette and cost of the best restart for every number of clusters, over all rows."""
+    return rounded(phenotype_tables(spark, sf, 0))
+
+
+@query("phenotype_assignments")
+def phenotype_assignments(spark, sf):
+    return phenotype_tables(spark, sf, 1)
+
+
 @query("phenotype_profiles")
 def phenotype_profiles(spark, sf):
-    df = materialize(X.cohort_features(spark, sf).select(KEY, OUTCOME, *E.UTILIZATION))
-    _, _, profiles = phenotypes.phenotypes(df, KEY, OUTCOME, E.UTILIZATION, restarts=2)
-    return rounded(profiles)
+    return rounded(phenotype_tables(spark, sf, 2))

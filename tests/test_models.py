@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cohortlens.operators import anomaly, encode, folds, importance, oof, phenotypes, quality
+from cohortlens.operators import anomaly, clusters, encode, folds, importance, oof, phenotypes, quality
 
 
 @pytest.fixture(scope="module")
@@ -151,27 +151,47 @@ def test_large_input_pool_fills_every_tree(spark):
     assert {r["count"] for r in s.groupBy("tree").count().collect()} == {64}
 
 
-def test_silhouette_and_phenotypes(spark):
+def test_clusters_against_plain_numpy(spark):
     rng = np.random.default_rng(11)
     centres = np.array([[0, 0], [40, 5], [5, 60]])
     x = np.abs(np.vstack([c + rng.normal(size=(40, 2)) for c in centres]))
-    df = spark.createDataFrame([(i, int(i % 4 == 0), float(a), float(b)) for i, (a, b) in enumerate(x)],
-                               "k long, y int, a double, b double")
-    vec = phenotypes.standardized_logs(df, ["a", "b"])
-    model = phenotypes.best_kmeans(vec, 3, 2, 1)
-    lab = model.transform(vec)
-    pdf = lab.select("prediction", vector_to_array("features").alias("v")).toPandas()
-    v, c = np.stack(pdf["v"]), pdf["prediction"].to_numpy()
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
-    s = []
-    for i in range(len(v)):
-        a = d[i, (c == c[i]) & (np.arange(len(v)) != i)].mean()
-        b = min(d[i, c == g].mean() for g in set(c) - {c[i]})
-        s.append((b - a) / max(a, b))
-    assert phenotypes.silhouette(lab, "k") == pytest.approx(np.mean(s))
+    df = spark.createDataFrame([(i, int(i % 4 == 0), float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, y int, a double, b double")
+    vec = phenotypes.standardized_logs(df, ["a", "b"]).withColumn("features", vector_to_array("features"))
+    models = clusters.fit_clusters(vec, "k", [2, 3, 4], restarts=4)
+    assert len(models) == 12
+    pdf = vec.toPandas()
+    v = np.stack(pdf["features"])
+    for m in models[::3]:
+        far = ((v[:, None] - m.centres) ** 2).sum(2)
+        c = far.argmin(1)
+        assert m.cost == pytest.approx(far.min(1).sum())
+        for j in set(c):  # a fixed point
+            assert np.allclose(v[c == j].mean(0), m.centres[j], atol=1e-3)
+        d = ((v[:, None] - v[None]) ** 2).sum(2)
+        s = []
+        for i in range(len(v)):
+            if (c == c[i]).sum() == 1:
+                s.append(0.0)
+                continue
+            a = d[i, (c == c[i]) & (np.arange(len(v)) != i)].mean()
+            b = min(d[i, c == g].mean() for g in set(c) - {c[i]})
+            s.append((b - a) / max(a, b))
+        assert m.silhouette == pytest.approx(np.mean(s))
+    three = clusters.best(models, 3)
+    got = clusters.assign(vec, three).toPandas()["cluster"].to_numpy()
+    assert sorted(np.bincount(got)) == [40, 40, 40]
     selection, assigned, profiles = phenotypes.phenotypes(df, "k", "y", ["a", "b"], ks=(2, 3), restarts=2)
-    assert selection.count() == 2 and assigned.count() == 120
-    assert profiles.agg(F.sum("n")).first()[0] == 120 and 0 < profiles.first()["seed_stability_ari"] <= 1
+    assert selection.count() == 2 and assigned.count() == 120 and selection.orderBy(F.desc("silhouette")).first()["k"] == 3
+    assert profiles.count() == 3 and profiles.agg(F.sum("n")).first()[0] == 120 and profiles.first()["seed_stability_ari"] == 1
+    assert clusters.fit_clusters(vec.limit(0), "k", [2]) == []
+
+
+def test_forest_walk_equals_the_scores(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)).round(1))], "k long, a double, b double")
+    model = anomaly.IsolationForest(["a", "b"], "k", trees=20, sample=64).fit(df)
+    both = model.transform(df).withColumnRenamed("anomaly_score", "s").join(anomaly.walked_scores(df, "k", model), "k").toPandas()
+    assert len(both) == 300 and np.allclose(both["s"], both["anomaly_score"])
 
 
 def test_folds_keep_rows_without_entity(spark):
