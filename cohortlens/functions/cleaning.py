@@ -8,15 +8,6 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 
-def sentinel_to_null(col: str, sentinel: str) -> Column:
-    return F.nullif(F.col(f"`{col}`"), F.lit(sentinel))
-
-
-def allow_list(col: str, values: list[str]) -> Column:
-    """The value when listed, else null."""
-    return F.when(F.col(col).isin(values), F.col(col))
-
-
 def flag(condition: Column) -> Column:
     """0/1 integer indicator; an unknown condition is 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")

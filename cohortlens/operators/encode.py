@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 RARE = "__infrequent__"
+#: Level of rows without a value.
+MISSING = "__missing__"
 #: A feature vector with more levels per column than this is refused.
 MAX_LEVELS = 10_000
 
@@ -25,11 +27,15 @@ def pooled_levels(df: DataFrame, columns: list[str], min_count: int) -> DataFram
         "encoded", F.when(F.col("n") >= min_count, F.col("level")).otherwise(F.lit(RARE)))
 
 
+def _level(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+
+
 class FeatureEncoder(Estimator):
     """Standardised numerics, pass-through indicators and one-hot categories in one vector.
 
     ``min_count`` pools levels seen fewer times in the training rows; unknown levels go to the
-    pool when there is one. ``drop_first`` leaves out the first level, and unknown levels are
+    pool when there is one. Missing values are a level like any other. ``drop_first`` leaves out the first level, and unknown levels are
     then all zero.
     """
 
@@ -50,7 +56,7 @@ class FeatureEncoder(Estimator):
         if self.categorical:
             # frequent levels plus one pool row per column; bounded by the check below
             kept = (
-                pooled_levels(dataset, self.categorical, self.min_count).where(F.col("level").isNotNull())
+                pooled_levels(dataset.select(*[_level(c).alias(c) for c in self.categorical]), self.categorical, self.min_count)
                 .groupBy("feature", "encoded").agg(F.sum("n").alias("n"))
             )
             bound = MAX_LEVELS * len(self.categorical)
@@ -79,7 +85,7 @@ class FeatureEncoderModel(Model):
         for c in self.spec.binary:
             out[f"bin__{c}"] = F.col(c).cast("double")
         for c in self.spec.categorical:
-            value = F.col(c).cast("string")
+            value = _level(c)
             levels = self.levels[c][1:] if self.spec.drop_first else self.levels[c]
             for level in levels:
                 out[f"cat__{c}_{level}"] = F.coalesce((value == level).cast("double"), F.lit(0.0))

@@ -40,21 +40,6 @@ def joint_folds(df: DataFrame, entity: str, labels: list[str], k: int = N_FOLDS,
     return folds.drop("_joint")
 
 
-def stratum_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """Up to ``n`` rows of every stratum (few strata), the lowest by key hash, with their rank ``_i``.
-
-    A hash bound from the stratum sizes drops all but about twice the needed rows before ranking.
-    """
-    resolution = 1 << 40
-    sizes = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}
-    bound = F.lit(0).cast("long")
-    for value, rows in sizes.items():
-        bound = F.when(F.col(stratum) == value, int(resolution * min(1.0, (2 * n + 256) / rows))).otherwise(bound)
-    pool = df.withColumn("_u", F.pmod(key_hash(key, seed), F.lit(resolution))).where(F.col("_u") < bound)
-    w = Window.partitionBy(stratum).orderBy("_u", key)
-    return pool.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_u")
-
-
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows without replacement, the lowest by key hash; all rows when there are fewer.
 

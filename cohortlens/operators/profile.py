@@ -254,8 +254,3 @@ def rank_agreement(df: DataFrame, item: str, group: str, measure: str, groups: l
 
 def mean_and_sd(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("sd"))
-
-
-def total_missing(df: DataFrame) -> DataFrame:
-    """Number of nulls over all columns, one row."""
-    return df.agg(reduce(lambda a, b: a + b, [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]).alias("nulls"))

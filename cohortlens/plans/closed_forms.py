@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.operators import anomaly, boosting, correlation, distributions, encode, folds, importance, linear, oof, phenotypes, regression, resample
-from cohortlens.plans import fixtures as X
+from cohortlens.plans import fixtures as X, oracle as O
 from cohortlens.plans.queries import query, rounded
 from cohortlens.session import materialize, scratch_path
 from cohortlens.sources import tables as S
@@ -35,10 +35,11 @@ def finished_orders(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT 'const' AS term, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM c
   UNION ALL SELECT 'urgent', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM c)
 SELECT 'y' AS outcome, term, round(coef, 5) AS coef, round(exp(coef), 5) AS odds_ratio,
-  round(exp(coef - 1.959963984540054 * se), 5) AS ci_low, round(exp(coef + 1.959963984540054 * se), 5) AS ci_high FROM t""")
+  round(exp(coef - 1.959963984540054 * se), 5) AS ci_low, round(exp(coef + 1.959963984540054 * se), 5) AS ci_high,
+  round(""" + O.chi2_tail("(coef / se) ** 2", "1") + """, 5) AS p_value FROM t""")
 def logit_two_by_two(spark, sf):
     fit = regression.fit_logit(finished_orders(spark, sf), "y", ["urgent"])
-    return rounded(regression.odds_table(spark, [fit]).drop("p_value"), 5)
+    return rounded(regression.odds_table(spark, [fit]), 5)
 
 
 @query("logit_likelihood", _ROWS + f"""
@@ -51,12 +52,13 @@ def logit_likelihood(spark, sf):
 
 
 @query("nested_priorities", _ROWS + f"""
-SELECT 'y' AS outcome, 'other_levels' AS comparison, (SELECT count(*) FROM r) AS n, 3::INTEGER AS df,
-  round(2 * ({_LIKELIHOOD.format(by="GROUP BY priority")} - {_LIKELIHOOD.format(by="GROUP BY urgent")}), 4) AS lr_statistic""")
+SELECT 'y' AS outcome, 'other_levels' AS comparison, (SELECT count(*) FROM r) AS n, 3::INTEGER AS df, round(lr, 4) AS lr_statistic,
+  round({O.chi2_tail("lr", "3")}, 4) AS p_value
+FROM (SELECT 2 * ({_LIKELIHOOD.format(by="GROUP BY priority")} - {_LIKELIHOOD.format(by="GROUP BY urgent")}) AS lr)""")
 def nested_priorities(spark, sf):
     """One level against the rest, then all levels of the category."""
     steps = {"one_level": ["urgent"], "other_levels": ["high", "medium", "low"]}
-    return rounded(regression.nested_table(finished_orders(spark, sf), "y", steps, []).drop("p_value"), 4)
+    return rounded(regression.nested_table(finished_orders(spark, sf), "y", steps, []), 4)
 
 
 @query("calibration_two_scores", _ROWS + """

@@ -195,7 +195,3 @@ def check_features(features: list[str], banned: dict[str, str] | None = None) ->
     leaked = {c: banned[c] for c in features if c in banned}
     if leaked:
         raise ValueError(f"leakage columns in feature set: {leaked}")
-
-
-def expired_flag() -> Column:
-    return F.col("discharge_disposition_id").cast("int").isin(EXPIRED)

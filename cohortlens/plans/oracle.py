@@ -214,6 +214,12 @@ def wilson_high(k: str, n: str) -> str:
     return WILSON_HIGH.format(k=k, n=n)
 
 
+def chi2_tail(x: str, dof: str) -> str:
+    """Upper tail of chi-square, one minus the series of the regularised gamma function; 0 far out, 1 at zero."""
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 500 THEN 0.0 WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum([exp(-({x}) / 2.0 "
+            f"+ (({dof}) / 2.0 + j) * ln(({x}) / 2.0) - lgamma(({dof}) / 2.0 + j + 1)) FOR j IN range(600)])) END")
+
+
 def stacked(columns: list[str], source: str, name: str = "variable", value: str = "value", extra: str = "",
             cast: str = "DOUBLE") -> str:
     """UNION ALL of one SELECT per column."""
@@ -222,4 +228,4 @@ def stacked(columns: list[str], source: str, name: str = "variable", value: str
         for c in columns)
 
 
-__all__ = ["ENCOUNTERS", "SURVEY", "CATEGORICAL", "UTILIZATION", "stacked", "wilson_low", "wilson_high"]
+__all__ = ["ENCOUNTERS", "SURVEY", "CATEGORICAL", "UTILIZATION", "chi2_tail", "stacked", "wilson_low", "wilson_high"]

@@ -655,9 +655,17 @@ def mann_whitney_family(spark, sf):
     return rounded(t.select("test", "statistic", "effect_size", "n", "z"), 4)
 
 
-@query("test_family")
+@query("test_family", O.ENCOUNTERS + _CHI_SQL.replace("WITH", "") + _MWU_SQL + f""",
+tests AS (
+  SELECT test, statistic, dof, effect_size, 'Cramer''s V' AS effect_name, n, statistic AS x, dof AS k FROM chi
+  UNION ALL SELECT test, statistic, NULL::INTEGER, effect_size, 'rank-biserial', n, greatest(z, 0) * greatest(z, 0), 1 FROM mwu),
+p AS (SELECT *, {O.chi2_tail("x", "k")} AS p_value FROM tests),
+i AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM p),
+a AS (SELECT x.test, least(1.0, min(y.p_value * y.m / y.i)) AS p_adj FROM i x JOIN i y ON y.i >= x.i GROUP BY 1)
+SELECT test, round(statistic, 4) AS statistic, dof, round(effect_size, 4) AS effect_size, effect_name, n, round(p_value, 4) AS p_value,
+  round(p_adj, 4) AS p_adj, p_adj < 0.05 AS significant_fdr_05 FROM p JOIN a USING (test)""")
 def test_family(spark, sf):
-    return rounded(association.test_family(X.cohort_table(spark, sf, OUTCOME, *FACTORS, *RANKED), FACTORS, RANKED, OUTCOME))
+    return rounded(association.test_family(X.cohort_table(spark, sf, OUTCOME, *FACTORS, *RANKED), FACTORS, RANKED, OUTCOME), 4)
 
 
 test_family.__test__ = False
@@ -706,10 +714,11 @@ l AS (SELECT any_value(n) AS n, any_value(m) AS m, any_value(v) AS v, any_value(
   FROM (SELECT CAST(num_lab_procedures AS DOUBLE) AS x FROM features), k)
 SELECT n, round(m, 4) AS mean, round(v, 4) AS variance, round(v / m, 4) AS dispersion_ratio, round(r, 4) AS nb_dispersion_r,
   round(lp, 3) AS loglik_poisson, round(lb, 3) AS loglik_negbin, round(2 * (lb - lp), 3) AS lr_statistic,
-  round(2 - 2 * lp, 3) AS aic_poisson, round(4 - 2 * lb, 3) AS aic_negbin FROM l""")
+  round(0.5 * p, 6) AS p_value, round(2 - 2 * lp, 3) AS aic_poisson, round(4 - 2 * lb, 3) AS aic_negbin
+FROM (SELECT *, """ + O.chi2_tail("2 * (lb - lp)", "1") + """ AS p FROM l)""")
 def poisson_negbin(spark, sf):
-    t = distributions.poisson_vs_negbin(X.cohort_table(spark, sf, "num_lab_procedures"), "num_lab_procedures").drop("p_value")
-    digits = {"mean": 4, "variance": 4, "dispersion_ratio": 4, "nb_dispersion_r": 4}
+    t = distributions.poisson_vs_negbin(X.cohort_table(spark, sf, "num_lab_procedures"), "num_lab_procedures")
+    digits = {"mean": 4, "variance": 4, "dispersion_ratio": 4, "nb_dispersion_r": 4, "p_value": 6}
     return t.select("n", *[F.round(c, digits.get(c, 3)).alias(c) for c in t.columns if c != "n"])
 
 
