@@ -11,8 +11,6 @@ are ordered inside their shard by a hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -109,7 +107,7 @@ class Mix:
         epochs = [int(t // s) if s else 0 for t, s in zip(self.targets, self.sizes)]
         rest = [t - e * s for t, e, s in zip(self.targets, epochs, self.sizes)]
         # written, so that Spark knows its size and broadcasts it only while it is small
-        catalogue = materialize(table_of(spark, {
+        self.catalogue = catalogue = materialize(table_of(spark, {
             "k": ("int", list(range(len(facts)))), "name": ("string", self.names), "source_size": ("bigint", self.sizes),
             "target": ("double", self.targets), "n_blocks": ("bigint", n_blocks), "epochs": ("int", epochs), "rest": ("double", rest)}))
         self.rows = rows.join(catalogue, rows.source.eqNullSafe(catalogue.name)).drop("name").withColumn("block", F.expr("pmod(h, n_blocks)"))
@@ -127,14 +125,19 @@ class Mix:
         self.cuts = np.cumsum(split_tree(draws, shards, seed), axis=0).T.tolist()
         self.n_blocks, self.epochs, self.shards, self.seed = n_blocks, epochs, shards, seed
 
-    def taken(self) -> DataFrame:
-        """``rows`` with ``copies`` (times the mix takes the document) and the block's ``rank``."""
+    def taken(self, rows: DataFrame | None = None) -> DataFrame:
+        """``rows`` with ``copies`` (times the mix takes the document) and the block's ``rank``.
+
+        By default the facts of all documents; other rows need the columns k, block, size, h, doc_id and epochs.
+        """
+        rows = self.rows if rows is None else rows
         state = self.blocks.select("k", "block", "rank", "state", (F.col("rest") - F.col("before")).alias("gap"))
-        at = self.rows.join(state, ["k", "block"])
+        at = rows.drop("gap", "rank", "state").join(state, ["k", "block"])
         sure = at.where("state <> 'part'").withColumn("copies", F.expr("epochs + IF(state = 'whole', 1, 0)"))
         # one block a source is filled document by document: large ones first, whatever still fits
-        part = at.where("state = 'part'")
-        schema = T.StructType([*part.schema.fields, T.StructField("copies", T.IntegerType())])
+        number = fresh(at, "_number")
+        part = materialize(at.where("state = 'part'").withColumn(number, F.monotonically_increasing_id()))
+        kinds = [part.schema["k"], part.schema[number], T.StructField("copies", T.IntegerType())]
 
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
@@ -143,54 +146,50 @@ class Mix:
                 fits = n <= gap
                 chosen.append(int(fits))
                 gap -= n * fits
-            return pdf.assign(copies=(pdf["epochs"].to_numpy() + np.array(chosen)).astype("int32"))
+            return pdf[["k", number]].assign(copies=(pdf["epochs"].to_numpy() + np.array(chosen)).astype("int32"))
 
-        filled = part.groupBy("k").applyInPandas(fill, schema)
+        chosen = part.select("k", number, "size", "h", "doc_id", "gap", "epochs").groupBy("k").applyInPandas(fill, T.StructType(kinds))
+        filled = part.join(chosen, ["k", number]).drop(number)
         return sure.select(filled.columns).union(filled)
 
-    def shard_of(self, epoch: str) -> Column:
-        """Shard of a block's draw in an epoch: the run of its source's permuted draws it falls in."""
+    def placed(self, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+        """(row: struct of all columns, and what ``taken`` needs) of the mix's own documents."""
+        facts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
+                            F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
+                            F.xxhash64(F.lit(self.seed), F.col(id_col), F.col(text_col)).alias("h"))
+        joined = facts.join(self.catalogue, facts.source.eqNullSafe(self.catalogue.name)).drop("name")
+        return joined.withColumn("block", F.expr("pmod(h, n_blocks)"))
+
+    def shards_of(self) -> Column:
+        """Shards of a document's draws, one per copy: the run of its source's permuted draws that each block draw falls in."""
         if not self.cuts:  # no sources, no rows
-            return F.lit(0)
-        cuts = F.array(*[F.array(*[F.lit(int(c)) for c in cut]) for cut in self.cuts])
-        draw = F.expr(f"CAST({epoch} AS BIGINT) * n_blocks + rank")
-        return F.size(F.filter(F.get(cuts, F.col("k")), lambda c: c <= draw))
+            return F.array().cast("array<int>")
+        cuts = F.get(F.array(*[F.array(*[F.lit(int(c)) for c in cut]) for cut in self.cuts]), F.col("k"))
+        epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(epochs, lambda e: F.size(F.filter(cuts, lambda c: c <= e.cast("bigint") * F.col("n_blocks") + F.col("rank"))))
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document.
+    """(doc_id, size, source_size, target, taken, source, copies, shards) of every document.
 
-    Null and blank texts have size 0 and null sources are a source of their own. Rows that are alike
-    share their hash, so which of them is taken is the same up to exchange; an empty table stays empty.
+    ``shards`` lists the output shard of every copy, comma-joined. Null and blank texts have size 0 and
+    null sources are a source of their own. Rows that are alike share their hash, so which of them is
+    taken is the same up to exchange; an empty table stays empty. Texts are counted whole, one at a time.
     """
-    got = Mix(docs, **options).taken()
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    mix = Mix(docs, **options)
+    return mix.taken().select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
+                              F.array_join(mix.shards_of().cast("array<string>"), ",").alias("shards"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                shard_col: str | None = None, **options: object) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns unchanged.
+    """The mix itself: every document as often as it is taken, each row with its own columns unchanged.
 
-    With ``shard_col`` the output shard is appended and rows are dealt and ordered by it.
+    Rows are dealt and ordered by the output shards of their draws, a shard over several partitions;
+    with ``shard_col`` the shard is appended.
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
-    h, number, copies = fresh(docs, "_h"), fresh(docs, "_number"), fresh(docs, "_copies")
-    drawn = mix.taken().where("copies > 0")
-    # rows alike in id and text are one key; how often it is drawn is dealt over them
-    keyed = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("shard", mix.shard_of("epoch"))
-    per_key = keyed.groupBy("doc_id", "source", "h").agg(F.sort_array(F.collect_list("shard")).alias(copies))
-    rows = docs.withColumn(h, F.xxhash64(F.lit(mix.seed), F.col(id_col), F.col(text_col)))
-    alike = rows.groupBy(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(h).alias("h")).agg(F.count(F.lit(1)).alias("alike"))
-    repeated = alike.where("alike > 1")
-    k = per_key.select(F.col("doc_id").alias(f"{h}i"), F.col("h").alias(f"{h}h"), F.col("source").alias(f"{h}s"), copies)
-    match = (F.col(h) == F.col(f"{h}h")) & F.col(id_col).eqNullSafe(F.col(f"{h}i")) & F.col(source_col).cast("string").eqNullSafe(F.col(f"{h}s"))
-    if repeated.isEmpty():
-        met = rows.join(k, match)
-    else:  # one row stands for all alike: it is emitted as often as they are drawn
-        met = rows.dropDuplicates([id_col, source_col, h]).join(k, match)
-    out = met.select(*docs.columns, F.explode(copies).alias(number), h)
-    if shard_col is None:
-        return out.select(docs.columns)
-    order = F.xxhash64(F.lit(mix.seed), number, h)
-    return (out.withColumn(shard_col, F.col(number).cast("int")).repartition(shard_col, F.pmod(F.col(h), F.lit(64)))
-            .sortWithinPartitions(shard_col, order).select(*docs.columns, shard_col))
+    drawn = mix.taken(mix.placed(docs, id_col, text_col, source_col)).where("copies > 0")
+    out = drawn.select("row", "h", F.posexplode(mix.shards_of()).alias("epoch", "shard"))
+    dealt = out.repartition("shard", F.pmod("h", F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed), "epoch", "h"))
+    return dealt.select("row.*", *([F.col("shard").alias(shard_col)] if shard_col else []))

@@ -22,7 +22,8 @@ from cohortlens.llm.common import LOWER
 #: Distinct pieces a worker remembers before it starts anew (about 230 MB).
 MEMORY_WORDS = 1_200_000
 _BEFORE_OTHER = re.compile(rb"[A-Z](?=[\x80-\xff])")
-_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
+#: a-z and the small letters of Latin-1, in UTF-8
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
 _STOPS = (b".", b",", b";", b":")
 _STOP_BYTES = frozenset(b".,;:")
 _WORKER: dict[str, "WordTokens"] = {}
@@ -31,6 +32,8 @@ _WORKER: dict[str, "WordTokens"] = {}
 def folded(text: bytes) -> bytes:
     """``text`` with ASCII capitals folded that no character outside ASCII follows."""
     low = text.translate(LOWER)
+    if text.isascii():
+        return low
     kept = [m.start() for m in _BEFORE_OTHER.finditer(text)]
     if kept:
         restored = bytearray(low)
@@ -76,47 +79,60 @@ class WordTokens:
         A letter before a final comma or stop ends the library's piece there, so such a piece is the ids
         of the word and of the stop; the word is numbered too where it is new, and encoded once for all.
         """
-        known = self.known
-        number = self.index.__getitem__
-        parts = [(number(w[:-1]), number(w[-1:])) if w[-1] in _STOP_BYTES and w[-2:-1].isalpha() else None for w in words]
+        known, number = self.known, self.index.__getitem__
+        ends = [i for i, w in enumerate(words) if w[-1] in _STOP_BYTES and w[-2:-1].isalpha()]
+        pairs = np.fromiter((number(p) for i in ends for p in (words[i][:-1], words[i][-1:])), np.int64, 2 * len(ends))
         extra = len(self.index) - known - len(words)
-        if extra:
+        if extra:  # words without their stop end in a letter
             words = [*words, *[*islice(reversed(self.index), extra)][::-1]]
-            # a word without its stop may end in a letter and a stop no more
-            parts += [None] * extra
-        ids: list[list[int] | None] = [None] * len(words)
-        todo = [i for i, p in enumerate(parts) if p is None]
-        for i, got in zip(todo, self._pieces([words[i].decode() for i in todo])):
-            ids[i] = got
-        for i, p in enumerate(parts):
-            if p is not None:
-                ids[i] = [x for j in p for x in (ids[j - known] if j >= known else self.flat[self.starts[j]: self.starts[j] + self.sizes[j]].tolist())]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        n, total = len(ids), int(sizes.sum())
-        while known + n > len(self.sizes):
+        while known + len(words) > len(self.sizes):
             self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
-        while self.used + total > len(self.flat):
+        whole = np.ones(len(words), bool)
+        whole[ends] = False
+        todo = np.flatnonzero(whole)
+        order, sizes, flat = self._pieces([words[i] for i in todo])
+        self._store(known + todo[order], sizes, flat)
+        # the ids of words and stops, which are stored by now, one after the other
+        sizes = self.sizes[pairs]
+        at = np.repeat(self.starts[pairs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        self._store(known + np.array(ends, np.int64), sizes.reshape(-1, 2).sum(1), self.flat[at])
+        self.known = known + len(words)
+
+    def _store(self, numbers: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Put the ids of pieces, which follow one another in ``flat``, behind those stored so far."""
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.sizes[known: known + n] = sizes
-        self.starts[known: known + n] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used: self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
-        self.known, self.used = known + n, self.used + total
-
-    def _pieces(self, words: list[str]) -> list[list[int]]:
-        """Ids of each piece. Pieces of letters alone are one token group each, so many share a call."""
-        plain = [i for i, w in enumerate(words) if _LETTERS(w)] if self.ends.any() else []
-        out: list[list[int] | None] = [None] * len(words)
-        runs = [plain[i: i + 256] for i in range(0, len(plain), 256)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False)):
-            ids = e.ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(run):
-                for i, lo, hi in zip(run, [0, *cuts], cuts):
-                    out[i] = ids[lo:hi]
-        rest = [i for i, got in enumerate(out) if got is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used: self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids per text, and all ids in a row."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
+
+    def _pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, sizes, ids) of pieces. Pieces of letters alone are one token group each, so many share a call."""
+        plain = np.flatnonzero([_LETTERS(w) is not None for w in words]) if self.ends.any() and words else np.zeros(0, np.int64)
+        runs = [plain[i: i + 1_024] for i in range(0, len(plain), 1_024)]
+        lens, flat = self._ids([b" ".join([words[i] for i in run]).decode() for run in runs])
+        last = self.ends[flat]
+        upto = np.cumsum(lens)
+        found = np.diff(np.concatenate([[0], np.cumsum(last)])[np.concatenate([[0], upto])])
+        # a run whose word ends are not as many as its words is encoded word by word
+        good = found == np.fromiter(map(len, runs), np.int64, len(runs))
+        good &= np.append(last, False)[upto - 1]
+        if not good.all():
+            flat, last = (x[np.repeat(good, lens)] for x in (flat, last))
+        order = np.concatenate([np.zeros(0, np.int64), *[run for run, ok in zip(runs, good) if ok]])
+        sizes = np.diff(np.flatnonzero(last), prepend=-1)
+        single = np.ones(len(words), bool)
+        single[order] = False
+        rest = np.flatnonzero(single)
+        rest_sizes, rest_flat = self._ids([words[i].decode() for i in rest])
+        return np.concatenate([order, rest]), np.concatenate([sizes, rest_sizes]), np.concatenate([flat, rest_flat])
 
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts in a row, and pieces per text."""

@@ -164,12 +164,63 @@ def test_mixing(spark, documents, empty):
     out = mixing.mixed_rows(df, shard_col="part").toPandas()
     assert Counter(out.doc_id) == Counter({i: c for i, c in zip(got.doc_id, got.copies) if c})
     assert out.part.between(0, 7).all() and out.groupby("part").size().min() > 0
+    dealt = {i: sorted(map(int, x.split(","))) for i, x in zip(got.doc_id, got.shards) if x}
+    assert dealt == {i: sorted(p) for i, p in out.groupby("doc_id").part}
+    assert {i: len(x) for i, x in dealt.items()} == {i: c for i, c in zip(got.doc_id, got.copies) if c}
     odd = mixing.mix_documents(documents).toPandas()
     assert len(odd) == 13 and (odd.taken <= 2 * odd["size"]).all() and odd[odd.source.isna()].source_size.tolist() == [2, 2, 2]
     assert mixing.mixed_rows(documents).columns == documents.columns
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
+def test_mix_equals_a_plain_walk(spark):
+    """Blocks of every source in permuted order up to the target, and shards cut from the same order by the tree."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 9))), None if i % 5 == 0 else "ab"[i % 2]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(df)
+    facts = mix.rows.toPandas()
+    rank = {(r.k, r.block): r["rank"] for r in mix.blocks.collect()}
+    facts["rank"] = [rank[k, b] for k, b in zip(facts.k, facts.block)]
+    got = {r.doc_id: r for r in mixing.mix_documents(df).collect()}
+    for k, part in facts.groupby("k"):
+        target, epochs, blocks = part.target.iloc[0], int(part.epochs.iloc[0]), int(part.n_blocks.iloc[0])
+        rest, copies, draws = target - epochs * part["size"].sum(), {}, {}
+        for place, block in sorted({(r, b) for r, b in zip(part["rank"], part.block)}):
+            docs = part[part.block == block]
+            for e in range(epochs):
+                draws[e * blocks + place] = docs.doc_id.tolist()
+            chosen = docs if docs["size"].sum() <= rest else docs.iloc[:0]
+            if rest > 0 and len(chosen) == 0:
+                keep, gap = [], rest
+                for i, n in sorted(zip(docs.doc_id, docs["size"]), key=lambda x: (-x[1], int(docs[docs.doc_id == x[0]].h.iloc[0]), x[0])):
+                    if n <= gap:
+                        keep.append(i)
+                        gap -= n
+                chosen = docs[docs.doc_id.isin(keep)]
+                rest = 0
+            rest -= docs["size"].sum() if len(chosen) == len(docs) else rest
+            if len(chosen):
+                draws[epochs * blocks + place] = chosen.doc_id.tolist()
+            for i in docs.doc_id:
+                copies[i] = epochs + int(i in set(chosen.doc_id))
+        assert copies == {i: got[i].copies for i in copies}
+        cuts = mix.cuts[k]
+        want = {}
+        for draw, ids in draws.items():
+            for i in ids:
+                want.setdefault(i, []).append(sum(c <= draw for c in cuts))
+        assert {i: sorted(s) for i, s in want.items()} == {i: sorted(map(int, got[i].shards.split(","))) for i in want}
+        assert cuts[-1] >= max(draws) + 1 - blocks
+
+
+def test_alike_rows_keep_their_own_columns(spark):
+    rows = [(1, "same words here", "a", f"u{i}") for i in range(3)] + [(2, "other words", "a", "v"), (None, "no id", None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, url string")
+    out = Counter(r.url for r in mixing.mixed_rows(df, weights={"a": 1.0, None: 1.0}, factor=2.0, most=2.0).collect())
+    assert set(out) == {"u0", "u1", "u2", "v", "n"} and set(out.values()) == {2}
+
+
 def toxic_corpus(spark, n=600):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(300)]
