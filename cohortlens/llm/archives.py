@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import fresh, pa_schema
+from cohortlens.llm.common import pa_schema
 from cohortlens.session import discard, materialize, scratch_path
 
 #: Fixed values of the WARC format.

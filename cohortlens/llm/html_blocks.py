@@ -14,7 +14,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -499,7 +498,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     pages = pages.drop(*names)
     if model is None:
         usable = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") > 0)
-        sample = usable.orderBy(F.xxhash64("id", "html")).limit(train_pages).collect()
+        # hashes alone are sorted; only the pages below the last of them are sent
+        hashed = usable.withColumn("h", F.xxhash64("id", "html"))
+        last = hashed.select("h").orderBy("h").limit(train_pages).agg(F.max("h")).first()[0]
+        sample = [] if last is None else hashed.where(F.col("h") <= last).orderBy("h").limit(train_pages).collect()
         model = train([r["html"] for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(model)
     html = fresh(pages, "_html")

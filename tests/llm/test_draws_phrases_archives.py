@@ -12,7 +12,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from cohortlens.llm import archives, phrases, resampling
 from cohortlens.session import scratch_path
