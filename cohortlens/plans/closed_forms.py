@@ -6,6 +6,8 @@ one binary term, or on all levels of a category, has a closed form in the counts
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.operators import anomaly, boosting, correlation, distributions, encode, folds, importance, linear, oof, phenotypes, regression, resample
@@ -315,3 +317,23 @@ def layered_build(spark, sf):
         n = built(r["layer"], r["name"]).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r["layer"]).alias("layer"), F.lit(r["name"]).alias("name"), "n_rows")
         counts = n if counts is None else counts.unionByName(n)
     return counts
+
+
+@query("catalog_listing", """
+SELECT 'clean' AS layer, 'finished' AS name, count(*) AS n_rows FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'raw', 'customers', count(*) FROM customer
+UNION ALL SELECT 'raw', 'orders', count(*) FROM orders""")
+def catalog_listing(spark, sf):
+    """Two layers built as catalogue tables, listed from the catalogue with the rows they hold, and dropped."""
+    prefix = f"cohortlens_{uuid.uuid4().hex[:12]}_"
+    layers = [f"{prefix}raw", f"{prefix}clean"]
+    try:
+        S.build_layers(spark, {
+            layers[0]: {"orders": lambda: X.table(spark, sf, "orders"), "customers": lambda: X.table(spark, sf, "customer")},
+            layers[1]: {"finished": lambda: spark.table(f"{layers[0]}.orders").where("o_orderstatus = 'F'")}})
+        found = S.list_tables(spark, layers).collect()  # one row per table built
+        rows = [(r["layer"].removeprefix(prefix), r["name"], spark.table(f"{r['layer']}.{r['name']}").count()) for r in found]
+    finally:
+        for layer in layers:
+            spark.sql(f"DROP DATABASE IF EXISTS {layer} CASCADE")
+    return spark.createDataFrame(rows, "layer string, name string, n_rows bigint")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cohortlens.operators import anomaly, clusters, encode, folds, importance, oof, phenotypes, quality
+from cohortlens.operators import anomaly, clusters, encode, folds, importance, oof, phenotypes, quality, wide_encode
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +60,29 @@ def vector_of(model, df):
     return list(model.transform(df).select(vector_to_array("features")).first()[0])
 
 
+def test_wide_encoder_equals_the_plain_one(rows):
+    some = rows.withColumn("h", F.when(F.col("k") % 7 > 0, (F.col("k") % 7).cast("string")))
+    for min_count in (1, 50):
+        plain = encode.FeatureEncoder(["x"], ["u"], ["g", "h"], min_count=min_count).fit(some)
+        wide = wide_encode.WideEncoder(["x"], ["u"], ["g", "h"], min_count=min_count).fit(some)
+        assert wide.width() == len(plain.columns())
+        new = some.withColumn("g", F.when(F.col("k") % 9 == 0, "never seen").otherwise(F.col("g")))
+        a, b = (m.transform(new).select("k", vector_to_array("features").alias("v")).toPandas().sort_values("k")["v"].tolist() for m in (plain, wide))
+        assert np.allclose(np.array(a), np.array(b))
+    empty = wide_encode.WideEncoder(["x"], [], ["g"]).fit(some.limit(0))
+    assert vector_of(empty, some.where("k = 1")) == vector_of(empty, some.where("k = 1")) and empty.width() == 1
+
+
+def test_wide_encoder_takes_a_million_levels(spark):
+    df = spark.range(1_000_000).select(F.col("id").cast("string").alias("c"), (F.col("id") % 3).cast("double").alias("b"))
+    model = wide_encode.WideEncoder([], ["b"], ["c"]).fit(df)
+    assert model.width() == 1_000_001
+    seen = model.transform(df.where("c IN ('0', '42', '999999')").unionByName(spark.createDataFrame([("new", 1.0)], "c string, b double"))).collect()
+    assert all(r["features"].size == 1_000_001 and type(r["features"]).__name__ == "SparseVector" for r in seen)
+    places = {r["c"]: [int(i) for i in r["features"].indices if i] for r in seen}
+    assert places["new"] == [] and len({p[0] for c, p in places.items() if c != "new"}) == 3
+
+
 def prep():
     return [encode.FeatureEncoder(["x", "w"], [], ["g"])]
 
