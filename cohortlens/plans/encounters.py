@@ -60,8 +60,8 @@ NEVER_FEATURES = {
 }
 
 
-def silver(raw: DataFrame) -> DataFrame:
-    """Typed, cleaned and filtered encounters from the all-text raw table."""
+def typed_encounters(raw: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Typed and cleaned rows of the all-text raw table with their flags, none left out; ``extra`` expressions pass through."""
     typed = raw.selectExpr(
         "CAST(encounter_id AS BIGINT) AS encounter_id",
         "CAST(patient_nbr AS BIGINT) AS patient_nbr",
@@ -76,17 +76,22 @@ def silver(raw: DataFrame) -> DataFrame:
         "change AS med_change",
         "diabetesMed AS on_diabetes_med",
         "readmitted",
+        *(extra or []),
     )
     code = F.col("discharge_disposition_id")
-    flagged = typed.withColumns({
+    return typed.withColumns({
         "is_expired": code.isin(EXPIRED),
         "is_hospice": code.isin(HOSPICE),
         "readmitted_30d": C.flag(F.col("readmitted") == "<30"),
         "a1c_tested": C.flag(F.col("a1c_result").isNotNull()),
         "med_changed": C.flag(F.col("med_change") == "Ch"),
     })
+
+
+def silver(raw: DataFrame) -> DataFrame:
+    """Typed, cleaned and filtered encounters from the all-text raw table."""
     return cohort.without_entities(
-        flagged.where(~F.col("is_expired") & F.col("gender").isNotNull()),
+        typed_encounters(raw).where(~F.col("is_expired") & F.col("gender").isNotNull()),
         post_expired_patients(raw),
         "patient_nbr",
     )
@@ -145,32 +150,40 @@ def add_features(df: DataFrame) -> DataFrame:
     return out.fillna("Missing", subset=[c for c in fill if c in out.columns])
 
 
-def dq_report(raw: DataFrame, clean: DataFrame, survey: DataFrame | None = None) -> DataFrame:
-    """Metric/value report: one aggregate per source, then unpivoted."""
-    code = F.col("discharge_disposition_id").cast("int")
-    parts = [
-        profile.tall_metrics(raw, {
-            "bronze_encounter_rows": F.count(F.lit(1)),
-            "dropped_expired": F.count_if(code.isin(EXPIRED)),
-            "dropped_unknown_gender": F.count_if(~F.col("gender").isin("Male", "Female")),
-        }),
-        profile.tall_metrics(clean, {
-            "silver_encounter_rows": F.count(F.lit(1)),
-            "retained_hospice": F.sum(F.col("is_hospice").cast("int")),
-            "distinct_patients": F.count_distinct("patient_nbr"),
-            "readmit_30d_positives": F.sum("readmitted_30d"),
-            "null_race": F.count_if(F.col("race").isNull()),
-            "null_payer_code": F.count_if(F.col("payer_code").isNull()),
-            "null_medical_specialty": F.count_if(F.col("medical_specialty").isNull()),
-            "a1c_tested": F.sum("a1c_tested"),
-        }),
-        profile.tall_metrics(post_expired_patients(raw), {"excluded_post_death_sequence": F.count(F.lit(1))}),
-    ]
+def dq_report(raw: DataFrame, survey: DataFrame | None = None) -> DataFrame:
+    """Metric/value report from one pass over the raw rows.
+
+    Rows are reduced to counts and flags per patient, which decide whether the patient is left out, and
+    these are summed up.
+    """
+    rows = typed_encounters(raw, ["gender AS _raw_gender"])
+    kept = F.coalesce(~F.col("is_expired") & F.col("gender").isNotNull(), F.lit(False))
+    silver_counts = {
+        "silver_encounter_rows": kept,
+        "retained_hospice": kept & F.col("is_hospice"),
+        "readmit_30d_positives": kept & (F.col("readmitted_30d") == 1),
+        "null_race": kept & F.col("race").isNull(),
+        "null_payer_code": kept & F.col("payer_code").isNull(),
+        "null_medical_specialty": kept & F.col("medical_specialty").isNull(),
+        "a1c_tested": kept & (F.col("a1c_tested") == 1),
+    }
+    patients = rows.groupBy("patient_nbr").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if("is_expired").alias("_expired"),
+        F.count_if(~F.col("_raw_gender").isin("Male", "Female")).alias("_unknown"),
+        F.min(F.when(F.col("is_expired"), F.col("encounter_id"))).alias("_first_absorbing"), F.max("encounter_id").alias("_last"),
+        *[F.count_if(c).alias(f"_k_{name}") for name, c in silver_counts.items()])
+    late = F.coalesce(F.col("_last") > F.col("_first_absorbing"), F.lit(False))
+    stays = ~late | F.col("patient_nbr").isNull()
+    out = profile.tall_metrics(patients, {
+        "bronze_encounter_rows": F.sum("_rows"),
+        "dropped_expired": F.sum("_expired"),
+        "dropped_unknown_gender": F.sum("_unknown"),
+        "distinct_patients": F.count_if(stays & (F.col("_k_silver_encounter_rows") > 0) & F.col("patient_nbr").isNotNull()),
+        "excluded_post_death_sequence": F.count_if(late),
+        **{name: F.sum(F.when(stays, F.col(f"_k_{name}")).otherwise(0)) for name in silver_counts},
+    })
     if survey is not None:
-        parts.append(profile.tall_metrics(survey, {"brfss_rows": F.count(F.lit(1))}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(profile.tall_metrics(survey, {"brfss_rows": F.count(F.lit(1))}))
     return out
 
 

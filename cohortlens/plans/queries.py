@@ -168,8 +168,7 @@ UNION ALL SELECT 'a1c_tested', CAST(sum(a1c_tested) AS BIGINT) FROM silver
 UNION ALL SELECT 'brfss_rows', count(*) FROM customer
 UNION ALL SELECT 'excluded_post_death_sequence', count(*) FROM post_expired""")
 def dq_report(spark, sf):
-    raw = X.raw_encounters(spark, sf)
-    return E.dq_report(raw, E.silver(raw), X.survey_clean(spark, sf))
+    return E.dq_report(X.raw_encounters(spark, sf), X.survey_clean(spark, sf))
 
 
 @query("disposition_audit", O.ENCOUNTERS + """

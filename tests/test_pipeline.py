@@ -62,7 +62,7 @@ def test_cohort_equals_first_fact_row_in_any_input_order(raw):
 
 
 def test_dq_report(raw):
-    got = {r["metric"]: r["value"] for r in E.dq_report(raw, E.silver(raw)).collect()}
+    got = {r["metric"]: r["value"] for r in E.dq_report(raw).collect()}
     assert got["bronze_encounter_rows"] == 10 and got["silver_encounter_rows"] == 6
     assert got["dropped_expired"] == 2 and got["dropped_unknown_gender"] == 1
     assert got["excluded_post_death_sequence"] == 1 and got["retained_hospice"] == 1 and got["distinct_patients"] == 4
