@@ -123,6 +123,8 @@ class Mix:
         begun = {r["k"]: r["n"] for r in self.blocks.where("state <> 'none'").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
         draws = [e * b + begun.get(i, 0) for i, (e, b) in enumerate(zip(epochs, n_blocks))]
         self.cuts = np.cumsum(split_tree(draws, shards, seed), axis=0).T.tolist()
+        # a row a source, like the catalogue
+        self.ends = materialize(table_of(spark, {"k": ("int", list(range(len(self.cuts)))), "cuts": ("array<bigint>", self.cuts)}))
         self.n_blocks, self.epochs, self.shards, self.seed = n_blocks, epochs, shards, seed
 
     def taken(self, rows: DataFrame | None = None) -> DataFrame:
@@ -160,13 +162,11 @@ class Mix:
         joined = facts.join(self.catalogue, facts.source.eqNullSafe(self.catalogue.name)).drop("name")
         return joined.withColumn("block", F.expr("pmod(h, n_blocks)"))
 
-    def shards_of(self) -> Column:
-        """Shards of a document's draws, one per copy: the run of its source's permuted draws that each block draw falls in."""
-        if not self.cuts:  # no sources, no rows
-            return F.array().cast("array<int>")
-        cuts = F.get(F.array(*[F.array(*[F.lit(int(c)) for c in cut]) for cut in self.cuts]), F.col("k"))
+    def with_shards(self, taken: DataFrame) -> DataFrame:
+        """Add ``shards``, one per copy: the run of its source's permuted draws that each block draw falls in."""
         epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(epochs, lambda e: F.size(F.filter(cuts, lambda c: c <= e.cast("bigint") * F.col("n_blocks") + F.col("rank"))))
+        shards = F.transform(epochs, lambda e: F.size(F.filter("cuts", lambda c: c <= e.cast("bigint") * F.col("n_blocks") + F.col("rank"))))
+        return taken.join(self.ends, "k").withColumn("shards", shards)
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
@@ -177,8 +177,9 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     taken is the same up to exchange; an empty table stays empty. Texts are counted whole, one at a time.
     """
     mix = Mix(docs, **options)
-    return mix.taken().select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
-                              F.array_join(mix.shards_of().cast("array<string>"), ",").alias("shards"))
+    return mix.with_shards(mix.taken()).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
+        F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -190,6 +191,6 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
     drawn = mix.taken(mix.placed(docs, id_col, text_col, source_col)).where("copies > 0")
-    out = drawn.select("row", "h", F.posexplode(mix.shards_of()).alias("epoch", "shard"))
+    out = mix.with_shards(drawn).select("row", "h", F.posexplode("shards").alias("epoch", "shard"))
     dealt = out.repartition("shard", F.pmod("h", F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed), "epoch", "h"))
     return dealt.select("row.*", *([F.col("shard").alias(shard_col)] if shard_col else []))
