@@ -16,6 +16,7 @@ from cohortlens.operators.association import adjust_fdr
 from cohortlens.operators.encode import design_columns
 from cohortlens.operators.profile import cooccurrence
 from cohortlens.operators.quality import require_domain
+from cohortlens.session import discard, is_scan, materialize
 
 #: A larger model's likelihood may fall short of a smaller one's by so much (rounding of two converged fits).
 LIKELIHOOD_SLACK = 1e-6
@@ -58,6 +59,8 @@ def fit_logit(df: DataFrame, outcome: str, columns: list[str], categorical: list
     wide, terms = design_columns(df, list(columns), list(categorical))
     vec = VectorAssembler(inputCols=[f"x_{t}" for t in terms], outputCol="_x").transform(wide)
     data = vec.select("_x", F.col(outcome).cast("double").alias("_y"))
+    if not is_scan(data):  # every iteration and statistic reads it
+        data = materialize(data)
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=1e-10)
     model = glm.fit(data)
@@ -69,8 +72,10 @@ def fit_logit(df: DataFrame, outcome: str, columns: list[str], categorical: list
     order = [last, *range(last)]
     coef = [*model.coefficients, model.intercept]
     se, p = s.coefficientStandardErrors, s.pValues
-    return LogitFit(outcome, ["const", *terms], [float(coef[i]) for i in order], [float(se[i]) for i in order],
-                    [float(p[i]) for i in order], s.numInstances, -s.deviance / 2, -s.nullDeviance / 2)
+    fit = LogitFit(outcome, ["const", *terms], [float(coef[i]) for i in order], [float(se[i]) for i in order],
+                   [float(p[i]) for i in order], s.numInstances, -s.deviance / 2, -s.nullDeviance / 2)
+    discard(data)
+    return fit
 
 
 def odds_table(spark: SparkSession, fits: list[LogitFit]) -> DataFrame:
