@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.boosting import Model, Tree, _matrix, margins, sigmoid
+from cohortlens.session import spread
 
 #: Rows explained at a time.
 STEP = 2_048
@@ -157,14 +158,24 @@ def tree_contributions(rows: DataFrame, key: str, model: Model, background: np.n
         if not explainer:
             explainer.append(Explainer(model, background, probability))
         for batch in batches:
+            values = _matrix(batch.column(1), len(model.cuts))
+            # rows in the same bins have the same contributions
+            _, some, which = np.unique(_row_bytes(model.bins_of(values)), return_index=True, return_inverse=True)
+            distinct = [explainer[0].explain(values[some[i: i + STEP]]) for i in range(0, len(some), STEP)]
+            scores, shares_ = (np.concatenate(c) for c in zip(*distinct)) if distinct else (None, None)
             for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
-                p, phi = explainer[0].explain(_matrix(part.column(1), len(model.cuts)))
+                part, at = batch.slice(i, STEP), which[i: i + STEP]
+                p, phi = scores[at], shares_[at]
                 ends = pa.array(np.arange(len(phi) + 1, dtype=np.int32) * phi.shape[1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(p), explainer[0].base)), pa.array(p),
                                                   pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=[key, "base", "p", "phi"])
 
-    return rows.select(key, "features").mapInArrow(run, f"`{key}` {kind}, base double, p double, phi array<double>")
+    return spread(rows.select(key, "features")).mapInArrow(run, f"`{key}` {kind}, base double, p double, phi array<double>")
+
+
+def _row_bytes(bins: np.ndarray) -> np.ndarray:
+    """Every row as one value that can be compared."""
+    return np.ascontiguousarray(bins).view(np.dtype((np.void, max(1, bins.shape[1])))).ravel() if bins.shape[1] else np.zeros(len(bins))
 
 
 def background_rows(rows: DataFrame, n: int = 100) -> np.ndarray:
