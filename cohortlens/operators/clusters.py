@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, types as T
 
-from cohortlens.operators.boosting import _matrix
+from cohortlens.operators.boosting import _matrix, summed
 from cohortlens.operators.folds import SEED, hash_sample
+from cohortlens.session import spread
 
 STEP = 8_192
 #: Rows the first centres are drawn from, by the usual rule of squared distances.
@@ -44,7 +45,7 @@ def row_blocks(vectors: DataFrame, column: str = "features") -> RDD:
                 width = len(batch.column(0)[0])
                 yield pa.RecordBatch.from_arrays([pa.array([width]), pa.array([_matrix(batch.column(0), width).tobytes()])], names=["width", "x"])
 
-    packed = vectors.select(column).mapInArrow(pack, "width bigint, x binary")
+    packed = spread(vectors.select(column)).mapInArrow(pack, "width bigint, x binary")
     return packed.rdd.map(lambda r: np.frombuffer(r["x"], np.float64).reshape(-1, r["width"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -60,7 +61,7 @@ def _tree_sum(blocks: RDD, of: Callable[[np.ndarray], list[np.ndarray]]) -> list
     def add(a: list | None, b: list | None) -> list | None:
         return b if a is None else a if b is None else [x + y for x, y in zip(a, b)]
 
-    return blocks.mapPartitions(run).treeReduce(add)
+    return summed(blocks.mapPartitions(run), add)
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
