@@ -15,6 +15,7 @@ from cohortlens.operators.boosting import Model, _matrix, sigmoid
 from cohortlens.operators.evaluation import rank_metrics
 from cohortlens.operators.folds import SEED, hash_sample, key_hash
 from cohortlens.operators.tree_shap import background_rows, tree_contributions
+from cohortlens.session import spread
 from cohortlens.sources.tables import write_metadata, write_rows
 
 #: Rows whose columns are shuffled among each other.
@@ -62,7 +63,7 @@ def permutation_importance(
                    pa.array(np.concatenate([o[4] for o in out]))]
         return pa.table(columns, names=order)
 
-    scored = rows.groupBy("fold", "_block").applyInArrow(score, schema)
+    scored = spread(rows, "fold", "_block").groupBy("fold", "_block").applyInArrow(score, schema)
     ap = rank_metrics(scored, "y", ["label", "fold", "feature", "repeat"]).select("label", "fold", "feature", "repeat", "pr_auc")
     base = ap.where("feature = ''").select("label", "fold", F.col("pr_auc").alias("base"))
     # one row per label and fold
