@@ -1,5 +1,6 @@
 """Page text, cover tree, mixing, toxicity, suffix tree and the pipeline."""
 
+import pickle
 import time
 import zlib
 from collections import Counter
@@ -303,6 +304,39 @@ def test_index_finds_the_nearest():
         assert np.allclose(cosine, scores) and np.allclose((dense @ q)[at], cosine)
 
 
+def test_index_of_packed_examples():
+    """Examples stay packed on the driver; the arrays are made where the first query comes, and give the same neighbours."""
+    rng = np.random.default_rng(9)
+    vectors = [(np.sort(rng.choice(3000, rng.integers(0, 60), replace=False)).astype(np.int32), None) for _ in range(1500)]
+    vectors = [(at, rng.integers(1, 4, len(at)).astype(np.int32)) for at, _ in vectors]
+    vectors[7] = (vectors[7][0], vectors[7][1] + 70_000)
+    idf, labels = rng.random(3000) + 0.5, rng.integers(0, 2, 1500)
+    index = toxicity.Index([toxicity.packed_vector(v) for v in vectors], labels, idf)
+    assert not any(isinstance(x, np.ndarray) and len(x) > 3000 for x in vars(index).values())
+    dense = np.zeros((1500, 3000))
+    for place, i in enumerate(index.rows):
+        dense[place, vectors[i][0]] = index.unit(*vectors[i])[1]
+    sent = pickle.loads(pickle.dumps(index))
+    for v, (at, cosine) in zip(vectors[:150], sent.nearest_of(vectors[:150])):
+        q = np.zeros(3000)
+        q[v[0]] = sent.unit(*v)[1]
+        scores = dense @ q
+        assert np.allclose(cosine, np.sort(scores[scores > 0])[::-1][:15], atol=1e-6) and np.allclose(scores[at], cosine, atol=1e-6)
+
+
+def test_terms_of_remembered_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "_MEMORY", 50)
+    rng = np.random.default_rng(10)
+    words = [bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 9)).tolist()) for _ in range(300)]
+    numbers = {t: i for i, t in enumerate(sorted({t for w in words[:200] for t in toxicity.terms_of(w)}))}
+    extract = toxicity.Extractor(numbers)
+    for _ in range(100):
+        text = rng.choice(words, rng.integers(0, 40)).tolist()
+        brute = Counter(numbers[t] for w in text for t in toxicity.terms_of(w) if t in numbers)
+        at, n = extract.vector(b" ".join(text))
+        assert dict(zip(at.tolist(), n.tolist())) == brute and at.tolist() == sorted(brute) == extract.held(b" ".join(text)).tolist()
+
+
 def test_suffix_tree(spark, documents, empty):
     rng = np.random.default_rng(7)
     chain = {w: rng.permutation(20)[:3] for w in range(20)}
