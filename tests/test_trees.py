@@ -75,6 +75,24 @@ def test_boosting_equals_plain_boosting(spark, data, monkeypatch):
     assert nodes.where("low IS NULL AND value IS NULL").isEmpty() and nodes.select("model", "tree").distinct().count() == 16
 
 
+@pytest.mark.parametrize("alone", [0, 250, 1 << 16])
+def test_models_of_few_rows_grow_without_a_job_for_each_level(spark, data, monkeypatch, alone):
+    """All models over blocks, one of two, or none: the same trees, and jobs that do not go with the rounds."""
+    x, y = data
+    s = boosting.Settings(rounds=12, rows=0.7, columns=0.5, least_weight=1.0)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    expected, _ = boosting.fit_boosted(table(spark, x, y), "k", s)
+    monkeypatch.setattr(boosting, "ALONE", alone)
+    passes = []
+    monkeypatch.setattr(boosting, "_level_sums", lambda *a, sums=boosting._level_sums: passes.append(1) or sums(*a))
+    got, _ = boosting.fit_boosted(table(spark, x, y), "k", s)
+    assert bool(passes) == (alone < 1 << 16)
+    for name, model in expected.items():
+        assert len(got[name].trees) == len(model.trees) == 12
+        for a, b in zip(got[name].trees, model.trees):
+            assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value, rtol=0, atol=1e-9)
+
+
 def test_boosting_does_not_depend_on_partitions_and_samples_rows_and_columns(spark, data):
     x, y = data
     s = boosting.Settings(rounds=12, rows=0.7, columns=0.5, least_weight=1.0)
