@@ -366,6 +366,25 @@ def test_suffix_tree(spark, documents, empty):
     assert all(r.score == r.base_score and r.train_tokens == 0 for r in nothing)
 
 
+def test_words_are_hashed_and_classed_together():
+    """All words of a step at once, with the hashes and classes of each alone."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(11)
+    words = [b"a", b"ab.", b"...", b"\x00\x00z", "né,".encode(), "日本語".encode(), b"don't", b"(x)"]
+    words += list({bytes(rng.integers(33, 256, rng.integers(1, 9)).astype(np.uint8).tolist()) for _ in range(500)} - set(words))
+
+    def alone(word):
+        bare = word.rstrip(b".,;:!?\"')")
+        return (sum(c * 31 ** i for i, c in enumerate(bare[-3:])) * 2 + (len(bare) < len(word))) % suffix_tree.CLASSES
+
+    assert suffix_tree.word_classes(words).tolist() == [alone(w) for w in words]
+    assert suffix_tree.word_hashes(words).tolist() == [x - (1 << 64) if (x := xxh64_intdigest(w)) >> 63 else x for w in words]
+    frequent = {int(h): 2 + i for i, h in enumerate(suffix_tree.word_hashes(words[:5]))} | {suffix_tree.END_HASH: suffix_tree.END}
+    parts, _, symbols = suffix_tree.Words(frequent, 7).symbols([b"a ab. a", b"", b"(x) ..."])
+    assert [symbols[p].tolist() for p in parts] == [[2, 3, 2], [], [7 + alone(b"(x)"), 4]]
+
+
 def test_tree_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(8)
     size, unknown = 6, 0.01
