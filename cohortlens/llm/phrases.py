@@ -234,7 +234,7 @@ def _index_rows(shards: DataFrame, ids: DataFrame, depth: int) -> DataFrame:
                          "n_ids": pa.array([len(known)] * len(out["shard"]), pa.int32())})
 
     rows = shards.select("shard", "size", "codes").groupBy("shard").cogroup(ids.select("shard", "code", "id").groupBy("shard"))
-    return materialize(rows.applyInArrow(build, "shard bigint, size int, forward binary, backward binary, ids binary, n_ids int"))
+    return materialize(rows.applyInArrow(build, "shard bigint, size int, forward binary, backward binary, ids binary, n_ids int"), free=True)
 
 
 def _load(size: int, forward: bytes, backward: bytes, ids: bytes, n_ids: int) -> ShardIndex:
@@ -295,21 +295,21 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     of_word = Window.partitionBy("lang", "word")
     held = entries.select("shard", "lang", (F.col("at") + 1).alias("code"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
     held = held.withColumns({"f": F.sum("n").over(of_word), "first": F.min(F.struct("shard", "code")).over(of_word)}).where(F.col("f") >= least)
-    held = materialize(held.select("shard", "code", "lang", "word", "f", "first"))
+    held = materialize(held.select("shard", "code", "lang", "word", "f", "first"), free=True)
     own = F.col("first") == F.struct("shard", "code")
     named, n_words = number_rows(held.where(own).select("first", "lang", "word", "f"), ["lang", "word"], "id")
     if n_words >= 1 << 31:
         raise ValueError("more frequent words than ids")
-    named = materialize(named)
+    named = materialize(named, free=True)
     ids = held.join(named.select("first", "id"), "first").select("shard", "code", "id")
     indexes = _index_rows(shards, ids, longest)
     discard(shards)
     over = F.sum("n").over(Window.partitionBy("pair"))
-    pairs = materialize(_pair_rows(indexes).withColumn("f", over).where(F.col("f") >= least).select("shard", "pair", "f"))
+    pairs = materialize(_pair_rows(indexes).withColumn("f", over).where(F.col("f") >= least).select("shard", "pair", "f"), free=True)
     singles = named.select(F.array(F.col("id").cast("int")).alias("words"), "f")
     two = pairs.dropDuplicates(["pair"]).select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND((1 << 32) - 1).cast("int")).alias("words"), "f")
     more = _longer_rows(indexes, pairs, longest).groupBy("words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    grams = materialize(singles.unionByName(two if longest > 1 else two.limit(0)).unionByName(more))
+    grams = materialize(singles.unionByName(two if longest > 1 else two.limit(0)).unionByName(more), free=True)
     for used in (indexes, pairs, held):
         discard(used)
     return grams, named.select("id", "lang", F.col("word").cast("string").alias("word")), totals

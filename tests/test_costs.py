@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortlens.operators import anomaly, boosting, clusters, linear, ordered, regression, resample, tree_shap
+from cohortlens.session import materialize
 
 
 def one_partition(spark, n=20_000):
@@ -104,3 +105,17 @@ def test_cluster_blocks_and_forest_scores_use_all_cores(spark):
     assert clusters.row_blocks(rows).getNumPartitions() == cores
     model = anomaly.IsolationForest(["id"], "id", trees=2).fit(rows)
     assert model.transform(rows).rdd.getNumPartitions() == cores
+
+
+def test_freed_shuffle_files_go_with_the_write(spark):
+    """A write that frees its shuffles leaves none for the driver's garbage collection, and the setting as it was."""
+    def left(free):
+        before = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+        df = spark.range(5_000).groupBy((F.col("id") % 100).alias("k")).count()
+        assert materialize(df, free=free).count() == 100
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size() - before
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    kept, freed = left(False), left(True)
+    assert freed < kept and spark.conf.get(setting) == was
