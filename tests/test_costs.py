@@ -1,5 +1,7 @@
 """How often rows are read or weighted, and over how many tasks costly steps are dealt."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -109,13 +111,14 @@ def test_cluster_blocks_and_forest_scores_use_all_cores(spark):
 
 def test_freed_shuffle_files_go_with_the_write(spark):
     """A write that frees its shuffles leaves none for the driver's garbage collection, and the setting as it was."""
-    def left(free):
-        before = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
-        df = spark.range(5_000).groupBy((F.col("id") % 100).alias("k")).count()
-        assert materialize(df, free=free).count() == 100
-        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size() - before
+    def shuffles() -> set[str]:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+        return {f for f in files.split("|") if "/shuffle_" in f}
 
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(setting)
-    kept, freed = left(False), left(True)
-    assert freed < kept and spark.conf.get(setting) == was
+    was, before = spark.conf.get(setting), shuffles()
+    written = materialize(spark.range(5_000).groupBy((F.col("id") % 100).alias("k")).count(), free=True)
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:  # files go in the background
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(setting) == was and written.count() == 100
