@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -324,6 +325,52 @@ def test_index_of_packed_examples():
         assert np.allclose(cosine, np.sort(scores[scores > 0])[::-1][:15], atol=1e-6) and np.allclose(scores[at], cosine, atol=1e-6)
 
 
+def test_index_of_clusters_and_columns():
+    """Terms that many texts of a batch and many examples of a cluster hold are summed by matrix products; nothing is lost or counted twice."""
+    rng = np.random.default_rng(12)
+
+    def vector():
+        language = int(rng.integers(0, 3))
+        own = np.unique(np.concatenate([language * 400 + (60 * rng.random(25) ** 2).astype(int), language * 400 + rng.integers(60, 400, 12), 1200 + rng.integers(0, 30, 3)]))
+        return own.astype(np.int32), rng.integers(1, 4, len(own)).astype(np.int32)
+
+    vectors, queries = [vector() for _ in range(2500)], [vector() for _ in range(1100)]
+    idf = rng.random(1300) + 0.5
+    index = toxicity.Index(vectors, rng.integers(0, 2, 2500), idf)
+    index._build()
+    products = []
+    index._columns = lambda c, chosen, f=index._columns: products.append((c, len(chosen))) or f(c, chosen)
+    dense = np.zeros((2500, 1300))
+    for place, i in enumerate(index.rows):
+        at, w = index.unit(*vectors[i])
+        dense[place, at] = w
+    for v, (at, cosine) in zip(queries, index.nearest_of(queries)):
+        at_, w = index.unit(*v)
+        scores = dense[:, at_] @ w
+        assert np.allclose(cosine, np.sort(scores)[::-1][:15], atol=1e-6) and np.allclose(scores[at], cosine, atol=1e-6)
+    assert len({c for c, _ in products}) > 1 and sum(n for _, n in products) > 50
+    own = index.nearest_of([vectors[i] for i in index.rows[:900]], leave=list(range(900)))
+    assert all(place not in at for place, (at, _) in enumerate(own))
+
+
+def test_index_takes_memory_for_entries_alone():
+    """Many short examples: no matrix of all examples and widely held terms stands beside the lists."""
+    rng = np.random.default_rng(13)
+    vectors = [(np.sort(rng.choice(20_000, 8, replace=False)).astype(np.int32), np.ones(8, np.int32)) for _ in range(8000)]
+    index = toxicity.Index(vectors, rng.integers(0, 2, 8000), rng.random(20_000) + 0.5)
+    assert len(index.nearest(vectors[5])[0])
+    assert sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray)) < 8 << 20
+
+
+def test_vocabulary_travels_as_an_arrow_array():
+    names = pa.array([b"", b"a", b"ab*", "né".encode()], pa.binary())
+    sent = pickle.loads(pickle.dumps(toxicity.Vocabulary(names)))
+    assert sent.names.equals(names) and len(pickle.loads(pickle.dumps(toxicity.Vocabulary(names[:0]))).names) == 0
+    total = np.zeros(3, np.int64)
+    toxicity.Extractor({b"a": 0, b"abcd*": 1, b"abcde": 2}).count([b"a A a abcde", b"", b"abcdz  ", b"\xff abcd"], total)
+    assert total.tolist() == [1, 2, 1]
+
+
 def test_terms_of_remembered_words(monkeypatch):
     monkeypatch.setattr(toxicity, "_MEMORY", 50)
     rng = np.random.default_rng(10)
