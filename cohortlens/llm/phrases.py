@@ -25,7 +25,7 @@ tables give no phrases. Repeated rows count as often as they occur.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -40,8 +40,8 @@ from cohortlens.session import discard, materialize
 SHARD = 1 << 21
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 22
-#: Rows of one Arrow batch of counts.
-_BATCH = 200_000
+#: Rows of one Arrow batch of counts, and texts that are made Python objects together.
+_BATCH, _TEXTS = 200_000, 500
 #: A-Z folded, white space inside pieces to spaces, piece ends to a byte that no UTF-8 text holds.
 _END = b"\xff"
 _SYMBOLS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -93,8 +93,8 @@ def text_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shards: dict[str, _Shard] = {}
         total = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+        for part in (batch.slice(i, _TEXTS) for batch in batches for i in range(0, batch.num_rows, _TEXTS)):
+            for lang, text in zip(part.column(0).to_pylist(), raw_texts(part.column(1))):
                 text, first = (text or b"").translate(_SYMBOLS) + _END, 0
                 while first < len(text):
                     # a cut at a space does not end the piece
@@ -152,10 +152,17 @@ class Index:
         return np.searchsorted(self.places, symbol * self.n + low)
 
 
-def extend(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All one-word extensions of patterns with intervals [low, low + size) here and starts ``other`` in the other index.
+def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of a sorted array begin, and their lengths."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(start, append=len(key))
+
 
-    Returns (pattern number, symbol, low, size, other) of the longer patterns.
+def extend(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The one-word extensions of patterns with intervals [low, low + size) here and starts ``other`` in the other index.
+
+    Returns (pattern number, symbol, low, size, other) of the longer patterns that ``wanted`` (of pattern
+    numbers and symbols) holds for.
     """
     first = np.cumsum(size) - size
     rows = np.repeat(low - first, size)
@@ -164,14 +171,28 @@ def extend(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray) -
     key += index.transform[rows]
     del rows
     key.sort()
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([start, [len(key)]]))
-    owner, symbol = np.divmod(key[start], index.symbols)
-    word = symbol > 0
-    owner, symbol, start, n = owner[word], symbol[word], start[word], n[word]
+    start, n = runs_of(key)
+    key = key[start]
+    word = np.flatnonzero(key % index.symbols)
+    start, n, key = start[word], n[word], key[word]
+    owner, symbol = np.divmod(key, index.symbols)
+    keep = np.flatnonzero(wanted(owner, symbol))
+    owner, symbol, start, n = owner[keep], symbol[keep], start[keep], n[keep]
     return owner, symbol, index.step(symbol, low[owner]), n, other[owner] + start - first[owner]
 
 
+def pair_counts(transform: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, count) of all patterns of two words: a row's symbol stands before the one that its suffix begins with."""
+    starts = np.cumsum(np.bincount(transform, minlength=symbols))
+    key = np.repeat(np.arange(1, symbols) * symbols, np.diff(starts))
+    key += transform[starts[0]:]
+    key.sort()
+    start, n = runs_of(key)
+    second, first = np.divmod(key[start], symbols)
+    word = first > 0
+    return first[word], second[word], n[word]
+
+
 class ShardIndex:
     """Both indexes of a shard; patterns are arrays of local symbols 1, 2, ..., which stand for ``ids``."""
 
@@ -179,35 +200,30 @@ class ShardIndex:
         self.ids = ids
         self.forward, self.backward = (Index(t, len(ids) + 1) for t in (forward, backward))
 
-    def pairs(self) -> tuple[np.ndarray, ...]:
-        """(words, forward low, size, backward low) of all patterns of two words."""
+    def pairs(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda first, second: np.ones(len(first), bool)) -> tuple[np.ndarray, ...]:
+        """(words, forward low, size, backward low) of the patterns of two words that ``wanted`` holds for."""
         starts = self.forward.starts
-        low, size = starts[1:-1], np.diff(starts)[1:]
-        owner, symbol, f, n, b = extend(self.forward, low, size, low)
+        low = starts[1:-1]
+        owner, symbol, f, n, b = extend(self.forward, low, np.diff(starts)[1:], low, lambda owner, symbol: wanted(symbol, owner + 1))
         return np.stack([symbol, owner + 1], 1), f, n, b
 
     def longer(self, frequent: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(words, counts) of patterns of 3, 4, ... words all of whose pairs are ``frequent`` (sorted first * symbols + second)."""
         n_symbols = self.forward.symbols
-        words, f, n, b = self.pairs()
 
         def known(first: np.ndarray, second: np.ndarray) -> np.ndarray:
             key = first * n_symbols + second
             at = np.searchsorted(frequent, key)
             return frequent[np.minimum(at, len(frequent) - 1)] == key if len(frequent) else np.zeros(len(key), bool)
 
-        keep = known(words[:, 0], words[:, 1])
-        words, f, n, b = words[keep], f[keep], n[keep], b[keep]
+        words, f, n, b = self.pairs(known)
         for length in range(3, longest + 1):
             if length % 2:  # to the right
-                owner, symbol, b, n, f = extend(self.backward, b, n, f)
-                keep = known(words[owner, -1], symbol)
+                owner, symbol, b, n, f = extend(self.backward, b, n, f, lambda owner, symbol: known(words[owner, -1], symbol))
                 words = np.concatenate([words[owner], symbol[:, None]], 1)
             else:
-                owner, symbol, f, n, b = extend(self.forward, f, n, b)
-                keep = known(symbol, words[owner, 0])
+                owner, symbol, f, n, b = extend(self.forward, f, n, b, lambda owner, symbol: known(symbol, words[owner, 0]))
                 words = np.concatenate([symbol[:, None], words[owner]], 1)
-            words, f, n, b = words[keep], f[keep], n[keep], b[keep]
             yield words, n
 
 
@@ -248,17 +264,16 @@ def _pair_rows(indexes: DataFrame) -> DataFrame:
     """(shard, pair, n): every two-word pattern of every shard; a pair is first id << 32 | second id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                index = _load(*row)
-                words, _, n, _ = index.pairs()
-                pair = index.ids[words[:, 0] - 1] << 32 | index.ids[words[:, 1] - 1]
-                for i in range(0, len(n), _BATCH):
-                    part = slice(i, i + _BATCH)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard, pa.int64()), len(n[part])), pa.array(pair[part]), pa.array(n[part].astype(np.int64))],
-                                                     names=["shard", "pair", "n"])
-
-    return indexes.select("shard", *_INDEX).mapInArrow(run, "shard bigint, pair bigint, n bigint")
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            shard, size, forward, ids, n_ids = (c[0].as_py() for c in row.columns)
+            ids = _unpacked(ids, n_ids).astype(np.int64)
+            first, second, n = pair_counts(_unpacked(forward, size), n_ids + 1)
+            for i in range(0, len(n), _BATCH):
+                part = slice(i, i + _BATCH)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard, pa.int64()), len(n[part])), pa.array(ids[first[part] - 1] << 32 | ids[second[part] - 1]),
+                                                  pa.array(n[part].astype(np.int64))], names=["shard", "pair", "n"])
+
+    return indexes.select("shard", "size", "forward", "ids", "n_ids").mapInArrow(run, "shard bigint, pair bigint, n bigint")
 
 
 def _longer_rows(indexes: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:

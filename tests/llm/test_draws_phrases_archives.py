@@ -155,6 +155,15 @@ def test_index_counts_every_pattern(codes, longest):
     assert got == want
 
 
+def test_pairs_are_counted_from_one_transform():
+    rng = np.random.default_rng(14)
+    for size, words in ((0, 3), (1, 3), (40, 4), (3000, 30)):
+        codes = np.append(rng.integers(0, words + 1, size), 0).astype(np.int32)
+        first, second, n = phrases.pair_counts(phrases.sorted_transform(codes, 2), words + 1)
+        want = Counter((a, b) for a, b in zip(codes.tolist(), codes[1:].tolist()) if a and b)
+        assert dict(zip(zip(first.tolist(), second.tolist()), n.tolist())) == want
+
+
 NASTY = ["<p>a</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "\r\n\r\n", "é" * 3000, "\x00\x01", "line\nline\r\n",
          "HTTP/1.1 200 OK\r\n\r\n"]
 
