@@ -29,7 +29,7 @@ from cohortlens.session import discard, materialize
 
 BLOCK_TOKENS = 1 << 20
 #: Rows and bytes handed to the tokenizer at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 4 << 20
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -38,11 +38,13 @@ _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     width = 2 if not len(ranks) or ranks.max() <= 0xFFFF else 4
+    codes = (ranks > 0xFF).view(np.uint8)
+    if width == 4:
+        codes = codes + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) <= codes[:, None]]
-    four = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
-    control = (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    four = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)])
+    control = four[::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
     return control.tobytes(), data.tobytes()
 
 
@@ -145,7 +147,7 @@ def write_files(encoded: DataFrame, ranks: DataFrame, kind_of_id: str) -> DataFr
         def flush() -> pa.RecordBatch:
             control, data = encode_ranks(shared.value[np.frombuffer(b"".join(blobs), kind_of_id)])
             return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([block]), pa.array([pa.array(ids, kind).to_pylist()], pa.list_(kind)),
+                [pa.array([part]), pa.array([block]), pa.array([ids], pa.list_(kind)),
                  pa.array([[len(b) // width for b in blobs]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["part", "block", "docs", "counts", "control", "data"])
 

@@ -16,14 +16,16 @@ from collections import defaultdict
 from itertools import chain, count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from cohortlens.llm.common import LOWER
 
 #: Distinct pieces a worker remembers before it starts anew (about 150 MB).
 MEMORY_WORDS = 800_000
 _BEFORE_OTHER = re.compile(rb"[A-Z](?=[\x80-\xff])")
-#: a-z and the small letters of Latin-1, in UTF-8
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+#: the letters of ASCII and Latin-1, in UTF-8
+_LETTERS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _STOPS = (b".", b",", b";", b":")
 _STOP_BYTES = frozenset(b".,;:")
 _WORKER: dict[str, "WordTokens"] = {}
@@ -140,14 +142,15 @@ class WordTokens:
             for w in _STOPS:
                 self.index[w]
             self._learn(list(_STOPS))
-        number = self.index.__getitem__
-        pieces = [folded(t).split() for t in texts]
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        got = np.fromiter(map(number, chain.from_iterable(pieces)), np.int64, int(lens.sum()))
+        # Arrow finds the distinct pieces of the texts, and only these are looked up; the view is not checked to be UTF-8
+        pieces = pc.ascii_split_whitespace(pa.array([folded(t).strip() or None for t in texts], pa.binary()).view(pa.string()))
+        coded = pieces.values.dictionary_encode()
+        distinct = coded.dictionary.view(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         new = len(self.index) - self.known
         if new:
             self._learn([*islice(reversed(self.index), new)][::-1])
-        return got, lens
+        return numbers[coded.indices.to_numpy()], np.diff(pieces.offsets.to_numpy())
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, t in enumerate(texts) if b"<|" in t]

@@ -60,6 +60,19 @@ def test_pieces_give_the_ids_of_the_library(texts):
     assert words.lengths([t.encode() for t in texts]).tolist() == n.tolist()
 
 
+def test_words_of_latin_letters_share_a_call():
+    """Words with sharp s and capitals are letters as others, and the distinct pieces of a batch are looked up once."""
+    words = words_tokens.WordTokens(tokenizer_path())
+    texts = ["Straße Éclair ÀÀß Weiß\u0301e ÑANDÚ", "  ", "", "Straße\x0b weiß.\x1cx Üß, ×÷ ß Aé", "É. ß,ß ."] * 3
+    handed = []
+    words._ids = lambda texts, f=words._ids: handed.extend(texts) or f(texts)
+    flat, lens = words.encode([t.encode() for t in texts])
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lens.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert not {"Straße", "Éclair", "ÀÀß", "ÑANDÚ", "ß"} & set(handed)
+
+
+
 def test_long_texts_are_cut_at_white_space():
     text = b"ab cde " * 1000
     pieces = token_counts.safe_pieces(text, 100)
