@@ -384,6 +384,40 @@ def test_terms_of_remembered_words(monkeypatch):
         assert dict(zip(at.tolist(), n.tolist())) == brute and at.tolist() == sorted(brute) == extract.held(b" ".join(text)).tolist()
 
 
+def test_table_of_terms_is_made_once_for_several_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "_MEMORY", 100)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{c}" * int(n) for c, n in zip("abcdef", rng.integers(1, 9, 6))).encode() for _ in range(40)]
+    names = toxicity.distinct_terms([*texts, b"", b"  ", b"end "])
+    assert set(names.to_pylist()) == {t for x in [*texts, b"end"] for w in x.split() for t in toxicity.terms_of(w)} and names.null_count == 0
+    calls = []
+    monkeypatch.setattr(toxicity.pc, "index_in", lambda *a, f=toxicity.pc.index_in, **k: calls.append(1) or f(*a, **k))
+    extract = toxicity.Extractor(names)
+    parts = len(list(toxicity.batches_of(np.array([len(t) for t in texts]), 100)))
+    for text, (at, n) in zip(texts, extract.vectors(texts), strict=True):
+        got = dict(zip((names[int(i)].as_py() for i in at), n.tolist()))
+        assert got == Counter(t for w in text.split() for t in toxicity.terms_of(w))
+    assert len(calls) == -(-parts // toxicity._PARTS) < parts
+
+
+def test_few_examples_are_summed_again():
+    rng = np.random.default_rng(13)
+    vectors = [{int(t): 1 for t in rng.choice(400, 30, replace=False)} for _ in range(3000)]
+    vectors += [{**v, 400 + i: 1} for i, v in enumerate(vectors[:40])]
+    index = toxicity.Index(vectors, rng.integers(0, 2, len(vectors)), np.append(rng.random(400) + 0.5, np.full(40, 1e-2)))
+    index._build()
+    looked = []
+    index._room = lambda name, n, kind, f=index._room: (looked.append(n) if name == "found" else None) or f(name, n, kind)
+    for v in vectors[:40]:
+        at, cosine = index.nearest(v)
+        q = np.zeros(440)
+        for t, w in index.weights(v).items():
+            q[t] = w
+        want = np.sort([sum(w * q[t] for t, w in index.weights(x).items()) for x in vectors])[::-1][:15]
+        assert np.allclose(cosine, want, rtol=1e-6)
+    assert max(looked) < 20 * 31
+
+
 def test_suffix_tree(spark, documents, empty):
     rng = np.random.default_rng(7)
     chain = {w: rng.permutation(20)[:3] for w in range(20)}
