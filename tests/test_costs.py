@@ -122,3 +122,37 @@ def test_freed_shuffle_files_go_with_the_write(spark):
     while shuffles() - before and time.time() < until:  # files go in the background
         time.sleep(0.1)
     assert not shuffles() - before and spark.conf.get(setting) == was and written.count() == 100
+
+
+def test_joint_codes_add_up_to_the_sums_of_each_feature():
+    """Any numbers of bins, features that are not used, nodes: as one sum per feature and bin; few codes stand for many features."""
+    rng = np.random.default_rng(3)
+    sizes = [256, 1, 7, 300 // 3, *[2] * 30, 10, 256]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    columns = np.stack([rng.integers(0, n, 5_000) for n in sizes]).astype(np.uint8)
+    used = np.sort(rng.choice(len(sizes), 30, replace=False))
+    node, weights = rng.integers(0, 3, 5_000), (rng.normal(size=5_000), rng.random(5_000))
+    codes = boosting.Codes(first, used)
+    assert len(codes.groups) < len(used) / 2
+    own = np.zeros((3, 2, codes.total))
+    codes.add(own, codes.of(columns), node, weights)
+    got, want = codes.bins(own), np.zeros((3, 2, first[-1]))
+    for f in used:
+        for j, w in enumerate(weights):
+            np.add.at(want[:, j], (node, first[f] + columns[f]), w)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_models_beyond_65536_rows_grow_in_one_task_and_only_lighter_children_are_summed(spark, monkeypatch):
+    """400 rounds of four jobs were most of the time of models that one task holds easily; passes of larger ones skip what follows by subtraction."""
+    rows = spark.range(70_000).selectExpr("'a' model", "id", "cast(id % 7 in (1, 3, 4) as int) label", "true train", "array(cast(id % 7 as double), cast(id % 11 as double)) features")
+    s = boosting.Settings(rounds=2, depth=3, columns=1.0)
+    asked = []
+    monkeypatch.setattr(boosting, "_level_sums", lambda *a, sums=boosting._level_sums: asked.append(a[-1]["a"]) or sums(*a))
+    alone, _ = boosting.fit_boosted(rows, "id", s)
+    assert not asked
+    monkeypatch.setattr(boosting, "ALONE_BYTES", 70_000)
+    passes, _ = boosting.fit_boosted(rows, "id", s)
+    for a, b in zip(alone["a"].trees, passes["a"].trees):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value, rtol=0, atol=1e-9)
+    assert asked and not any(n % 2 and n + 1 in nodes for nodes in asked for n in nodes)
