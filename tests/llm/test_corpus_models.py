@@ -3,7 +3,7 @@
 import pickle
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -475,6 +475,59 @@ def test_tree_probabilities_sum_to_one(spark):
     assert np.allclose((root * 10**tree.ratio).sum(1), 1 - unknown)
 
 
+def test_word_contexts_equal_a_naive_tree(spark, monkeypatch):
+    """Every context of words seen twice, counted, smoothed, tested and retained, without the upper part."""
+    monkeypatch.setattr(suffix_tree, "SYMBOL_SHARE", 2.0)
+    monkeypatch.setattr(suffix_tree, "learn_tree", lambda sequences, size, *a: suffix_tree.Tree(size))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.6, int(rng.integers(0, 25))) % 40) for _ in range(150)] + ["x1 x2 x3 x4 x5 x6"] * 3 + [None, "new"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    held = [i % 5 == 0 for i in range(len(texts))]
+    got = {r.doc_id: r for r in suffix_tree.score_texts(df, held=df.doc_id % 5 == 0).collect()}
+    words = [(t or "").split() + [None] for t in texts]
+    seen = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    scale = sum(seen.values()) + 0.1 * (len(seen) + 1)
+    unknown = 0.1 / scale
+
+    def context(ws, i, d):
+        return None if i < d - 1 or i == 0 else (*(["<s>"] if i == d - 1 else []), *ws[max(0, i - d): i])
+
+    places = [(j, i) for j, ws in enumerate(words) for i, w in enumerate(ws) if seen[w]]
+    p = {(j, i): (seen[words[j][i]] + 0.1) / scale for j, i in places}
+    last, base, deep = dict(p), dict(p), 0
+    for d in (1, 2, 3):
+        counts = defaultdict(Counter)
+        for j, i in places:
+            if not held[j]:
+                counts[context(words[j], i, d)][words[j][i]] += 1
+        up, gain = dict(p), Counter()
+        for j, i in places:
+            c, w = context(words[j], i, d), words[j][i]
+            n, k = sum(counts[c].values()), len(counts[c])
+            if c and n >= 2:
+                p[j, i] = ((1 - unknown) * counts[c][w] + k * up[j, i]) / (n + k)
+                gain[c] += 0 if held[j] else np.log(counts[c][w] / n / up[j, i])
+        for j, i in places:
+            c = context(words[j], i, d)
+            if c and sum(counts[c].values()) >= 2 and gain[c] > 0.5 * len(counts[c]) * np.log(sum(counts[c].values())):
+                last[j, i] = p[j, i]
+                deep += 1
+    more = Counter()
+    for j, i in places:
+        more[j] += np.log10(last[j, i] / base[j, i])
+    assert deep > 500 and all(abs(got[j].score - got[j].base_score - more[j]) < 1e-9 for j in range(len(texts)))
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """What is learned grows with the corpus: no text's words are frequent, and a second occurrence tells."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 3_000, 60)) for _ in range(400)]
+    df = spark.createDataFrame([*enumerate(texts + texts[:40])], "doc_id long, text string")
+    gain = suffix_tree.score_texts(df, held=df.doc_id < 0).toPandas().set_index("doc_id").eval("(score - base_score) / n_tokens")
+    twice = np.isin(gain.index % 400, range(40))
+    assert twice.sum() == 80 and gain[twice].min() > gain[~twice].max() + 0.5
+
+
 def test_pipeline_stages(spark, tmp_path):
     df, labels = toxic_corpus(spark)
     extra = spark.createDataFrame([(1000, "a b c d e f g h i j k l", "t"), (1001, "a b c d e f g h i j k l", None), (1002, None, "t")], "doc_id long, text string, source string")
