@@ -4,8 +4,9 @@ A leaf is reached by a mix of an explained and a background row if every feature
 value from a row that meets the feature's conditions there. So a leaf's share for a feature follows
 from two bit masks alone: which of the path's features the explained row meets, and which the
 background row. The background is compiled once per model: for every leaf the few masks that occur
-in it, with the background rows that have them. Per Arrow batch, a leaf costs one mask per row and a
-lookup in a small table; there is no row per background row or step.
+in it, with the background rows that have them. Per Arrow batch, a leaf costs one mask (a byte) per row and a
+lookup in a small table for each of its features and background masks, taken for all rows at once; there is
+no row per background row or step.
 
 On the margin scale the background's masks are averaged beforehand. On the probability scale each
 pair of rows has its own factor, the change in probability over the change in margin, so the
@@ -24,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.operators.boosting import Model, Tree, _matrix, margins, sigmoid
+from cohortlens.operators.boosting import Model, Tree, _matrix, column_margins, sigmoid
 from cohortlens.session import spread
 
 #: Rows explained at a time.
 STEP = 2_048
 #: Factor sums (masks of leaves) of one matrix product.
-MASKS = 4_096
+MASKS = 1_024
 
 
 @dataclass
@@ -42,12 +43,14 @@ class Leaf:
     low: np.ndarray
     high: np.ndarray
 
-    def masks(self, bins: np.ndarray) -> np.ndarray:
-        """Bit i is set where a row meets the conditions of the i-th feature."""
-        out = np.zeros(len(bins), np.int64)
+    def masks(self, columns: np.ndarray) -> np.ndarray:
+        """Bit i is set where a row (a column of features x rows of bins) meets the conditions of the i-th feature."""
+        out = np.zeros(columns.shape[1], np.uint8 if len(self.features) <= 8 else np.int64)
         for i, f in enumerate(self.features):
-            column = bins[:, f]
-            out |= ((column >= self.low[i]) & (column < self.high[i])).astype(np.int64) << i
+            meets = columns[f] >= np.uint8(self.low[i]) if self.low[i] < 256 else np.zeros(len(out), bool)
+            if self.high[i] < 256:
+                meets = meets & (columns[f] < np.uint8(self.high[i]))
+            out |= meets.astype(out.dtype) << i
         return out
 
 
@@ -96,50 +99,47 @@ class Explainer:
     def __init__(self, model: Model, background: np.ndarray, probability: bool = True) -> None:
         """``background``: rows x features of values."""
         self.model, self.probability = model, probability
-        bins = model.bins_of(background)
-        self.margin = model.base + margins(model.trees, bins)
+        bins = np.ascontiguousarray(model.bins_of(background).T)
+        self.margin = model.base + column_margins(model.trees, bins)
         self.base = float(sigmoid(self.margin).mean() if probability else self.margin.mean())
         self.leaves = []
         for tree in model.trees:
             for leaf in leaves_of(tree):
                 seen, which = np.unique(leaf.masks(bins), return_inverse=True)
-                has = (which[:, None] == np.arange(len(seen))) / len(bins)  # background row x mask
-                self.leaves.append((leaf, leaf.value * shares(len(leaf.features))[:, seen], has))
+                has = (np.arange(len(seen))[:, None] == which) / bins.shape[1]  # mask x background row
+                table = leaf.value * shares(len(leaf.features))[:, seen]
+                self.leaves.append((leaf, np.ascontiguousarray(table.transpose(2, 1, 0)), has))  # feature x background mask x mask
 
     def explain(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, contributions: rows x features)."""
-        bins = self.model.bins_of(values)
-        margin = self.model.base + margins(self.model.trees, bins)
-        phi = np.zeros((bins.shape[1], len(bins)))
+        bins = np.ascontiguousarray(self.model.bins_of(values).T)
+        margin = self.model.base + column_margins(self.model.trees, bins)
+        phi = np.zeros(bins.shape)
         if not self.probability:
             for leaf, table, has in self.leaves:
-                part = np.einsum("ajf,j->af", table, has.sum(0))[leaf.masks(bins)]
+                part = np.einsum("fja,j->fa", table, has.sum(1))[:, leaf.masks(bins)]
                 for i, f in enumerate(leaf.features):
-                    phi[f] += part[:, i]
+                    phi[f] += part[i]
             return margin, phi.T
-        gap = margin[:, None] - self.margin
+        gap = margin - self.margin[:, None]
         p = sigmoid(margin)
         with np.errstate(divide="ignore", invalid="ignore"):
-            factor = (p[:, None] - sigmoid(self.margin)) / gap
-        factor = np.where(np.abs(gap) < 1e-9, (p * (1 - p))[:, None], factor)
+            factor = (p - sigmoid(self.margin)[:, None]) / gap
+        factor = np.where(np.abs(gap) < 1e-9, p * (1 - p), factor)
         first = 0
         while first < len(self.leaves):
             last, width = first, 0
-            while last < len(self.leaves) and (width == 0 or width + self.leaves[last][2].shape[1] <= MASKS):
-                width += self.leaves[last][2].shape[1]
+            while last < len(self.leaves) and (width == 0 or width + len(self.leaves[last][2]) <= MASKS):
+                width += len(self.leaves[last][2])
                 last += 1
-            sums = factor @ np.concatenate([has for _, _, has in self.leaves[first:last]], 1)
+            sums = np.concatenate([has for _, _, has in self.leaves[first:last]]) @ factor
             at = 0
             for leaf, table, has in self.leaves[first:last]:
-                mask = leaf.masks(bins)
-                weight = sums[:, at: at + has.shape[1]]
-                at += has.shape[1]
-                for a in np.unique(mask):
-                    if table[a].any():
-                        rows = np.flatnonzero(mask == a)
-                        part = weight[rows] @ table[a]
-                        for i, f in enumerate(leaf.features):
-                            phi[f, rows] += part[:, i]
+                mask = leaf.masks(bins).astype(np.intp)
+                weight = sums[at: at + len(has)]
+                at += len(has)
+                for f, shares_ in zip(leaf.features, table):
+                    phi[f] += np.einsum("jr,jr->r", shares_.take(mask, 1, mode="clip"), weight)  # no mask is out of range
             first = last
         return p, phi.T
 

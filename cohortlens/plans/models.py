@@ -31,7 +31,7 @@ def model_rows(spark, sf) -> DataFrame:
     E.check_features(FEATURES)
     df = X.cohort_features(spark, sf).select(
         KEY, "encounter_id", OUTCOME, "race", "age_band", LEAKY, *FEATURES)
-    return materialize(folds.group_folds(df, KEY, [OUTCOME]))
+    return materialize(folds.group_folds(materialize(df), KEY, [OUTCOME]))  # the cohort is read for the folds and for its rows
 
 
 def encounter_prep(numeric: list[str] | None = None):

@@ -156,3 +156,11 @@ def test_models_beyond_65536_rows_grow_in_one_task_and_only_lighter_children_are
     for a, b in zip(alone["a"].trees, passes["a"].trees):
         assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value, rtol=0, atol=1e-9)
     assert asked and not any(n % 2 and n + 1 in nodes for nodes in asked for n in nodes)
+
+
+def test_leaf_masks_are_bytes_for_all_rows_at_once():
+    """One byte a row per leaf from features x rows, open ranges at both ends included."""
+    leaf = tree_shap.Leaf(0.5, np.array([0, 2]), np.array([0, 3]), np.array([7, 257]))
+    columns = np.array([[6, 7, 0, 255], [9, 9, 9, 9], [3, 3, 2, 255]], np.uint8)
+    masks = leaf.masks(columns)
+    assert masks.dtype == np.uint8 and masks.tolist() == [3, 2, 1, 2]
